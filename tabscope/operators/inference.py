@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabscope.functions import shapiro
 from tabscope.functions.bounded import local_table, pin, stacked_aggregates
 from tabscope.functions.normal import chi_square_upper_tail, log_lower_tail, log_upper_tail
+from tabscope.functions.text import number_text
 from tabscope.operators.association import pair_statistics
 from tabscope.operators.columns import as_double, long_numbers
 from tabscope.operators.ordering import with_running_count
@@ -153,24 +154,6 @@ def distribution_tests(df: DataFrame, columns: Sequence[str], max_columns: int =
     )
 
 
-def number_text(value: Column) -> Column:
-    """A rounded number as Python shows it: shortest digits, small ones with an exponent."""
-    scientific = (F.abs(value) < 1e-4) & (value != 0)
-    text = value.cast("string")
-    padded = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E-(\d)$", "E-0$1")
-    return F.when(scientific, F.lower(padded)).otherwise(
-        F.when(F.abs(value).between(1e-4, 1e-3), _plain_decimal(value))
-        .when((F.abs(value) >= 1e7) & (F.abs(value) < 1e16), _plain_decimal(value))
-        .otherwise(text)
-    )
-
-
-def _plain_decimal(value: Column) -> Column:
-    """Digits without an exponent, trailing zeros cut to one place."""
-    digits = F.rtrim(value.cast("decimal(30, 8)").cast("string"), F.lit("0"))
-    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-
-
 def interpretations(normality: DataFrame, chi_square: DataFrame) -> DataFrame:
     """(test_name, columns, result_summary, significance, practical_meaning) of both tests."""
     normal = F.col("is_normal")

@@ -31,10 +31,12 @@ def range_sorted(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def with_position(df: DataFrame, order_by: Sequence[str], group: str) -> DataFrame:
     """Add ``position``: 0-based place in the order of ``order_by`` within each ``group`` value.
 
+    Rows that tie in ``order_by`` are ordered by the other columns, so they are spread too.
     ``group`` names few values (it is a column name in a long table). The table of partition
     sizes that is broadcast has at most one row per partition and group value.
     """
-    rows = range_sorted(df, [group, *order_by])
+    rest = [c for c in df.columns if c != group and c not in order_by]
+    rows = range_sorted(df, [group, *order_by, *rest])
     sizes = rows.groupBy(group, "part_").agg(
         F.count(F.lit(1)).alias("size_"), F.min("row_").alias("first_")
     )
