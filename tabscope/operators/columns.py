@@ -64,13 +64,13 @@ def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (column, v_long, v_double, v_text): every value in the one slot of its kind.
+    """Rows (column_no, v_long, v_double, v_text): every value in the one slot of its kind.
 
     One grouping over this table counts the values of all columns without first turning
-    numbers into text.
+    numbers into text. ``column_no`` is the place of the column in ``columns``.
     """
 
-    def cell(name: str) -> Column:
+    def cell(i: int, name: str) -> Column:
         kind, col = data_type(df, name), column_ref(name)
         number = real = text = None
         if isinstance(kind, INTEGRAL + (T.BooleanType,)):
@@ -86,34 +86,45 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         else:
             text = as_text(df, name)
         return F.struct(
-            F.lit(name).alias("column"),
+            F.lit(i).alias("column_no"),
             (number if number is not None else F.lit(None).cast("long")).alias("v_long"),
             (real if real is not None else F.lit(None).cast("double")).alias("v_double"),
             (text if text is not None else F.lit(None).cast("string")).alias("v_text"),
         )
 
-    return df.select(F.inline(F.array(*[cell(c) for c in columns])))
-
-
-def rendered_value(df: DataFrame, columns: Sequence[str]) -> Column:
-    """The display text of a (v_long, v_double, v_text) cell of the table made from ``df``."""
-    rendering = F.coalesce(F.col("v_text"), F.col("v_double").cast("string"), F.col("v_long").cast("string"))
-    for name in columns:
-        kind = data_type(df, name)
-        text = None
-        if isinstance(kind, T.BooleanType):
-            text = F.col("v_long").cast("boolean").cast("string")
-        elif isinstance(kind, T.DateType):
-            text = F.date_from_unix_date(F.col("v_long").cast("int")).cast("string")
-        elif isinstance(kind, T.TimestampType):
-            text = F.timestamp_micros(F.col("v_long")).cast("string")
-        elif isinstance(kind, T.TimestampNTZType):
-            text = F.expr(
-                "cast(timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, "
-                "cast(cast(v_long as decimal(20, 0)) / 1000000 as decimal(18, 6))) as string)"
-            )
-        elif isinstance(kind, T.FloatType):
-            text = F.col("v_double").cast("float").cast("string")
-        if text is not None:
-            rendering = F.when(F.col("column") == name, text).otherwise(rendering)
+    return df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)])))
+
+
+def column_name(columns: Sequence[str]) -> Column:
+    """The name behind a ``column_no``."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1)
+
+
+def rendered(
+    df: DataFrame,
+    columns: Sequence[str],
+    v_long: Column | None = None,
+    v_double: Column | None = None,
+    v_text: Column | None = None,
+) -> Column:
+    """The display text of a cell of ``long_values``; other slots can stand in for its own."""
+    v_long = F.col("v_long") if v_long is None else v_long
+    v_double = F.col("v_double") if v_double is None else v_double
+    v_text = F.col("v_text") if v_text is None else v_text
+    rendering = F.coalesce(v_text, v_double.cast("string"), v_long.cast("string"))
+    seconds = (v_long.cast("decimal(20, 0)") / 1_000_000).cast("decimal(18, 6)")
+    texts = (
+        (T.BooleanType, v_long.cast("boolean").cast("string")),
+        (T.DateType, F.date_from_unix_date(v_long.cast("int")).cast("string")),
+        (T.TimestampType, F.timestamp_micros(v_long).cast("string")),
+        (T.TimestampNTZType, (
+            F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+        ).cast("string")),
+        (T.FloatType, v_double.cast("float").cast("string")),
+    )
+    for kind, text in texts:
+        numbers = [i for i, c in enumerate(columns) if isinstance(data_type(df, c), kind)]
+        if numbers:
+            rendering = F.when(F.col("column_no").isin(numbers), text).otherwise(rendering)
     return rendering

@@ -7,36 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabscope.functions.bounded import column_ref, stacked_aggregates
-from tabscope.operators.columns import long_values, rendered_value
+from tabscope.operators.columns import column_name, long_values, rendered
 
 VALUE_SLOTS = ("v_long", "v_double", "v_text")
 
 
 def frequency_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, v_long, v_double, v_text, count) for every distinct value of every column.
+    """(column_no, v_long, v_double, v_text, count) for every distinct value of every column.
 
     Null is a value. One scan and one shuffle for all columns; counts are combined before the
     shuffle, so a value that fills a third of the table travels as one row per task.
     """
     columns = list(columns or df.columns)
-    return long_values(df, columns).groupBy("column", *VALUE_SLOTS).count()
+    return long_values(df, columns).groupBy("column_no", *VALUE_SLOTS).count()
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, count) with the value as text and null kept as null."""
     columns = list(columns or df.columns)
     freq = frequency_table(df, columns)
-    return freq.select("column", rendered_value(df, columns).alias("value"), "count")
-
-
-def distinct_counts(freq: DataFrame) -> DataFrame:
-    """(column, n_unique) of a frequency table."""
-    return freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    return freq.select(column_name(columns).alias("column"), rendered(df, columns).alias("value"), "count")
 
 
 def n_unique(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Exact number of distinct values per column, null counted as one of them."""
-    return distinct_counts(frequency_table(df, columns))
+    """(column, n_unique): exact number of distinct values, null counted as one of them."""
+    columns = list(columns or df.columns)
+    counted = frequency_table(df, columns).groupBy("column_no").agg(F.count(F.lit(1)).alias("n_unique"))
+    return counted.select(column_name(columns).alias("column"), "n_unique")
 
 
 def approximate_n_unique(df: DataFrame, columns: Sequence[str] | None = None, rsd: float = 0.02) -> DataFrame:
@@ -60,7 +57,7 @@ def top_of(freq: DataFrame, k: int) -> DataFrame:
     The rank limit is applied inside every task before the shuffle, so a column's last sort
     sees ``k`` rows per task however many distinct values it has.
     """
-    order = Window.partitionBy("column").orderBy(
+    order = Window.partitionBy("column_no").orderBy(
         F.desc("count"), *[F.col(slot).asc_nulls_last() for slot in VALUE_SLOTS]
     )
     return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -71,7 +68,8 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
     columns = list(columns or df.columns)
     top = top_of(frequency_table(df, columns), k)
     return top.select(
-        "column", "rank", F.coalesce(rendered_value(df, columns), F.lit("None")).alias("value"), "count"
+        column_name(columns).alias("column"), "rank",
+        F.coalesce(rendered(df, columns), F.lit("None")).alias("value"), "count",
     )
 
 

@@ -9,10 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.bounded import column_ref, local_table, pin, small_rows, stacked_aggregates
 from tabscope.functions.text import has_email, has_phone, share, starts_with_date
-from tabscope.operators.columns import TEMPORAL, as_double, as_text, data_type, is_number, rendered_value
+from tabscope.operators.columns import (
+    TEMPORAL,
+    as_double,
+    as_text,
+    column_name,
+    data_type,
+    is_number,
+    rendered,
+)
 from tabscope.operators.frequency import (
     completeness_of,
-    distinct_counts,
     duplicate_rows,
     frequency_table,
     null_pct,
@@ -140,73 +147,87 @@ def semantic_class(kind: Column, n_unique: Column, total: Column, date_share: Co
     )
 
 
-def _base_aggregates(df: DataFrame, name: str, options: Options) -> dict[str, Column]:
-    """The aggregates of one column that need no grouping."""
-    col, kind = column_ref(name), _kind(data_type(df, name), options)
-    none, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    number = col.cast("double") if kind == "number" else None
-    whole_date = kind == "string" and options.date_sample is None
-    ordered_text = kind in ("temporal", "string")
-    return {
-        "dtype": F.lit(data_type(df, name).simpleString()),
-        "kind": F.lit(kind),
-        "total_count": F.count(F.lit(1)),
-        "null_count": F.count_if(col.isNull()),
-        "date_share": share(starts_with_date(col)) if whole_date else none,
-        "mean": F.avg(number) if number is not None else none,
-        "std": F.stddev_samp(number) if number is not None else none,
-        "min": F.min(number) if number is not None else none,
-        "max": F.max(number) if number is not None else none,
-        "min_text": F.min(col).cast("string") if ordered_text else no_text,
-        "max_text": F.max(col).cast("string") if ordered_text else no_text,
-    }
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, mean, std, min, max) of number columns: one pass of global aggregates."""
+    if not columns:
+        return local_table(df.sparkSession, [], "column string, mean double, std double, min double, max double")
+    return stacked_aggregates(
+        df,
+        {
+            c: {
+                "mean": F.avg(as_double(c)), "std": F.stddev_samp(as_double(c)),
+                "min": F.min(as_double(c)), "max": F.max(as_double(c)),
+            }
+            for c in columns
+        },
+    ).drop("position")
+
+
+def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """What the value frequencies tell: counts, range and date share, and the top values.
+
+    Dates are recognised once per distinct value and weighted by its count. Both branches
+    read the same shuffled frequency table.
+    """
+    freq = frequency_table(df, columns)
+    known = F.col("v_long").isNotNull() | F.col("v_double").isNotNull() | F.col("v_text").isNotNull()
+    text_rows = F.when(F.col("v_text").isNotNull(), F.col("count"))
+    date_rows = F.when(starts_with_date(F.col("v_text")), F.col("count")).otherwise(0)
+    counts = freq.groupBy("column_no").agg(
+        F.sum("count").alias("total_count"),
+        F.sum(F.when(known, 0).otherwise(F.col("count"))).alias("null_count"),
+        F.count(F.lit(1)).alias("n_unique"),
+        (F.sum(date_rows) / F.sum(text_rows)).alias("date_share"),
+        F.min("v_long").alias("low"), F.max("v_long").alias("high"),
+        F.min("v_text").alias("low_text"), F.max("v_text").alias("high_text"),
+    )
+    entry = F.struct("rank", F.coalesce(rendered(df, columns), F.lit("None")).alias("value"), "count")
+    top = top_of(freq, k).groupBy("column_no").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    none = F.lit(None).cast("double")
+    return counts.join(top, "column_no").select(
+        column_name(columns).alias("column"), "total_count", "null_count", "n_unique", "date_share",
+        rendered(df, columns, F.col("low"), none, F.col("low_text")).alias("min_text"),
+        rendered(df, columns, F.col("high"), none, F.col("high_text")).alias("max_text"),
+        F.transform(
+            "entries", lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))
+        ).alias("top_values"),
+    )
 
 
 def summarize(df: DataFrame, options: Options = Options(), k: int = 10) -> DataFrame:
     """One row per column: class, counts, moments, ranges and most frequent values.
 
-    Two scans (global aggregates; value frequencies) whatever the number of columns. The
+    Two scans (moments of numbers; value frequencies) whatever the number of columns. The
     result has as many rows as the table has columns and is pinned, because later plans are
     chosen by the classes in it.
     """
     columns = list(df.columns)
     if not columns:
         raise ValueError("the table has no columns")
-    base = stacked_aggregates(df, {c: _base_aggregates(df, c, options) for c in columns})
-    strings = [c for c in columns if _kind(data_type(df, c), options) == "string"]
+    kinds = {c: _kind(data_type(df, c), options) for c in columns}
+    names = local_table(
+        df.sparkSession,
+        [(i, c, data_type(df, c).simpleString(), kinds[c]) for i, c in enumerate(columns)],
+        "position int, column string, dtype string, kind string",
+    )
+    facts = pin(_value_facts(df, columns, k))
+    moments = pin(_moments(df, [c for c in columns if kinds[c] == "number"]))
+    strings = [c for c in columns if kinds[c] == "string"]
     if strings and options.date_sample is not None:
         sampled = date_like_share(df, strings, options.date_sample, options.order_by)
-        base = base.drop("date_share").join(sampled, "column", "left")
-    freq = frequency_table(df, columns).persist()
-    try:
-        top = top_of(freq, k).select(
-            "column",
-            F.struct(
-                "rank",
-                F.coalesce(rendered_value(df, columns), F.lit("None")).alias("value"),
-                "count",
-            ).alias("entry"),
-        )
-        lists = top.groupBy("column").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-        counts = pin(distinct_counts(freq).join(lists, "column", "left"))
-    finally:
-        freq.unpersist()
-    joined = base.join(counts, "column", "left").withColumn(
-        "n_unique", F.coalesce("n_unique", F.lit(0).cast("long"))
-    )
-    classed = joined.select(
+        facts = facts.drop("date_share").join(pin(sampled), "column", "left")
+    zero = F.lit(0).cast("long")
+    counted = names.join(facts, "column", "left").join(moments, "column", "left").withColumns({
+        c: F.coalesce(c, zero) for c in ("total_count", "null_count", "n_unique")
+    })
+    shared = F.when(F.col("kind") == "string", F.col("date_share"))
+    return pin(counted.select(
         "position", "column",
-        semantic_class(
-            F.col("kind"), F.col("n_unique"), F.col("total_count"), F.col("date_share")
-        ).alias("detected_type"),
+        semantic_class(F.col("kind"), F.col("n_unique"), F.col("total_count"), shared).alias("detected_type"),
         "dtype", "total_count", "null_count", null_pct().alias("null_pct"), "n_unique",
-        "date_share", "mean", "std", "min", "max", "min_text", "max_text",
-        F.transform(
-            F.coalesce("entries", F.array().cast("array<struct<rank:int,value:string,count:bigint>>")),
-            lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count")),
-        ).alias("top_values"),
-    )
-    return pin(classed)
+        shared.alias("date_share"), "mean", "std", "min", "max", "min_text", "max_text",
+        F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
+    ))
 
 
 def column_types(df: DataFrame, options: Options = Options()) -> DataFrame:

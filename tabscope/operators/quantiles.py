@@ -86,15 +86,15 @@ def _read_off(df: DataFrame, gaps: list[_Gap]) -> dict[tuple[str, int], float]:
 
 def _narrow(df: DataFrame, gaps: list[_Gap], found: dict) -> list[_Gap]:
     margin = 2.0 / SKETCH_ACCURACY
-    sketches, probes = [], []
+    sketches = []
     for i, g in enumerate(gaps):
-        for r in g.ranks:
-            at = (r - g.below + 0.5) / g.size
-            probes.append((i, r))
-            edges = [max(0.0, at - margin), min(1.0, at + margin)]
-            value = F.when(g.holds(), as_double(g.column))
-            sketches.append(F.percentile_approx(value, edges, SKETCH_ACCURACY).alias(f"e{len(sketches)}"))
-    edges = df.agg(*sketches).first()
+        at = [(r - g.below + 0.5) / g.size for r in g.ranks]
+        shares = [edge for p in at for edge in (max(0.0, p - margin), min(1.0, p + margin))]
+        value = F.when(g.holds(), as_double(g.column))
+        sketches.append(F.percentile_approx(value, shares, SKETCH_ACCURACY).alias(f"e{i}"))
+    sketched = df.agg(*sketches).first()
+    probes = [(i, r) for i, g in enumerate(gaps) for r in g.ranks]
+    edges = [tuple(sketched[i][2 * k:2 * k + 2]) for i, g in enumerate(gaps) for k in range(len(g.ranks))]
     tests = []
     for k, (i, _) in enumerate(probes):
         value, (low, high) = as_double(gaps[i].column), edges[k]

@@ -73,9 +73,10 @@ def trend(spark, folder):
 def lag_sql(columns: list[str]) -> str:
     """SQL for the autocorrelations of series of at least 100 values."""
     return (
-        f"WITH placed AS ({placed_sql(columns)}), lagged AS (SELECT a.\"column\", k::INTEGER AS lag, "
-        "avg((a.x - a.mean) * (b.x - b.mean)) / any_value(a.variance) AS r FROM placed a CROSS JOIN range(1, 51) g(k) "
-        "JOIN placed b ON a.\"column\" = b.\"column\" AND b.i = a.i + k GROUP BY 1, 2) "
+        f"WITH placed AS ({placed_sql(columns)}), lagged AS (SELECT \"column\", k::INTEGER AS lag, "
+        "avg((x - mean) * (nexts[k] - mean)) / any_value(variance) AS r FROM (SELECT *, ["
+        + ", ".join(f"lead(x, {k}) OVER w" for k in range(1, 51))
+        + "] AS nexts FROM placed WINDOW w AS (PARTITION BY \"column\" ORDER BY i)) CROSS JOIN range(1, 51) g(k) GROUP BY 1, 2) "
     )
 
 
