@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 AREAS = (
-    "profile_queries", "statistics_queries", "report_queries",
+    "profile_queries", "statistics_queries", "report_queries", "text_queries",
 )
 
 
