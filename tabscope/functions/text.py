@@ -24,7 +24,8 @@ def strip(text: Column) -> Column:
 
 
 def has_email(text: Column) -> Column:
-    return text.rlike(EMAIL_PATTERN)
+    """Whether an address occurs; the pattern is only tried on text with an @ in it."""
+    return text.contains("@") & text.rlike(EMAIL_PATTERN)
 
 
 def has_phone(text: Column) -> Column:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.bounded import column_ref, local_table, small_rows, stacked_aggregates
-from tabscope.operators.columns import INTEGRAL, as_double, as_text, data_type
+from tabscope.operators.columns import INTEGRAL, as_double, as_text, data_type, unpivot_groups
 
 # What is worth reporting.
 HIGH_CORRELATION = 0.7
@@ -122,16 +122,11 @@ def cell_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     shuffle: what moves is the cells, not the rows. Rows with a null in the pair are left out.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
-    texts = df.select(*[as_text(df, c).alias(c) for c in names])
-    cells = F.array(*[
-        F.struct(
-            F.lit(i).alias("pair"), column_ref(a).alias("a"), column_ref(b).alias("b"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ])
+    plain = {c: f"t{i}" for i, c in enumerate(names)}
+    texts = df.select(*[as_text(df, c).alias(plain[c]) for c in names])
+    cells = unpivot_groups(texts, [(plain[a], plain[b]) for a, b in pairs], ("a", "b"), "pair")
     counted = (
-        texts.select(F.inline(cells))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        cells.where(F.col("a").isNotNull() & F.col("b").isNotNull())
         .groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("observed"))
     )
     first, second = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))

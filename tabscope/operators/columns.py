@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -40,8 +40,8 @@ def local_micros(col: Column) -> Column:
     seconds = (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("long")
     return (
         F.unix_date(col.cast("date")).cast("long") * 86_400_000_000
-        + F.hour(col) * F.lit(3_600_000_000)
-        + F.minute(col) * F.lit(60_000_000)
+        + F.hour(col).cast("long") * 3_600_000_000
+        + F.minute(col).cast("long") * 60_000_000
         + seconds
     )
 
@@ -56,11 +56,35 @@ def as_text(df: DataFrame, name: str) -> Column:
     return column_ref(name).cast("string")
 
 
+def unpivot_groups(df: DataFrame, groups: Sequence[Sequence[str]], names: Sequence[str], number: str) -> DataFrame:
+    """One row per group of columns: (number, names...), where ``number`` is the group's place.
+
+    UNPIVOT becomes an Expand, which stays inside generated code; exploding an array of
+    structs would not. The columns need plain names.
+    """
+    lists = ", ".join(f"({', '.join(group)}) AS `{i}`" for i, group in enumerate(groups))
+    values = ", ".join(names)
+    return df.sparkSession.sql(
+        f"SELECT cast({number} AS int) AS {number}, {values} FROM {{wide}} "
+        f"UNPIVOT INCLUDE NULLS (({values}) FOR {number} IN ({lists}))",
+        wide=df,
+    )
+
+
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows (keep..., column, value double), nulls left out: one scan for all columns."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_double(c).alias("value")) for c in columns])
-    kept = [column_ref(k) for k in keep]
-    return df.select(*kept, F.inline(pairs)).where(F.col("value").isNotNull())
+    return long_cells(df, {c: as_double(c) for c in columns}, keep)
+
+
+def long_cells(df: DataFrame, cells: Mapping[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (keep..., column, value) of one named expression per column, nulls left out."""
+    kept = [column_ref(k).alias(f"kept{i}_") for i, k in enumerate(keep)]
+    wide = df.select(*kept, *[cell.alias(c) for c, cell in cells.items()])
+    values = [column_ref(c) for c in cells]
+    long = wide.unpivot([f"kept{i}_" for i in range(len(keep))], values, "column", "value")
+    return long.where(F.col("value").isNotNull()).select(
+        *[F.col(f"kept{i}_").alias(k) for i, k in enumerate(keep)], "column", "value"
+    )
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,9 +94,9 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     numbers into text. ``column_no`` is the place of the column in ``columns``.
     """
 
-    def cell(i: int, name: str) -> Column:
+    def slots(i: int, name: str) -> list[Column]:
         kind, col = data_type(df, name), column_ref(name)
-        number = real = text = None
+        number, real, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
         if isinstance(kind, INTEGRAL + (T.BooleanType,)):
             number = col.cast("long")
         elif isinstance(kind, T.DateType):
@@ -85,14 +109,11 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             real = col.cast("double")
         else:
             text = as_text(df, name)
-        return F.struct(
-            F.lit(i).alias("column_no"),
-            (number if number is not None else F.lit(None).cast("long")).alias("v_long"),
-            (real if real is not None else F.lit(None).cast("double")).alias("v_double"),
-            (text if text is not None else F.lit(None).cast("string")).alias("v_text"),
-        )
-
-    return df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)])))
+        return [number.alias(f"l{i}"), real.alias(f"d{i}"), text.alias(f"t{i}")]
+
+    wide = df.select(*[slot for i, c in enumerate(columns) for slot in slots(i, c)])
+    groups = [(f"l{i}", f"d{i}", f"t{i}") for i in range(len(columns))]
+    return unpivot_groups(wide, groups, ("v_long", "v_double", "v_text"), "column_no")
 
 
 def column_name(columns: Sequence[str]) -> Column:

@@ -19,6 +19,7 @@ SECTION_KEYWORDS = (
 )
 HEADER_LENGTH = 50
 OPENING_SECTION = "introduction"
+SAMPLE_ROWS = 10
 
 
 def section_of(line: Column) -> Column:

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabscope.functions.bounded import column_ref, local_table, stacked_aggregates
-from tabscope.operators.columns import as_double, long_numbers
+from tabscope.functions.bounded import local_table, stacked_aggregates
+from tabscope.operators.columns import as_double, long_cells, long_numbers
 from tabscope.operators.quantiles import quantile_values
 
 # Reach of the whiskers and the smallest column that is judged.
@@ -67,14 +67,10 @@ def iqr_outlier_rows(
     bounds = iqr_bounds(df, columns, method)
     if not bounds:
         return long_numbers(df, columns, keep=key).where(F.lit(False))
-    cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.when((as_double(c) < low) | (as_double(c) > high), as_double(c)).alias("value"),
-        )
-        for c, (low, high) in bounds.items()
-    ])
-    return df.select(*[column_ref(k) for k in key], F.inline(cells)).where(F.col("value").isNotNull())
+    cells = {
+        c: F.when((as_double(c) < low) | (as_double(c) > high), as_double(c)) for c, (low, high) in bounds.items()
+    }
+    return long_cells(df, cells, keep=key)
 
 
 def univariate_report(df: DataFrame, columns: Sequence[str], method: str = "nearest") -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact quantiles by narrowing, without sorting a column.
 
 A sketch gives, for every wanted rank, two values that should enclose it. One counting pass
-proves the enclosure and tells how many rows lie strictly between. When few do, they are
-counted by value and the ranks are read off; otherwise the next round narrows the gap again.
-A round keeps a few parts in ten thousand of a column, so two rounds serve any table size.
+then groups each column into what lies below, at and above these values, with the few values
+in between counted one by one, and the ranks are read off the counts. The sketch only guides
+the search: a rank found outside of its two values is sought on where it was found. For very
+large columns the values in between are first narrowed by a second sketch.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.bounded import local_table, small_rows
-from tabscope.operators.columns import as_double
+from tabscope.operators.columns import as_double, unpivot_groups
 
 INSIDE_LIMIT = 200_000
 SKETCH_ACCURACY = 10_000
+SKETCH_WIDTH = 6.0 / SKETCH_ACCURACY  # share of the rows between the two values, error included
+
+BELOW, AT_LOW, INSIDE, AT_HIGH = range(4)
 
 
 @dataclass
 class _Gap:
-    """The open interval in which the wanted ranks of one column are still sought."""
+    """An open interval of a column, with the ranks that are sought in it."""
 
     column: str
     ranks: list[int]
@@ -32,15 +36,6 @@ class _Gap:
     low: float | None = None
     high: float | None = None
 
-    def holds(self) -> Column:
-        value = as_double(self.column)
-        inside = value.isNotNull()
-        if self.low is not None:
-            inside = inside & (value > self.low)
-        if self.high is not None:
-            inside = inside & (value < self.high)
-        return inside
-
 
 def order_statistics(
     df: DataFrame,
@@ -52,75 +47,110 @@ def order_statistics(
     found: dict[tuple[str, int], float] = {}
     gaps = [_Gap(c, sorted(set(r)), 0, counts[c]) for c, r in ranks.items() if r and counts[c]]
     while gaps:
-        ready = [g for g in gaps if g.size <= inside_limit]
-        wide = [g for g in gaps if g.size > inside_limit]
-        if ready:
-            found.update(_read_off(df, ready))
-        gaps = _narrow(df, wide, found) if wide else []
+        wide = [g for g in gaps if g.size > max(inside_limit, 1)]
+        narrow = [g for g in gaps if g.size <= max(inside_limit, 1)]
+        by_value = all(g.size * SKETCH_WIDTH <= max(inside_limit, SKETCH_ACCURACY) for g in wide)
+        intervals: dict[str, list[_Gap]] = {}
+        for g in narrow + _enclose(df, wide, found):
+            intervals.setdefault(g.column, []).append(g)
+        gaps = _locate(df, {c: _merged(i) for c, i in intervals.items()}, by_value, found) if intervals else []
     return found
 
 
-def _read_off(df: DataFrame, gaps: list[_Gap]) -> dict[tuple[str, int], float]:
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("gap"), F.when(g.holds(), as_double(g.column)).alias("value"))
-        for i, g in enumerate(gaps)
-    ])
-    freq = (
-        df.select(F.inline(cells))
-        .where(F.col("value").isNotNull())
-        .groupBy("gap", "value").count()
-    )
-    # at most inside_limit rows per gap reach one sort
-    upto = Window.partitionBy("gap").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = freq.withColumn("last", F.sum("count").over(upto) - 1)
-    wanted = F.array(*[F.array(*[F.lit(r - g.below) for r in g.ranks]) for g in gaps])
-    hits = running.select(
-        "gap", "value", "last", "count",
-        F.explode(F.element_at(wanted, F.col("gap") + 1)).alias("rank"),
-    ).where((F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("count")))
-    return {
-        (gaps[row["gap"]].column, gaps[row["gap"]].below + row["rank"]): row["value"]
-        for row in small_rows(hits.select("gap", "rank", "value"))
-    }
-
-
-def _narrow(df: DataFrame, gaps: list[_Gap], found: dict) -> list[_Gap]:
+def _enclose(df: DataFrame, gaps: list[_Gap], found: dict) -> list[_Gap]:
+    """For every rank in the gaps, the two sketched values around it."""
+    if not gaps:
+        return []
     margin = 2.0 / SKETCH_ACCURACY
     sketches = []
     for i, g in enumerate(gaps):
         at = [(r - g.below + 0.5) / g.size for r in g.ranks]
         shares = [edge for p in at for edge in (max(0.0, p - margin), min(1.0, p + margin))]
-        value = F.when(g.holds(), as_double(g.column))
-        sketches.append(F.percentile_approx(value, shares, SKETCH_ACCURACY).alias(f"e{i}"))
+        value, inside = as_double(g.column), F.lit(True)
+        if g.low is not None:
+            inside = inside & (value > g.low)
+        if g.high is not None:
+            inside = inside & (value < g.high)
+        sketches.append(F.percentile_approx(F.when(inside, value), shares, SKETCH_ACCURACY).alias(f"e{i}"))
     sketched = df.agg(*sketches).first()
-    probes = [(i, r) for i, g in enumerate(gaps) for r in g.ranks]
-    edges = [tuple(sketched[i][2 * k:2 * k + 2]) for i, g in enumerate(gaps) for k in range(len(g.ranks))]
-    tests = []
-    for k, (i, _) in enumerate(probes):
-        value, (low, high) = as_double(gaps[i].column), edges[k]
-        tests += [
-            F.count_if(value < low).alias(f"lt_low{k}"),
-            F.count_if(value <= low).alias(f"le_low{k}"),
-            F.count_if(value < high).alias(f"lt_high{k}"),
-            F.count_if(value <= high).alias(f"le_high{k}"),
-        ]
-    proof = df.agg(*tests).first()
-    left = []
-    for k, (i, rank) in enumerate(probes):
-        gap, (low, high) = gaps[i], edges[k]
-        lt_low, le_low = proof[f"lt_low{k}"], proof[f"le_low{k}"]
-        lt_high, le_high = proof[f"lt_high{k}"], proof[f"le_high{k}"]
-        if lt_low <= rank < le_low:
-            found[gap.column, rank] = low
-        elif lt_high <= rank < le_high:
-            found[gap.column, rank] = high
-        elif rank < lt_low:  # the sketch missed: go on below it
-            left.append(_Gap(gap.column, [rank], gap.below, lt_low - gap.below, gap.low, low))
-        elif rank >= le_high:  # or above it
-            left.append(_Gap(gap.column, [rank], le_high, gap.below + gap.size - le_high, high, gap.high))
+    enclosed = []
+    for i, g in enumerate(gaps):
+        for k, rank in enumerate(g.ranks):
+            low, high = sketched[i][2 * k:2 * k + 2]
+            if math.isnan(low):  # NaN sorts last: nothing lies above it
+                found[g.column, rank] = low
+            else:
+                enclosed.append(_Gap(g.column, [rank], 0, 0, low, None if math.isnan(high) else high))
+    return enclosed
+
+
+def _merged(intervals: list[_Gap]) -> list[_Gap]:
+    """Disjoint intervals in ascending order."""
+    lowest, highest = -math.inf, math.inf
+    result: list[_Gap] = []
+    for g in sorted(intervals, key=lambda g: (lowest if g.low is None else g.low)):
+        last = result[-1] if result else None
+        if last is not None and (lowest if g.low is None else g.low) <= (highest if last.high is None else last.high):
+            unbounded = last.high is None or g.high is None
+            last.high = None if unbounded else max(last.high, g.high)
+            last.ranks = sorted({*last.ranks, *g.ranks})
+        else:
+            result.append(_Gap(g.column, list(g.ranks), 0, 0, g.low, g.high))
+    return result
+
+
+def _region(value: Column, intervals: list[_Gap]) -> Column:
+    """Where a value lies: 4j below interval j, 4j+1 at its low, 4j+2 inside, 4j+3 at its high."""
+    region = F.when(value.isNull(), F.lit(None).cast("int"))
+    for j, g in enumerate(intervals):
+        if g.low is not None:
+            region = region.when(value < g.low, 4 * j + BELOW).when(value == g.low, 4 * j + AT_LOW)
+        if g.high is None:
+            return region.otherwise(4 * j + INSIDE)
+        region = region.when(value < g.high, 4 * j + INSIDE).when(value == g.high, 4 * j + AT_HIGH)
+    return region.otherwise(4 * len(intervals))
+
+
+def _locate(df: DataFrame, intervals: dict[str, list[_Gap]], by_value: bool, found: dict) -> list[_Gap]:
+    """One counting pass: ranks that it settles go to ``found``, the others are returned."""
+    columns = list(intervals)
+    cells = []
+    for i, c in enumerate(columns):
+        region = _region(as_double(c), intervals[c])
+        inside = F.when(region % 4 == INSIDE, as_double(c)) if by_value else F.lit(None).cast("double")
+        cells += [region.alias(f"r{i}"), inside.alias(f"v{i}")]
+    groups = [(f"r{i}", f"v{i}") for i in range(len(columns))]
+    counted = (
+        unpivot_groups(df.select(*cells), groups, ("region", "value"), "column_no")
+        .where(F.col("region").isNotNull())
+        .groupBy("column_no", "region", "value").count()
+    )
+    # a column arrives here as a few regions and the values counted inside the intervals
+    upto = Window.partitionBy("column_no").orderBy("region", "value").rowsBetween(Window.unboundedPreceding, 0)
+    sought = F.array(*[F.array(*[F.lit(r) for g in intervals[c] for r in g.ranks]) for c in columns])
+    hits = counted.withColumn("last", F.sum("count").over(upto) - 1).select(
+        "*", F.explode(F.element_at(sought, F.col("column_no") + 1)).alias("rank")
+    ).where((F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("count")))
+    open_gaps: dict[tuple[str, int], _Gap] = {}
+    for hit in small_rows(hits):
+        column, rank = columns[hit["column_no"]], hit["rank"]
+        j, place = divmod(hit["region"], 4)
+        bounds = intervals[column]
+        if place == AT_LOW:
+            found[column, rank] = bounds[j].low
+        elif place == AT_HIGH:
+            found[column, rank] = bounds[j].high
+        elif place == INSIDE and by_value:
+            found[column, rank] = hit["value"]
         else:
-            left.append(_Gap(gap.column, [rank], le_low, lt_high - le_low, low, high))
-    return left
+            inside = place == INSIDE
+            low = bounds[j].low if inside else (bounds[j - 1].high if j > 0 else None)
+            high = bounds[j].high if inside else (bounds[j].low if j < len(bounds) else None)
+            gap = open_gaps.setdefault((column, hit["region"]), _Gap(
+                column, [], hit["last"] + 1 - hit["count"], hit["count"], low, high
+            ))
+            gap.ranks = sorted({*gap.ranks, rank})
+    return list(open_gaps.values())
 
 
 def ranks_for(n: int, probability: float, method: str) -> list[int]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabscope.functions.bounded import column_ref, pin, small_rows
@@ -117,8 +119,10 @@ def autocorrelation_of(series: DataFrame, moments: DataFrame, max_lag: int = MAX
     """(column, lag, autocorrelation) for lags 1 to ``max_lag``.
 
     Positions are cut into blocks; each block also receives the next block's first ``max_lag``
-    values, so all products of a block are formed in its own sort and only sums move on.
-    ``moments`` has one row per column.
+    values, so all products of a block are formed in its own task and only one sum per lag
+    moves on. Blocks have a fixed size, whatever the length of the series. The products are
+    dot products of arrays, far cheaper than one window function per lag. ``moments`` has one
+    row per column.
     """
     if block < max_lag:
         raise ValueError("a block must hold at least max_lag positions")
@@ -126,33 +130,40 @@ def autocorrelation_of(series: DataFrame, moments: DataFrame, max_lag: int = MAX
         moments.where(F.col("variance") > 0).select("column", "mean", "variance", "n")
     )
     centred = series.join(stats, "column").select(
-        "column", "position", "variance", "n",
-        F.when(~F.isnan("value"), F.col("value") - F.col("mean")).alias("d"),
+        "column", "position", (F.col("value") - F.col("mean")).alias("d")
     )
     own = F.floor(F.col("position") / block).cast("long")
     in_halo = (F.col("position") % block < max_lag) & (own > 0)
-    placed = centred.select(
-        "*",
-        F.explode(F.when(in_halo, F.array(own - 1, own)).otherwise(F.array(own))).alias("block"),
-        own.alias("home"),
+    placed = (
+        centred.withColumns({"own_": own, "halo_": F.when(in_halo, own - 1)})
+        .unpivot(["column", "position", "d"], ["own_", "halo_"], "place_", "block")
+        .where(F.col("block").isNotNull())
     )
-    order = Window.partitionBy("column", "block").orderBy("position")
-    products = placed.select(
-        "column", "variance", "n", (F.col("home") == F.col("block")).alias("counts"),
-        *[(F.col("d") * F.lead("d", k).over(order)).alias(f"p{k}") for k in range(1, max_lag + 1)],
-    ).where("counts")
-    averaged = products.groupBy("column", "variance", "n").agg(
-        *[F.avg(f"p{k}").alias(f"p{k}") for k in range(1, max_lag + 1)]
+
+    def lag_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("position")["d"].to_numpy()
+        known = ~np.isnan(values)
+        values = np.where(known, values, 0.0)
+        first = min(block, len(values))
+        rows = []
+        for lag in range(1, max_lag + 1):
+            upto = min(first, len(values) - lag)
+            if upto > 0:
+                pairs = int(np.count_nonzero(known[:upto] & known[lag:lag + upto]))
+                rows.append((float(values[:upto] @ values[lag:lag + upto]), pairs, lag))
+        sums = pd.DataFrame(rows, columns=["total", "pairs", "lag"])
+        return sums.assign(column=pdf["column"].iloc[0])[["column", "lag", "total", "pairs"]]
+
+    sums = placed.groupBy("column", "block").applyInPandas(
+        lag_sums, "column string, lag int, total double, pairs long"
     )
-    lags = F.array(*[
-        F.struct(F.lit(k).alias("lag"), (F.col(f"p{k}") / F.col("variance")).alias("autocorrelation"))
-        for k in range(1, max_lag + 1)
-    ])
     limit = lag_limit(F.col("n"), max_lag)
     return (
-        averaged.select("column", limit.alias("limit"), F.inline(lags))
-        .where((F.col("limit") >= 2) & (F.col("lag") <= F.col("limit")))
-        .select("column", "lag", "autocorrelation")
+        sums.groupBy("column", "lag").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+        .where(F.col("pairs") > 0)
+        .join(stats, "column")
+        .where((limit >= 2) & (F.col("lag") <= limit))
+        .select("column", "lag", (F.col("total") / F.col("pairs") / F.col("variance")).alias("autocorrelation"))
     )
 
 

@@ -16,6 +16,7 @@ from tabscope.plans.registry import (
     query,
     rated_documents,
     table,
+    texts,
 )
 from tabscope.session import scratch_path
 from tabscope.sources import dataset_metadata, load, results_as_json, sample_rows, write_results
@@ -392,7 +393,7 @@ def pii_sql(column: str, source: str) -> str:
 ))
 def pii_flags(spark, folder):
     contacts = profile.pii_shares(contact_customers(spark, folder), ["c_name", "email", "phone"])
-    documents = profile.pii_shares(table(spark, folder, "documents"), ["text"])
+    documents = profile.pii_shares(texts(spark, folder, "documents"), ["text"])
     return contacts.unionByName(documents).select(
         "column", F.round("email_share", 9).alias("email_share"),
         F.round("phone_share", 9).alias("phone_share"), F.array_join("pii_flags", ",").alias("pii_flags"),
@@ -403,7 +404,7 @@ def pii_flags(spark, folder):
        f"SELECT * FROM (SELECT doc_id, regexp_matches(text, '{EMAIL_REGEX}') AS has_email, "
        f"regexp_matches(text, '{PHONE_REGEX}') AS has_phone FROM documents) WHERE has_email OR has_phone")
 def pii_rows(spark, folder):
-    return profile.pii_rows(table(spark, folder, "documents"), "text").select("doc_id", "has_email", "has_phone")
+    return profile.pii_rows(texts(spark, folder, "documents"), "text").select("doc_id", "has_email", "has_phone")
 
 
 # -- column and table profiles ----------------------------------------------------------------

@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabscope.sources import spread_scan
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -37,6 +39,11 @@ def per_column(template: str, columns: Sequence[str], **more: str) -> str:
     )
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, whose rows are much work each."""
+    return spread_scan(table(spark, folder, name))
+
+
 # Inputs with gaps: the given tables have no nulls, so some queries derive them.
 
 def gappy_lineitem(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +63,7 @@ GAPPY_LINEITEM = (
 
 def rated_documents(spark: SparkSession, folder: str) -> DataFrame:
     """documents with their labels; a document without a label has nulls there."""
-    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return texts(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
 
 
 RATED_DOCUMENTS = (

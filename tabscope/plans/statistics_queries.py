@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import association, forest, inference, outliers
 from tabscope.plans.profile_queries import LINEITEM_MEASURES, nearest
-from tabscope.plans.registry import GAPPY_LINEITEM, gappy_lineitem, per_column, query, table
+from tabscope.plans.registry import GAPPY_LINEITEM, gappy_lineitem, per_column, query, table, texts
 
 # -- correlation ------------------------------------------------------------------------------
 
@@ -26,7 +26,7 @@ FILLED_DOCUMENTS = (
 
 def measured_documents(spark, folder):
     """documents measured in characters, words and lines, some with a quality label."""
-    documents = table(spark, folder, "documents").select(
+    documents = texts(spark, folder, "documents").select(
         "doc_id", "n_chars", F.size(F.split("text", " ")).alias("n_words"),
         F.size(F.split("text", "\n")).alias("n_lines"), F.lit(3).alias("constant"),
     )

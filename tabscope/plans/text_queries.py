@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.text import WHITESPACE
 from tabscope.operators import documents, sqltext, vectors
 from tabscope.operators.asof import asof_join
-from tabscope.plans.registry import query, table
+from tabscope.plans.registry import query, table, texts
 
 SPACE = f"'{WHITESPACE}'"
 
@@ -24,7 +24,7 @@ SECTIONED = (
 def sectioned(spark, folder):
     """documents as reports: the whole text under a header, with repeated and empty sections."""
     number = F.col("doc_id")
-    return table(spark, folder, "documents").select("doc_id", F.concat(
+    return texts(spark, folder, "documents").select("doc_id", F.concat(
         F.lit("Preface\n  Executive Summary  \n"), "text", F.lit("\nDATA QUALITY:\n"),
         F.when(number % 3 == 0, "Key statistical results\n").otherwise(""), "lang",
         F.lit("\nPatterns\nfirst\n3. Relationships and patterns\n"), "source", F.lit("\nRecommendations"),

@@ -6,10 +6,11 @@ from tabscope.sources.readers import (
     load,
     require_rows,
     sample_rows,
+    spread_scan,
 )
 from tabscope.sources.writers import results_as_json, write_results
 
 __all__ = [
     "dataset_metadata", "detect_file_type", "file_metadata", "load", "require_rows",
-    "sample_rows", "results_as_json", "write_results",
+    "sample_rows", "spread_scan", "results_as_json", "write_results",
 ]

@@ -78,6 +78,19 @@ def scan_csv(
     return read("ISO-8859-1") if not df.where(broken).isEmpty() else df
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scanned table whose rows can keep all cores busy.
+
+    A file of one row group is one task, however much work its rows are. If a scan of more
+    than one block yields tasks for less than half of the cores, its rows are redistributed;
+    a table with enough tasks is returned as it is. Meant for tables as they are read: the
+    tasks of a scan are known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df.rdd.getNumPartitions()
+    return df.repartition(cores) if 1 < tasks <= cores / 2 else df
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     """The table itself, if it has a column and a row."""
     if not df.columns:
@@ -117,5 +130,5 @@ def sample_rows(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame
 
 __all__ = [
     "dataset_metadata", "detect_file_type", "file_metadata", "load", "require_rows",
-    "sample_rows", "scan_csv",
+    "sample_rows", "scan_csv", "spread_scan",
 ]
