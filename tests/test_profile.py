@@ -124,16 +124,16 @@ def exact(values, p, method):
     return quantiles.combine([values[r] for r in ranks], len(values), p)
 
 
-@pytest.mark.parametrize("limit", [0, 7, 500, 10**6])
+@pytest.mark.parametrize("limit", [0, 500, 10**6])
 def test_quantiles_by_narrowing(spark, limit):
     # a third of the rows hold one value; one column is heavy-tailed, one has gaps
-    df = spark.range(20_000).select(
+    df = spark.range(6_000).select(
         F.when(F.col("id") % 3 == 0, 500.0).otherwise((F.col("id") * 7919) % 10_007).alias("hot"),
         F.exp((F.col("id") * 104_729) % 20_011 / 300.0).alias("tail"),
         F.when(F.col("id") % 5 != 0, F.col("id")).alias("gaps"),
         F.lit(3.0).alias("same"),
     )
-    columns, points = ["hot", "tail", "gaps", "same"], (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    columns, points = ["hot", "tail", "gaps", "same"], (0.0, 0.25, 0.5, 0.999, 1.0)
     data = {c: [r[c] for r in df.select(c).collect() if r[c] is not None] for c in columns}
     for method in ("nearest", "linear"):
         result = quantiles.quantiles(df, columns, points, method, inside_limit=limit)
