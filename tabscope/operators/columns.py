@@ -121,17 +121,9 @@ def column_name(columns: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1)
 
 
-def rendered(
-    df: DataFrame,
-    columns: Sequence[str],
-    v_long: Column | None = None,
-    v_double: Column | None = None,
-    v_text: Column | None = None,
-) -> Column:
-    """The display text of a cell of ``long_values``; other slots can stand in for its own."""
-    v_long = F.col("v_long") if v_long is None else v_long
-    v_double = F.col("v_double") if v_double is None else v_double
-    v_text = F.col("v_text") if v_text is None else v_text
+def rendered(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The display text of a cell of ``long_values``."""
+    v_long, v_double, v_text = F.col("v_long"), F.col("v_double"), F.col("v_text")
     rendering = F.coalesce(v_text, v_double.cast("string"), v_long.cast("string"))
     seconds = (v_long.cast("decimal(20, 0)") / 1_000_000).cast("decimal(18, 6)")
     texts = (

@@ -164,7 +164,7 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """What the value frequencies tell: counts, range and date share, and the top values.
+    """What the value frequencies tell: counts, the share of dates, and the top values.
 
     Dates are recognised once per distinct value and weighted by its count. Both branches
     read the same shuffled frequency table.
@@ -178,16 +178,11 @@ def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
         F.sum(F.when(known, 0).otherwise(F.col("count"))).alias("null_count"),
         F.count(F.lit(1)).alias("n_unique"),
         (F.sum(date_rows) / F.sum(text_rows)).alias("date_share"),
-        F.min("v_long").alias("low"), F.max("v_long").alias("high"),
-        F.min("v_text").alias("low_text"), F.max("v_text").alias("high_text"),
     )
     entry = F.struct("rank", F.coalesce(rendered(df, columns), F.lit("None")).alias("value"), "count")
     top = top_of(freq, k).groupBy("column_no").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    none = F.lit(None).cast("double")
     return counts.join(top, "column_no").select(
         column_name(columns).alias("column"), "total_count", "null_count", "n_unique", "date_share",
-        rendered(df, columns, F.col("low"), none, F.col("low_text")).alias("min_text"),
-        rendered(df, columns, F.col("high"), none, F.col("high_text")).alias("max_text"),
         F.transform(
             "entries", lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))
         ).alias("top_values"),
@@ -197,7 +192,8 @@ def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 def summarize(df: DataFrame, options: Options = Options(), k: int = 10) -> DataFrame:
     """One row per column: class, counts, moments, ranges and most frequent values.
 
-    Two scans (moments of numbers; value frequencies) whatever the number of columns. The
+    A fixed number of scans whatever the number of columns (value frequencies; moments of
+    numbers; ranges of dates). The
     result has as many rows as the table has columns and is pinned, because later plans are
     chosen by the classes in it.
     """
@@ -221,13 +217,18 @@ def summarize(df: DataFrame, options: Options = Options(), k: int = 10) -> DataF
         c: F.coalesce(c, zero) for c in ("total_count", "null_count", "n_unique")
     })
     shared = F.when(F.col("kind") == "string", F.col("date_share"))
-    return pin(counted.select(
+    classed = pin(counted.select(
         "position", "column",
         semantic_class(F.col("kind"), F.col("n_unique"), F.col("total_count"), shared).alias("detected_type"),
         "dtype", "total_count", "null_count", null_pct().alias("null_pct"), "n_unique",
-        shared.alias("date_share"), "mean", "std", "min", "max", "min_text", "max_text",
+        shared.alias("date_share"), "mean", "std", "min", "max",
         F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
     ))
+    times = columns_of_class(classed, DATETIME)
+    if not times:
+        nothing = F.lit(None).cast("string")
+        return classed.withColumns({"min_text": nothing, "max_text": nothing})
+    return classed.join(pin(datetime_profile(df, times).toDF("column", "min_text", "max_text")), "column", "left")
 
 
 def column_types(df: DataFrame, options: Options = Options()) -> DataFrame:
