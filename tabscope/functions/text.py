@@ -18,6 +18,19 @@ WHITESPACE = (
 )
 
 
+# Texts longer than this are compared by their length and SHA-256 digest where only equality counts.
+LONG_TEXT = 100
+
+
+def is_long(text: Column) -> Column:
+    return F.char_length(text) > LONG_TEXT
+
+
+def digest(text: Column) -> Column:
+    """A long text as its SHA-256 digest, so that a shuffle need not carry whole texts."""
+    return F.sha2(text, 256)
+
+
 def strip(text: Column) -> Column:
     """Remove white space from both ends."""
     return F.btrim(text, F.lit(WHITESPACE))

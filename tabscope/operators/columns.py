@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.bounded import column_ref
+from tabscope.functions.text import digest, is_long, starts_with_date
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -87,11 +88,13 @@ def long_cells(df: DataFrame, cells: Mapping[str, Column], keep: Sequence[str] =
     )
 
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def long_values(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
     """Rows (column_no, v_long, v_double, v_text): every value in the one slot of its kind.
 
     One grouping over this table counts the values of all columns without first turning
-    numbers into text. ``column_no`` is the place of the column in ``columns``.
+    numbers into text. ``column_no`` is the place of the column in ``columns``. With
+    ``digests``, a long string is its digest in v_text, its length in v_long, and 1 or 0 in
+    v_double for whether it starts like a date.
     """
 
     def slots(i: int, name: str) -> list[Column]:
@@ -109,6 +112,10 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             real = col.cast("double")
         else:
             text = as_text(df, name)
+            if digests:
+                number = F.when(is_long(text), F.char_length(text).cast("long"))
+                real = F.when(is_long(text), starts_with_date(text).cast("double"))
+                text = F.when(is_long(text), digest(text)).otherwise(text)
         return [number.alias(f"l{i}"), real.alias(f"d{i}"), text.alias(f"t{i}")]
 
     wide = df.select(*[slot for i, c in enumerate(columns) for slot in slots(i, c)])

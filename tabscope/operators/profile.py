@@ -16,14 +16,15 @@ from tabscope.operators.columns import (
     column_name,
     data_type,
     is_number,
-    rendered,
 )
 from tabscope.operators.frequency import (
+    VALUE_SLOTS,
     completeness_of,
     duplicate_rows,
     frequency_table,
     null_pct,
     top_of,
+    top_with_texts,
 )
 from tabscope.operators.quantiles import quantile_values
 
@@ -169,19 +170,24 @@ def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     Dates are recognised once per distinct value and weighted by its count. Both branches
     read the same shuffled frequency table.
     """
-    freq = frequency_table(df, columns)
+    freq = frequency_table(df, columns, digests=True)
     known = F.col("v_long").isNotNull() | F.col("v_double").isNotNull() | F.col("v_text").isNotNull()
     text_rows = F.when(F.col("v_text").isNotNull(), F.col("count"))
-    date_rows = F.when(starts_with_date(F.col("v_text")), F.col("count")).otherwise(0)
+    dated = F.when(F.col("v_double").isNull(), starts_with_date(F.col("v_text"))).otherwise(F.col("v_double") == 1)
     counts = freq.groupBy("column_no").agg(
         F.sum("count").alias("total_count"),
         F.sum(F.when(known, 0).otherwise(F.col("count"))).alias("null_count"),
         F.count(F.lit(1)).alias("n_unique"),
-        (F.sum(date_rows) / F.sum(text_rows)).alias("date_share"),
+        (F.sum(F.when(dated, text_rows).otherwise(0)) / F.sum(text_rows)).alias("date_share"),
     )
-    entry = F.struct("rank", F.coalesce(rendered(df, columns), F.lit("None")).alias("value"), "count")
-    top = top_of(freq, k).groupBy("column_no").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    return counts.join(top, "column_no").select(
+    slots = F.struct("rank", "count", *VALUE_SLOTS)
+    lists = top_of(freq, k).groupBy("column_no").agg(F.array_sort(F.collect_list(slots)).alias("slots"))
+    facts = pin(counts.join(lists, "column_no"))
+    top = top_with_texts(df, columns, facts.select("column_no", F.inline("slots")))
+    entries = top.groupBy("column_no").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("entries")
+    )
+    return facts.join(entries, "column_no").select(
         column_name(columns).alias("column"), "total_count", "null_count", "n_unique", "date_share",
         F.transform(
             "entries", lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))
@@ -192,10 +198,9 @@ def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 def summarize(df: DataFrame, options: Options = Options(), k: int = 10) -> DataFrame:
     """One row per column: class, counts, moments, ranges and most frequent values.
 
-    A fixed number of scans whatever the number of columns (value frequencies; moments of
-    numbers; ranges of dates). The
-    result has as many rows as the table has columns and is pinned, because later plans are
-    chosen by the classes in it.
+    A few scans whatever the number of columns: value frequencies, moments of numbers, ranges
+    of dates, and the texts of long top values if there are any. The result has as many rows
+    as the table has columns and is pinned, because later plans are chosen by the classes.
     """
     columns = list(df.columns)
     if not columns:

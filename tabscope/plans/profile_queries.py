@@ -194,6 +194,19 @@ def top_values(spark, folder):
     )
 
 
+LONG_ORDER = (
+    "count(*) DESC, CASE WHEN length(text) > 100 THEN length(text) END ASC NULLS LAST, "
+    "CASE WHEN length(text) > 100 THEN sha256(text) ELSE text END ASC"
+)
+
+
+@query("top_values_text",
+       f"SELECT 'text' AS \"column\", (row_number() OVER (ORDER BY {LONG_ORDER}))::INTEGER AS rank, text AS value, count(*) AS count "
+       f"FROM documents GROUP BY text QUALIFY row_number() OVER (ORDER BY {LONG_ORDER}) <= 10")
+def top_values_text(spark, folder):
+    return frequency.top_values(texts(spark, folder, "documents"), ["text"])
+
+
 @query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM " + GAPPY_LINEITEM)
 def distinct_rows(spark, folder):
     df = gappy_lineitem(spark, folder).select("l_returnflag", "l_linestatus", "l_linenumber")

@@ -202,3 +202,20 @@ def test_profile_does_not_depend_on_partitions(spark, small):
     one = sorted(map(str, profile.profile_columns(df.coalesce(1)).collect()))
     many = sorted(map(str, profile.profile_columns(df.repartition(13, "o_custkey")).collect()))
     assert one == many
+
+
+def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
+    long = ["x" * 150, "2024-01-01 " + "y" * 200, "x" * 151]
+    rows = [(long[0],)] * 5 + [(long[1],)] * 3 + [(long[2],)] + [("short",)] * 4 + [(None,)]
+    df = spark.createDataFrame(rows, "s string")
+    top = frequency.top_values(df).orderBy("rank").collect()
+    assert [(r["value"], r["count"]) for r in top] == [
+        (long[0], 5), ("short", 4), (long[1], 3), (long[2], 1), ("None", 1)]
+    assert frequency.n_unique(df).first()["n_unique"] == 5
+    assert {r["value"]: r["count"] for r in frequency.value_counts(df).collect()}[long[2]] == 1
+    assert frequency.duplicate_rows(df).first()["duplicate_rows"] == 9
+    record = profile.profile_columns(df).first()
+    assert [e["value"] for e in record["top_values"]][:2] == [long[0], "short"]
+    assert profile.summarize(df).first()["date_share"] == 3 / 13
+    dated = profile.column_types(df.where(F.col("s").startswith("2024")))
+    assert dated.first()["detected_type"] == "datetime"
