@@ -97,8 +97,12 @@ def long_values(df: DataFrame, columns: Sequence[str], digests: bool = False) ->
     v_double for whether it starts like a date.
     """
 
+    def value(i: int, name: str) -> Column:
+        plain = INTEGRAL + FRACTIONAL + TEMPORAL + (T.BooleanType,)
+        return (column_ref(name) if isinstance(data_type(df, name), plain) else as_text(df, name)).alias(f"x{i}")
+
     def slots(i: int, name: str) -> list[Column]:
-        kind, col = data_type(df, name), column_ref(name)
+        kind, col = data_type(df, name), F.col(f"x{i}")
         number, real, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
         if isinstance(kind, INTEGRAL + (T.BooleanType,)):
             number = col.cast("long")
@@ -110,15 +114,17 @@ def long_values(df: DataFrame, columns: Sequence[str], digests: bool = False) ->
             number = local_micros(col)
         elif isinstance(kind, FRACTIONAL):
             real = col.cast("double")
+        elif digests:
+            number = F.when(is_long(col), F.char_length(col).cast("long"))
+            real = F.when(is_long(col), starts_with_date(col).cast("double"))
+            text = F.when(is_long(col), digest(col)).otherwise(col.cast("string"))
         else:
-            text = as_text(df, name)
-            if digests:
-                number = F.when(is_long(text), F.char_length(text).cast("long"))
-                real = F.when(is_long(text), starts_with_date(text).cast("double"))
-                text = F.when(is_long(text), digest(text)).otherwise(text)
+            text = col.cast("string")
         return [number.alias(f"l{i}"), real.alias(f"d{i}"), text.alias(f"t{i}")]
 
-    wide = df.select(*[slot for i, c in enumerate(columns) for slot in slots(i, c)])
+    # a projection of their own, so that derived values are computed once
+    values = df.select(*[value(i, c) for i, c in enumerate(columns)])
+    wide = values.select(*[slot for i, c in enumerate(columns) for slot in slots(i, c)])
     groups = [(f"l{i}", f"d{i}", f"t{i}") for i in range(len(columns))]
     return unpivot_groups(wide, groups, ("v_long", "v_double", "v_text"), "column_no")
 

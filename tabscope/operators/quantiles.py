@@ -114,14 +114,16 @@ def _region(value: Column, intervals: list[_Gap]) -> Column:
 def _locate(df: DataFrame, intervals: dict[str, list[_Gap]], by_value: bool, found: dict) -> list[_Gap]:
     """One counting pass: ranks that it settles go to ``found``, the others are returned."""
     columns = list(intervals)
-    cells = []
-    for i, c in enumerate(columns):
-        region = _region(as_double(c), intervals[c])
-        inside = F.when(region % 4 == INSIDE, as_double(c)) if by_value else F.lit(None).cast("double")
-        cells += [region.alias(f"r{i}"), inside.alias(f"v{i}")]
-    groups = [(f"r{i}", f"v{i}") for i in range(len(columns))]
+    places = range(len(columns))
+    # each step is a projection of its own, so that a value and its region are computed once
+    values = df.select(*[as_double(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    regions = values.select("*", *[_region(F.col(f"x{i}"), intervals[c]).alias(f"r{i}") for i, c in enumerate(columns)])
+    inside = [
+        F.when(F.col(f"r{i}") % 4 == INSIDE, F.col(f"x{i}")) if by_value else F.lit(None).cast("double") for i in places
+    ]
+    cells = regions.select(*[f"r{i}" for i in places], *[cell.alias(f"v{i}") for i, cell in enumerate(inside)])
     counted = (
-        unpivot_groups(df.select(*cells), groups, ("region", "value"), "column_no")
+        unpivot_groups(cells, [(f"r{i}", f"v{i}") for i in places], ("region", "value"), "column_no")
         .where(F.col("region").isNotNull())
         .groupBy("column_no", "region", "value").count()
     )
