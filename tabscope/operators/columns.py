@@ -98,7 +98,7 @@ def long_values(df: DataFrame, columns: Sequence[str], digests: bool = False) ->
     """
 
     def value(i: int, name: str) -> Column:
-        plain = INTEGRAL + FRACTIONAL + TEMPORAL + (T.BooleanType,)
+        plain = INTEGRAL + FRACTIONAL + (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
         return (column_ref(name) if isinstance(data_type(df, name), plain) else as_text(df, name)).alias(f"x{i}")
 
     def slots(i: int, name: str) -> list[Column]:

@@ -222,11 +222,12 @@ def horner_sql(coefficients: tuple, x: str) -> str:
 
 
 def shapiro_sql(column: str, source: str) -> str:
-    """SQL for the Shapiro-Wilk test of 12 to 5,000 values, from the published formulas."""
+    """SQL for the Shapiro-Wilk test of 8 to 5,000 values, from the published formulas."""
     from tabscope.functions import shapiro as s
 
     m = normal_quantile_sql("((i - 0.375) / (n + 0.25))")
     last = f"(mn / sqrt(mm) + {horner_sql(s.LAST_WEIGHT, '(1 / sqrt(n))')})"
+    bound = horner_sql(s.SMALL_SHIFT, "n")
     second = f"(mn1 / sqrt(mm) + {horner_sql(s.SECOND_WEIGHT, '(1 / sqrt(n))')})"
     return (
         f"(WITH ranked AS (SELECT x, i, n, {m} AS m FROM (SELECT {column} + 0.0 AS x, "
@@ -237,8 +238,9 @@ def shapiro_sql(column: str, source: str) -> str:
         "weighted AS (SELECT *, CASE i WHEN n THEN an WHEN n - 1 THEN an1 WHEN 1 THEN -an WHEN 2 THEN -an1 "
         "ELSE m / sqrt((mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)) END AS a FROM ends), "
         "w AS (SELECT max(n) AS n, power(sum(a * (x - mean)), 2) / sum(power(x - mean, 2)) AS w FROM weighted), "
-        f"z AS (SELECT *, (ln(1 - w) - {horner_sql(s.LARGE_MEAN, 'ln(n)')}) / exp({horner_sql(s.LARGE_LOG_SD, 'ln(n)')}) AS z FROM w), "
-        f"p AS (SELECT *, {upper_tail_sql('z')} AS p FROM z) "
+        f"z AS (SELECT *, CASE WHEN n > 11 THEN (ln(1 - w) - {horner_sql(s.LARGE_MEAN, 'ln(n)')}) / exp({horner_sql(s.LARGE_LOG_SD, 'ln(n)')}) "
+        f"WHEN ln(1 - w) < {bound} THEN (-ln({bound} - ln(1 - w)) - {horner_sql(s.SMALL_MEAN, 'n')}) / exp({horner_sql(s.SMALL_LOG_SD, 'n')}) "
+        f"ELSE 100.0 END AS z FROM w), p AS (SELECT *, {upper_tail_sql('z')} AS p FROM z) "
         f"SELECT '{column}' AS \"column\", 'shapiro_wilk' AS test, p.n AS sample_size, round(w, 6) AS statistic, "
         f"round(abs(p), 6)::DOUBLE AS p_value, p > 0.05 AS is_normal, skewness, kurtosis FROM p, ({moment_sql(column, source)}))"
     )
@@ -295,7 +297,8 @@ def anderson_sql(column: str, source: str) -> str:
         "FROM (SELECT max(n) AS n, -max(n) - sum((2 * i - 1) * lower + (2 * n + 1 - 2 * i) * upper) / max(n) AS a2 FROM "
         f"(SELECT i, n, {log_upper_sql('(-z)')} AS lower, {log_upper_sql('z')} AS upper FROM "
         f"(SELECT row_number() OVER (ORDER BY x) AS i, n, (x - mean) / sd AS z FROM (SELECT x, count(*) OVER () AS n, "
-        f"avg(x) OVER () AS mean, stddev_samp(x) OVER () AS sd FROM (SELECT {column} + 0.0 AS x FROM {source} WHERE {column} IS NOT NULL)))))"
+        f"avg(x) OVER () AS mean, stddev_samp(x) OVER () AS sd FROM (SELECT {column} + 0.0 AS x FROM {source} WHERE {column} IS NOT NULL)))) "
+        "HAVING max(n) >= 20)"
     )
 
 
