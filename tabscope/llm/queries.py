@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabscope.llm import bpe
+from tabscope.llm import bpe, language, licenses, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain counts and the verdict of the regression for every document."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Base phrases and labels of every document."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    base, own = F.col("places.label"), F.col("detections.label")
+    confidence = F.array(*(F.lit(c) for c in licenses.CONFIDENCE))
+    best = F.transform("detections.priority", lambda p: F.element_at(confidence, p + 1))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
+        F.greatest(F.coalesce(F.array_max(best), F.lit(0.0)),
+                   F.when(F.size("places") > 0, licenses.BASE_CONFIDENCE).otherwise(0.0)).alias("score"),
+    )
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document with the multi-language rank file, decode the ids, and digest both sides."""
