@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, language, licenses, quality
+from tabscope.llm import bpe, language, licenses, ppm, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,12 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Word-model and PPM scores of every document."""
+    return ppm.score(table(spark, folder, "documents"))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document with the multi-language rank file, decode the ids, and digest both sides."""
