@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, imatch, language, licenses, ppm, quality
+from tabscope.llm import bpe, imatch, language, licenses, ngram_join, ppm, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are at least 85% similar."""
+    return ngram_join.components(table(spark, folder, "documents"), size=4, percent=85)
+
+
 @query
 def op3_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
