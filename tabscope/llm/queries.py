@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, imatch, language, licenses, ngram_join, ppm, quality
+from tabscope.llm import bpe, imatch, language, licenses, ngram_join, ppm, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,12 @@ def op8_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score(table(spark, folder, "documents"))
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of a document with a smaller id."""
+    return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document with the multi-language rank file, decode the ids, and digest both sides."""
