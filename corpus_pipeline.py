@@ -1,17 +1,67 @@
 """A corpus pipeline over ``documents``: each stage's rows are written as Parquet and read by the next stage.
 
-STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
+the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabscope.llm import language, ngram_join, packing, pii, suffix_dedup
 from tabscope.llm.rows import stored
 
-STAGES: list = []
+#: A document goes if its language is predicted with less than this score.
+MIN_LANGUAGE_SCORE = 0.3
 
-#: The stages' classifiers can't be stated in SQL.
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. Those without letters, or with a very unsure language, go."""
+    found = language.identify(docs, language.train(docs), docs.columns)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Documents without an id stay. Of rows that repeat an id, one stays.
+    """
+    groups = ngram_join.components(docs, size=5, percent=80)
+    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti")
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a document of smaller id has; ``n_chars`` follows."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms for personal data."""
+    return pii.pseudonymize(docs, pii.DEMO_KEY)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A batch for each document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", by_language),
+    ("near_copies", one_of_near_copies),
+    ("repeats", without_repeats),
+    ("personal_data", pseudonymous),
+    ("packing", packed),
+]
+
+#: The language stage is a fitted classifier and packing a dynamic program: SQL can't state them.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, imatch, language, licenses, ngram_join, ppm, quality, suffix_dedup
+from tabscope.llm import (
+    bpe, imatch, language, licenses, ngram_join, packing, pii, ppm, quality, suffix_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +48,20 @@ def op3_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprint_edits(table(spark, folder, "documents"))
 
 
+@query
+def op4_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data, and how many of each kind."""
+    found = pii.pseudonymize(table(spark, folder, "documents").select("doc_id", "text"), pii.DEMO_KEY, "found")
+    counts = [F.coalesce(F.col("found")[k], F.lit(0)).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", "text", *counts)
+
+
+@query
+def op5_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch and slot for every document."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Plain counts and the verdict of the regression for every document."""
