@@ -193,11 +193,10 @@ def _ssn(cipher: Cipher, text: str) -> str | None:
     return refill(text, moved) if moved else None
 
 
-def _phone(cipher: Cipher, text: str) -> str | None:
+def _phone(cipher: Cipher, text: str) -> str:
     digits = re.sub(r"\D", "", text)
     head = digits[:-10]
-    moved = _ranged(cipher, digits[-10:], [(3, 200, 999), (3, 200, 999), (4, 0, 9999)], "phone")
-    return refill(text, head + moved) if moved else None
+    return refill(text, head + cipher.characters(digits[-10:], [DIGITS] * 10, "phone"))
 
 
 def _foreign_phone(cipher: Cipher, text: str) -> str | None:
