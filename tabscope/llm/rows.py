@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tabscope.session import scratch_path
+
 #: Rows of an Arrow batch that are Python objects at the same time.
 SLICE = 256
 
@@ -51,19 +52,7 @@ def octets(name: str = "text") -> Column:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the cluster's shared folder and read it back: it is computed once, and lost executors cost nothing.
-
-    The folder is the one in ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """Write a table to the cluster's shared folder and read it back: it is computed once, and lost executors cost nothing."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; an error where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
