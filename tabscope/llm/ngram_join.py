@@ -124,7 +124,9 @@ def document_sets(docs: DataFrame, size: int, percent: int, id_column: str) -> D
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """``shingle, class, n, place, matches``: entries of lists with two classes or more, up to each class's choice."""
+    """``shingle, class, n, place, live, level, matches``: entries of lists with two classes or more, up to each
+    class's choice. ``live`` counts the class's entries in such lists before this one.
+    """
     n = F.col("n")
     free = n - required(n, percent)  # shingles that a partner may miss
     entries = classes.select("class", "n", F.posexplode("prefix").alias("place", "shingle")).select(
@@ -132,7 +134,6 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     ).where(F.col("level") <= F.least(F.lit(MATCHES), required(n, percent)))
     entries = entries.repartition("shingle")
     lists = entries.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
-    entries = stored(entries.join(lists, "shingle"), "postings")
     # read(m): entries met by a prefix for m matches; candidates are at most read(m) / m
     read = [F.sum(F.when(F.col("level") <= m, F.col("classes") - 1).otherwise(0)) for m in range(1, MATCHES + 1)]
     costs = [r * (1.0 + VERIFY_COST / m) for m, r in enumerate(read, 1)]
@@ -140,15 +141,24 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     choice = F.array_min(F.array(*(
         F.when(allowed >= m, F.struct(c.alias("cost"), F.lit(m).alias("matches"))) for m, c in enumerate(costs, 1)
     )))
-    chosen = entries.groupBy("class").agg(choice.getField("matches").alias("matches"))
-    return entries.join(chosen, "class").where(F.col("level") <= F.col("matches"))
+    own = F.array_sort(F.collect_list(F.struct("place", "shingle", "level")))  # as long as a prefix at most
+    chosen = entries.join(lists, "shingle").groupBy("class").agg(
+        F.first("n").alias("n"), choice.getField("matches").alias("matches"), own.alias("own")
+    )
+    return chosen.select("class", "n", "matches", F.posexplode("own").alias("live", "entry")).select(
+        "entry.shingle", "class", "n", "entry.place", "live", "entry.level", "matches"
+    ).where(F.col("level") <= F.col("matches"))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """What sizes and places of a shared shingle allow: at most the smaller place before it, and the fewer after it."""
+    """What sizes and places of a shared shingle allow.
+
+    Before it, only shingles that stand in the other's prefix too can be shared, and such are in lists of two or
+    more; from it on, at most the fewer that are left.
+    """
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    pa_, pb = F.col(f"{a}.place"), F.col(f"{b}.place")
-    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
+    rest = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
+    most = F.least(F.col(f"{a}.live"), F.col(f"{b}.live")) + rest
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (most * (100 + percent) >= (na + nb) * percent)
 
 
@@ -278,7 +288,7 @@ def components(
         return verified(near, docs, classes, size, percent, id_column)
 
     # first round: each list against its member whose set begins nearest to the shingle
-    hub = F.min(F.struct("place", "class", "n", "level", "matches"))
+    hub = F.min(F.struct("place", "class", "n", "live", "level", "matches"))
     hubs = lists.groupBy("shingle").agg(hub.alias("hub")).select("shingle", "hub.*")
     x, y = lists.alias("x"), hubs.alias("y")
     near_hub = x.join(y, "shingle").where((F.col("x.class") != F.col("y.class")) & may_link("x", "y", percent))
