@@ -334,26 +334,29 @@ def dedup(
     repeated rows come out each.
     """
     place = F.coalesce("doc_id", F.lit(_LAST)).alias("place")
-    texts = docs.select(place, F.col("text").cast("binary").alias("text"))
+    rest = F.struct(*(F.col(f"`{k}`") for k in keep)).alias("rest")
+    texts = docs.select(place, F.col("text").cast("binary").alias("text"), rest)
     splitters = find_splitters(texts, match)
 
     def anchors(text: bytes | None) -> tuple:
         own = Anchors(text or b"", match)
         return own.key, own.group, own.span
 
-    spans = exchanged(block_rows(texts, splitters, True, anchors), True)
+    spans = exchanged(block_rows(texts.select("place", "text"), splitters, True, anchors), True)
 
     def edge_windows(own: Anchors, whole: np.ndarray, part: list[bytes] | None) -> Windows:
         edge = np.isin(own.span, item_set(part)) & ~whole
         return Windows(own.raw, covered(own.first[edge], own.last[edge]), match)
 
-    def windows(text: bytes | None, whole: list[bytes] | None, part: list[bytes] | None) -> tuple:
+    def windows(text: bytes | None, whole: list[bytes] | None, part: list[bytes] | None, _: Any) -> tuple:
         own = Anchors(text or b"", match)
         edge = edge_windows(own, np.isin(own.span, item_set(whole)), part)
         return edge.key, edge.group, edge.item
 
     questions = texts.join(spans.where(F.exists("part", lambda p: F.octet_length(p) > 0)), "place")
-    single = exchanged(block_rows(questions.select("place", "text", "whole", "part"), splitters, False, windows), False)
+    # with the same columns as below, the texts are shuffled once for both joins
+    questions = questions.select("place", "text", "whole", "part", "rest")
+    single = exchanged(block_rows(questions, splitters, False, windows), False)
     single = single.select("place", F.col("whole").alias("single"))
 
     def start() -> Callable[..., tuple]:
@@ -374,9 +377,7 @@ def dedup(
 
         return work
 
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    joined = docs.select(place, F.col("text").cast("binary").alias("text"), F.struct(*rest).alias("rest"))
-    joined = joined.join(spans, "place", "left").join(single, "place", "left")
+    joined = texts.join(spans, "place", "left").join(single, "place", "left")
     return map_rows(joined, ["text", "whole", "part", "single", *(F.col(f"rest.`{k}`") for k in keep)], schema, start)
 
 
