@@ -18,7 +18,7 @@ from tabscope.session import build_session  # noqa: E402
 HEADLINE = (
     "profile_dataset", "profile_columns", "column_types", "value_counts", "n_unique", "null_counts",
     "duplicate_rows", "top_values", "quantile_nearest", "profile_numeric", "pii_flags", "pearson_matrix",
-    "cramers_v", "chi_square", "anderson_darling", "shapiro_wilk_sampled", "iqr_outliers", "iqr_outlier_rows",
+    "cramers_v", "chi_square", "anderson_darling", "shapiro_wilk", "iqr_outliers", "iqr_outlier_rows",
     "isolation_forest", "trend", "autocorrelation", "timeseries_report", "findings_report", "chart_histogram",
     "chart_box", "split_sections", "extract_json", "vector_topk_each", "sql_join_inner", "sql_window_rank",
     "asof_join",

@@ -23,6 +23,27 @@ ERFC_TAIL_NUM = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.6034489994980
 ERFC_TAIL_DEN = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1,
                  6.05183413124413191e-2, 2.33520497626869185e-3)
 
+# M. J. Wichura, "Algorithm AS 241: the percentage points of the normal
+# distribution", Applied Statistics 37 (1988). Numerator and denominator, highest power first.
+CENTRAL = (
+    (2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4, 4.5921953931549871457e+4,
+     1.3731693765509461125e+4, 1.9715909503065514427e+3, 1.3314166789178437745e+2, 3.3871328727963666080e+0),
+    (5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4, 2.1213794301586595867e+4,
+     5.3941960214247511077e+3, 6.8718700749205790830e+2, 4.2313330701600911252e+1, 1.0),
+)
+TAIL = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e+0,
+     3.64784832476320460504e+0, 5.76949722146069140550e+0, 4.63033784615654529590e+0, 1.42343711074968357734e+0),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+     6.89767334985100004550e-1, 1.67638483018380384940e+0, 2.05319162663775882187e+0, 1.0),
+)
+FAR_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2,
+     2.96560571828504891230e-1, 1.78482653991729133580e+0, 5.46378491116411436990e+0, 6.65790464350110377720e+0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+     1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
 
 def _polynomial(coefficients: tuple, x: Column) -> Column:
     value = F.lit(coefficients[0])
@@ -93,3 +114,16 @@ def chi_square_upper_tail(statistic: Column, dof: Column) -> Column:
     ).otherwise(F.lit(0.0))
     base = F.when(odd, erfc(F.sqrt(half))).otherwise(F.lit(0.0))
     return F.when(statistic <= 0, F.lit(1.0)).otherwise(F.least(base + series, F.lit(1.0)))
+
+
+def normal_quantile(p: Column) -> Column:
+    """The z with P(Z < z) = p, for 0 < p < 1."""
+    q = p - 0.5
+    centre = F.lit(0.180625) - q * q
+    root = F.sqrt(-F.log(F.least(p, 1.0 - p)))
+
+    def ratio(pair: tuple, x: Column) -> Column:
+        return _polynomial(pair[0], x) / _polynomial(pair[1], x)
+
+    outer = F.when(root <= 5.0, ratio(TAIL, root - 1.6)).otherwise(ratio(FAR_TAIL, root - 5.0))
+    return F.when(F.abs(q) <= 0.425, q * ratio(CENTRAL, centre)).otherwise(F.signum(q) * outer)

@@ -1,11 +1,13 @@
-"""The Shapiro-Wilk test for one bounded sample (Royston 1995, algorithm AS R94)."""
+"""The Shapiro-Wilk test (Royston 1995, algorithm AS R94) from sums over a column's ordered values."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-import numpy as np
+from pyspark.sql import Column
+
+from tabscope.functions.normal import normal_quantile
 
 # The polynomials of the published algorithm, lowest power first.
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -21,40 +23,42 @@ def _polynomial(coefficients: tuple, x: float) -> float:
     return sum(c * x**power for power, c in enumerate(coefficients))
 
 
-def weights(n: int) -> np.ndarray:
-    """The antisymmetric weights of the ordered sample, for n of at least 8."""
-    normal = NormalDist()
-    scores = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    sum_squares = float(scores @ scores)
+def score(rank: Column, n: Column) -> Column:
+    """The normal score of a rank, from 1 to n."""
+    return normal_quantile((rank - 0.375) / (n + 0.25))
+
+
+def statistic(n: int, inner: float, squares: float, outermost: float, next_to_it: float, spread: float) -> float:
+    """W of a column of 8 values or more.
+
+    ``inner`` is the sum of score times value for all ranks but the two at either end, ``squares``
+    that of all squared scores, ``outermost`` the largest value minus the smallest, ``next_to_it``
+    the second largest minus the second smallest, ``spread`` the sum of squared deviations.
+    """
+    if math.isnan(spread):
+        return math.nan
+    if outermost == 0 or spread == 0:
+        return 1.0
+    top, below = (NormalDist().inv_cdf((rank - 0.375) / (n + 0.25)) for rank in (n, n - 1))
     u = 1.0 / math.sqrt(n)
-    last = scores[-1] / math.sqrt(sum_squares) + _polynomial(LAST_WEIGHT, u)
-    second = scores[-2] / math.sqrt(sum_squares) + _polynomial(SECOND_WEIGHT, u)
-    scale = (sum_squares - 2 * scores[-1] ** 2 - 2 * scores[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-    a = scores / math.sqrt(scale)
-    a[-1], a[-2], a[0], a[1] = last, second, -last, -second
-    return a
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """(W, p) of 8 to 5,000 values; (1, 1) if they are all equal."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if np.isnan(x).any():
-        return math.nan, math.nan
-    centred = x - x.mean()
-    spread = float(centred @ centred)
-    if spread == 0 or x[0] == x[-1]:
-        return 1.0, 1.0
-    w = min(float(weights(n) @ centred) ** 2 / spread, 1.0)
-    if w == 1.0:
-        return w, 1.0
+    last = top / math.sqrt(squares) + _polynomial(LAST_WEIGHT, u)
+    second = below / math.sqrt(squares) + _polynomial(SECOND_WEIGHT, u)
+    scale = (squares - 2 * top**2 - 2 * below**2) / (1 - 2 * last**2 - 2 * second**2)
+    weighted = inner / math.sqrt(scale) + last * outermost + second * next_to_it
+    return min(1.0, weighted**2 / spread)
+
+
+def p_value(w: float, n: int) -> float:
+    """The chance of a W this small in a normal sample. The published curves were fitted up to n = 5,000."""
+    if math.isnan(w) or w >= 1.0:
+        return w
     y, log_n = math.log(1 - w), math.log(n)
     if n <= 11:
         bound = _polynomial(SMALL_SHIFT, n)
         if y >= bound:
-            return w, 0.0
+            return 0.0
         y = -math.log(bound - y)
         mean, sd = _polynomial(SMALL_MEAN, n), math.exp(_polynomial(SMALL_LOG_SD, n))
     else:
         mean, sd = _polynomial(LARGE_MEAN, log_n), math.exp(_polynomial(LARGE_LOG_SD, log_n))
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+    return 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))

@@ -8,7 +8,11 @@ from pyspark.sql import Column, functions as F
 # \s their Unicode meaning.
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = r"(?U)(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
-DATE_PREFIX = r"(?U)^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})"
+DATE_PREFIXES = (
+    r"\d{4}-\d{2}-\d{2}",
+    r"\d{2}/\d{2}/\d{4}",
+    r"\d{2}-\d{2}-\d{4}",
+)
 
 # The characters that count as white space at the ends of a text.
 WHITESPACE = (
@@ -18,19 +22,6 @@ WHITESPACE = (
 )
 
 
-# Texts longer than this are compared by their length and SHA-256 digest where only equality counts.
-LONG_TEXT = 100
-
-
-def is_long(text: Column) -> Column:
-    return F.char_length(text) > LONG_TEXT
-
-
-def digest(text: Column) -> Column:
-    """A long text as its SHA-256 digest, so that a shuffle need not carry whole texts."""
-    return F.sha2(text, 256)
-
-
 def strip(text: Column) -> Column:
     """Remove white space from both ends."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -46,7 +37,7 @@ def has_phone(text: Column) -> Column:
 
 
 def starts_with_date(text: Column) -> Column:
-    return strip(text).rlike(DATE_PREFIX)
+    return strip(text).rlike("(?U)^(" + "|".join(DATE_PREFIXES) + ")")
 
 
 def share(predicate: Column) -> Column:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabscope.functions.bounded import column_ref, local_table, small_rows, stacked_aggregates
+from tabscope.functions.bounded import column_ref, local_table, pin, stacked_aggregates
 from tabscope.operators.columns import INTEGRAL, as_double, as_text, data_type, unpivot_groups
 
 # What is worth reporting.
 HIGH_CORRELATION = 0.7
 MIN_ASSOCIATION = 0.1
-MAX_CATEGORICAL_COLUMNS = 15
-MAX_LEVELS = 10_000
-PAIRS_PER_PASS = 500
 
 
 def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -52,65 +53,109 @@ def _spread(value: Column) -> Column:
     return F.stddev_pop(F.when(~F.isnan(value), value))
 
 
-def _correlations(df: DataFrame, columns: Sequence[str], drop_constant: bool = True) -> tuple[list[str], dict]:
-    """Pearson coefficients of the imputed columns, and the columns that vary.
+class _Moments(NamedTuple):
+    """Of one column whose gaps are filled: the value they get, the mean, and whether values vary."""
 
-    Two passes of global aggregates: moments, then centred products of all pairs. A NaN in a
-    column leaves its coefficients undefined (None).
+    fill: float | None
+    mean: float | None
+    varies: bool
+
+
+def _filled_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, _Moments]:
+    """Moments of the imputed columns, worked out from one pass over the columns as they are."""
+    parts = []
+    for i, c in enumerate(columns):
+        value = as_double(c)
+        clean = F.when(~F.isnan(value), value)
+        parts += [
+            F.count(value).alias(f"known{i}"), F.count(clean).alias(f"clean{i}"), F.avg(value).alias(f"fill{i}"),
+            F.avg(clean).alias(f"mean{i}"), F.var_pop(clean).alias(f"variance{i}"),
+        ]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *parts).first()
+    found = {}
+    for i, c in enumerate(columns):
+        known, clean, fill, mean, variance = (row[f"{k}{i}"] for k in ("known", "clean", "fill", "mean", "variance"))
+        if not known:
+            found[c] = _Moments(None, None, False)
+        elif clean < known:  # NaN leaves the coefficients undefined
+            found[c] = _Moments(fill, math.nan, bool(clean) and variance > 0)
+        else:
+            fill = float(int(fill)) if isinstance(data_type(df, c), INTEGRAL) else fill
+            gaps = row["rows"] - known
+            all_mean = (known * mean + gaps * fill) / row["rows"]
+            varies = variance > 0 or (gaps > 0 and fill != mean)
+            found[c] = _Moments(fill, all_mean, varies)
+    return found
+
+
+def _correlations(df: DataFrame, columns: Sequence[str], drop_constant: bool = True) -> tuple[list[str], DataFrame]:
+    """The columns that vary, and (i, j, r): Pearson coefficients of the imputed columns by their place in them.
+
+    Two passes whatever the number of columns: moments, then the matrix of centred products,
+    which every task sums up for its own rows. A NaN in a column leaves r null.
     """
-    filled = impute_mean(df, columns).select(*[as_double(c).alias(c) for c in columns])
-    moments = filled.agg(
-        *[F.avg(column_ref(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[_spread(column_ref(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    means = {c: moments[f"m{i}"] for i, c in enumerate(columns)}
-    kept = [
-        c for i, c in enumerate(columns)
-        if not drop_constant or (moments[f"s{i}"] is not None and moments[f"s{i}"] > 0)
-    ]
-    usable = [c for c in kept if means[c] is not None]
-    pairs = [(a, b) for i, a in enumerate(usable) for b in usable[i:]]
-    products: dict[tuple[str, str], float] = {}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        row = filled.agg(*[
-            F.sum((column_ref(a) - F.lit(means[a])) * (column_ref(b) - F.lit(means[b]))).alias(f"p{k}")
-            for k, (a, b) in enumerate(part)
-        ]).first()
-        products.update({pair: row[k] for k, pair in enumerate(part)})
-    coefficients: dict[tuple[str, str], float | None] = {}
-    for (a, b), product in products.items():
-        scale = (products[a, a] * products[b, b]) ** 0.5 if product is not None else 0.0
-        r = product / scale if scale > 0 else None
-        if r is not None and r != r:
-            r = None
-        coefficients[a, b] = coefficients[b, a] = None if r is None else max(-1.0, min(1.0, r))
-    return kept, coefficients
+    moments = _filled_moments(df, columns)
+    kept = [c for c in columns if not drop_constant or moments[c].varies]
+    usable = [c for c in kept if moments[c].varies and not math.isnan(moments[c].mean)]
+    places = [kept.index(c) for c in usable]
+    means = [moments[c].mean for c in usable]
+
+    def products(batches):
+        total = np.zeros((len(means), len(means)))
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means
+            total += rows.T @ rows
+        i, j = np.triu_indices(len(means))
+        at = np.array(places, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at[i]), pa.array(at[j]), pa.array(total[i, j])], ["i", "j", "p"])
+
+    if not usable:
+        return kept, local_table(df.sparkSession, [], "i int, j int, r double")
+    filled = df.select(*[_filled(df, c, moments[c].fill).cast("double").alias(f"x{i}") for i, c in enumerate(usable)])
+    sums = pin(filled.mapInArrow(products, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("p")),
+               len(usable) ** 2)
+    own = sums.where("i = j")
+    r = F.try_divide("p", F.sqrt(F.col("pi") * F.col("pj")))
+    return kept, (
+        sums.join(own.select("i", F.col("p").alias("pi")), "i").join(own.select("j", F.col("p").alias("pj")), "j")
+        .select("i", "j", F.when(~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"))
+    )
+
+
+def _names(df: DataFrame, kept: Sequence[str]) -> DataFrame:
+    return local_table(df.sparkSession, list(enumerate(kept)), "place int, name string")
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str], drop_constant: bool = True) -> DataFrame:
     """(col1, col2, correlation) for every ordered pair, undefined shown as 0."""
-    rows = []
-    if len(columns) >= 2:
-        kept, r = _correlations(df, columns, drop_constant)
-        if len(kept) >= 2:
-            rows = [(a, b, float(r.get((a, b)) or 0.0)) for a in kept for b in kept]
-    result = local_table(df.sparkSession, rows, "col1 string, col2 string, correlation double")
-    return result.withColumn("correlation", F.round("correlation", 4))
+    empty = local_table(df.sparkSession, [], "col1 string, col2 string, correlation double")
+    if len(columns) < 2:
+        return empty
+    kept, r = _correlations(df, columns, drop_constant)
+    if len(kept) < 2:
+        return empty
+    both = r.union(r.where("i <> j").select("j", "i", "r"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(len(kept) - 1)))
+    names = _names(df, kept)
+    return (
+        names.select(F.col("place").alias("i"), F.col("name").alias("col1"), other.alias("j"))
+        .join(names.select(F.col("place").alias("j"), F.col("name").alias("col2")), "j")
+        .join(both, ["i", "j"], "left")
+        .select("col1", "col2", F.round(F.coalesce("r", F.lit(0.0)), 4).alias("correlation"))
+    )
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str], threshold: float = HIGH_CORRELATION) -> DataFrame:
     """(col1, col2, correlation) of the pairs whose unrounded |r| reaches the threshold."""
-    rows = []
-    if len(columns) >= 2:
-        kept, r = _correlations(df, columns)
-        rows = [
-            (a, b, r[a, b]) for a, b in combinations(kept, 2)
-            if r.get((a, b)) is not None and abs(r[a, b]) >= threshold
-        ]
-    result = local_table(df.sparkSession, rows, "col1 string, col2 string, correlation double")
+    if len(columns) < 2:
+        return local_table(df.sparkSession, [], "col1 string, col2 string, correlation double")
+    kept, r = _correlations(df, columns)
+    names = _names(df, kept)
     return (
-        result.withColumn("correlation", F.round("correlation", 4))
+        r.where((F.col("i") < F.col("j")) & (F.abs("r") >= threshold))
+        .join(names.select(F.col("place").alias("i"), F.col("name").alias("col1")), "i")
+        .join(names.select(F.col("place").alias("j"), F.col("name").alias("col2")), "j")
+        .select("col1", "col2", F.round("r", 4).alias("correlation"))
         .orderBy(F.abs("correlation").desc(), "col1", "col2")
     )
 
@@ -150,18 +195,15 @@ def with_margins(cells: DataFrame) -> DataFrame:
     )
 
 
-def contingency(df: DataFrame, col1: str, col2: str, max_levels: int = MAX_LEVELS) -> DataFrame:
+def contingency(df: DataFrame, col1: str, col2: str) -> DataFrame:
     """(a, b, observed): the dense table of two columns, empty cells included.
 
-    The second column's levels are laid out for every level of the first, so their number is
-    checked; more than ``max_levels`` is an error.
+    The result has levels times levels rows by its nature; ``cell_counts`` has the occupied ones.
     """
     cells = cell_counts(df, [(col1, col2)]).select("a", "b", "observed")
-    levels = [row["b"] for row in small_rows(cells.select("b").distinct(), max_levels)]
-    rows = cells.select("a").distinct()
-    if not levels:
-        return cells
-    dense = rows.select("a", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])).alias("b"))
+    levels = cells.agg(F.collect_set("b").alias("levels_")).withColumn("one_", F.lit(1))
+    rows = cells.select("a").distinct().withColumn("one_", F.lit(1))
+    dense = rows.join(levels, "one_").select("a", F.explode("levels_").alias("b"))
     return dense.join(cells, ["a", "b"], "left").withColumn(
         "observed", F.coalesce("observed", F.lit(0).cast("long"))
     )
@@ -223,10 +265,13 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def categorical_associations(
     df: DataFrame,
     columns: Sequence[str],
-    max_columns: int = MAX_CATEGORICAL_COLUMNS,
+    max_columns: int | None = None,
     threshold: float = MIN_ASSOCIATION,
 ) -> DataFrame:
-    """(col1, col2, cramers_v) of the pairs of the first columns whose rounded V is above the threshold."""
+    """(col1, col2, cramers_v) of the pairs whose rounded V is above the threshold.
+
+    All columns are paired unless ``max_columns`` bounds them.
+    """
     pairs = list(combinations(columns[:max_columns], 2))
     if not pairs:
         return local_table(df.sparkSession, [], "col1 string, col2 string, cramers_v double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions.bounded import column_ref, local_table, small_rows, stacked_aggregates
 from tabscope.operators.association import pearson_matrix
@@ -18,8 +18,7 @@ from tabscope.operators.sampling import sample
 HISTOGRAM_BINS = 50
 BAR_VALUES = 20
 PIE_VALUES = 10
-SCATTER_POINTS = 5000
-SCATTER_SEED = 42
+SCATTER_BINS = 50
 MAX_CHARTS = 10
 
 
@@ -94,13 +93,31 @@ def pie(df: DataFrame, column: str, k: int = PIE_VALUES) -> DataFrame:
     )
 
 
-def scatter(df: DataFrame, x: str, y: str, key: Sequence[str], points: int = SCATTER_POINTS,
-            seed: int = SCATTER_SEED) -> DataFrame:
-    """(key..., x, y) of the rows that have both values; a fixed random sample of large tables."""
+def scatter(df: DataFrame, x: str, y: str, key: Sequence[str], sample_size: int | None = None) -> DataFrame:
+    """(key..., x, y) of the rows that have both values; on request a fixed random sample of them."""
     names = list(dict.fromkeys([*key, x, y]))
     complete = df.select(*[column_ref(c) for c in names]).na.drop(subset=[x, y])
-    total = complete.count()
-    return complete if total <= points else sample(complete, points, total, key, seed)
+    return complete if sample_size is None else sample(complete, sample_size, key)
+
+
+def binned_scatter(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> DataFrame:
+    """(x_bin, y_bin, count) of all rows that have both values, on a grid between their extremes."""
+    complete = df.select(as_double(x).alias("x"), as_double(y).alias("y")).where(
+        F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    )
+    ends = complete.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if ends[0] is None:
+        return local_table(df.sparkSession, [], "x_bin int, y_bin int, count long")
+
+    def cell(name: str, low: float, high: float) -> Column:
+        if high == low:
+            return F.lit(0)
+        place = F.floor((F.col(name) - low) / (high - low) * bins)
+        return F.least(place, F.lit(bins - 1)).cast("int")
+
+    return complete.groupBy(
+        cell("x", ends[0], ends[1]).alias("x_bin"), cell("y", ends[2], ends[3]).alias("y_bin")
+    ).count()
 
 
 def heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabscope.functions.bounded import column_ref, pin, small_rows, stacked_aggregates
-from tabscope.functions.text import digest, is_long
+from tabscope.functions.bounded import column_ref, stacked_aggregates
 from tabscope.operators.columns import as_text, column_name, long_values, rendered
 
 VALUE_SLOTS = ("v_long", "v_double", "v_text")
 
 
-def frequency_table(
-    df: DataFrame, columns: Sequence[str] | None = None, digests: bool = False
-) -> DataFrame:
+def frequency_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_no, v_long, v_double, v_text, count) for every distinct value of every column.
 
     Null is a value. One scan and one shuffle for all columns; counts are combined before the
-    shuffle, so a value that fills a third of the table travels as one row per task. With
-    ``digests`` long strings are shuffled as digests.
+    shuffle, so a value that fills a third of the table travels as one row per task.
     """
     columns = list(columns or df.columns)
-    return long_values(df, columns, digests).groupBy("column_no", *VALUE_SLOTS).count()
+    return long_values(df, columns).groupBy("column_no", *VALUE_SLOTS).count()
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -37,7 +32,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def n_unique(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, n_unique): exact number of distinct values, null counted as one of them."""
     columns = list(columns or df.columns)
-    counted = frequency_table(df, columns, digests=True).groupBy("column_no").agg(F.count(F.lit(1)).alias("n_unique"))
+    counted = frequency_table(df, columns).groupBy("column_no").agg(F.count(F.lit(1)).alias("n_unique"))
     return counted.select(column_name(columns).alias("column"), "n_unique")
 
 
@@ -57,8 +52,7 @@ def approximate_n_unique(df: DataFrame, columns: Sequence[str] | None = None, rs
 
 
 def top_of(freq: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent values per column; ties by value ascending (long texts by length
-    and digest), null last.
+    """The ``k`` most frequent values per column; ties by value ascending, null last.
 
     The rank limit is applied inside every task before the shuffle, so a column's last sort
     sees ``k`` rows per task however many distinct values it has.
@@ -69,35 +63,13 @@ def top_of(freq: DataFrame, k: int) -> DataFrame:
     return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_with_texts(df: DataFrame, columns: Sequence[str], top: DataFrame) -> DataFrame:
-    """(column_no, rank, value, count) of top values from a frequency table with digests.
-
-    Long texts among them, at most the limit per column, are looked up again by digest.
-    """
-    top = pin(top)
-    is_digest = F.col("v_long").isNotNull() & F.col("v_text").isNotNull()
-    wanted: dict[int, list[str]] = {}
-    for row in small_rows(top.where(is_digest).select("column_no", "v_text")):
-        wanted.setdefault(row["column_no"], []).append(row["v_text"])
-    shown = top.withColumn("value", F.coalesce(rendered(df, columns), F.lit("None")))
-    if wanted:
-        parts = []
-        for i, digests in wanted.items():
-            text = as_text(df, columns[i])
-            found = df.where(is_long(text) & digest(text).isin(digests)).groupBy(digest(text).alias("v_text"))
-            parts.append(found.agg(F.first(text).alias("text_")).withColumn("column_no", F.lit(i)))
-        texts = pin(reduce(DataFrame.unionByName, parts))
-        shown = shown.join(texts, ["column_no", "v_text"], "left").withColumn(
-            "value", F.when(is_digest, F.col("text_")).otherwise(F.col("value"))
-        )
-    return shown.select("column_no", "rank", "value", "count")
-
-
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """(column, rank, value, count): the most frequent values, null shown as ``None``."""
     columns = list(columns or df.columns)
-    top = top_with_texts(df, columns, top_of(frequency_table(df, columns, digests=True), k))
-    return top.select(column_name(columns).alias("column"), "rank", "value", "count")
+    top = top_of(frequency_table(df, columns), k)
+    return top.select(
+        column_name(columns).alias("column"), "rank", F.coalesce(rendered(df, columns), F.lit("None")).alias("value"), "count"
+    )
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -141,21 +113,25 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier one.
-
-    Copies are counted before the shuffle, so a row repeated over a third of the table is one
-    row per task when it reaches its group. Long texts take part as length and digest.
-    """
-    keys = []
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a whole row. Nulls are equal to each other, as are 0.0 and -0.0."""
+    values = []
     for i, field in enumerate(df.schema.fields):
         value = column_ref(field.name)
-        if isinstance(field.dataType, T.StringType):
-            keys.append(F.when(is_long(value), F.char_length(value)).alias(f"l{i}"))
-            value = F.when(is_long(value), digest(value)).otherwise(value)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0).cast(field.dataType)
         elif isinstance(field.dataType, T.MapType):
             value = as_text(df, field.name)
-        keys.append(value.alias(f"k{i}"))
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_copies_"))
+        values.append(value.alias(f"k{i}"))
+    return F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: how many rows repeat an earlier one.
+
+    A row is shuffled as its digest. Copies are counted before the shuffle, so a row repeated
+    over a third of the table is one digest per task when it reaches its group.
+    """
+    groups = df.select(row_digest(df).alias("row_")).groupBy("row_").agg(F.count(F.lit(1)).alias("n_copies_"))
     repeats = F.coalesce(F.sum(F.col("n_copies_") - 1), F.lit(0))
     return groups.agg(repeats.alias("duplicate_rows"))

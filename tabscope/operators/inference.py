@@ -5,33 +5,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions import shapiro
-from tabscope.functions.bounded import local_table, pin, stacked_aggregates
+from tabscope.functions.bounded import local_table, pin, small_rows, stacked_aggregates
 from tabscope.functions.normal import chi_square_upper_tail, log_lower_tail, log_upper_tail
 from tabscope.functions.text import number_text
 from tabscope.operators.association import pair_statistics
 from tabscope.operators.columns import as_double, long_numbers
 from tabscope.operators.ordering import with_running_count
-from tabscope.operators.sampling import draw, generous_share
 
 # Sizes, levels and limits of the tests.
-SHAPIRO_MIN, SHAPIRO_MAX = 8, 5000
+SHAPIRO_MIN = 8
 ALPHA = 0.05
-MAX_CHI_COLUMNS = 10
 MAX_CHI_LEVELS = 20
 MIN_CHI_ROWS = 10
-MAX_ANDERSON_COLUMNS = 15
 MIN_ANDERSON_ROWS = 20
 
 # Stephens (1974), mean and variance unknown, at 15, 10, 5, 2.5 and 1 %.
 STEPHENS = {"15": 0.576, "10": 0.656, "5": 0.787, "2.5": 0.918, "1": 1.092}
 
-# the test runs in Python workers, which then need no copy of this package
-cloudpickle.register_pickle_by_value(shapiro)
+RANKS = 100_000  # ranks of one frequent value that are summed in one task
 
 
 def skew_kurtosis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,78 +43,94 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).drop("position")
 
 
-def normality_tests(
-    df: DataFrame, columns: Sequence[str], key: Sequence[str] = (), seed: int = 42
-) -> DataFrame:
-    """Shapiro-Wilk per column: statistic, p_value, is_normal, and skewness and kurtosis.
+def normality_tests(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Shapiro-Wilk per column of 8 values or more: statistic, p_value, is_normal, and skewness and kurtosis.
 
-    The test is defined for 8 to 5,000 values. Larger columns are sampled: a row's draw comes
-    from its ``key``, and only rows whose draw can be among the smallest 5,000 leave their
-    task. Skewness and kurtosis are of the whole column.
+    All values take part. W is a sum over the order of the values, and a value's ranks follow from
+    the number of values below it, so columns are ranked as frequency tables; the ranks of a
+    frequent value are summed in pieces. A constant column has W = 1.
     """
-    shape = pin(skew_kurtosis(df, columns)).where(F.col("n") >= SHAPIRO_MIN)
-    values = long_numbers(df, columns, keep=key)
-    drawn = values.withColumn("draw", draw(key, seed, F.col("column")))
-    near = drawn.join(F.broadcast(shape.select("column", "n")), "column").where(
-        F.col("draw") < generous_share(SHAPIRO_MAX, F.col("n"))
-    )
-    # rows with equal keys and values are counted first, so copies cannot pile up in the sort
-    tied = near.groupBy("column", "draw", "value").agg(F.count(F.lit(1)).alias("copies"))
-    before = F.sum("copies").over(
-        Window.partitionBy("column").orderBy("draw", "value").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    room = F.least(F.col("copies"), SHAPIRO_MAX - F.coalesce(before, F.lit(0)))
-    sampled = tied.withColumn("room", room).where(F.col("room") > 0).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("long"), "room"))
+    shape = pin(stacked_aggregates(df, {
+        c: {
+            "n": F.count(as_double(c)), "mean": F.avg(as_double(c)),
+            "spread": F.var_pop(as_double(c)) * F.count(as_double(c)),
+            "skewness": F.round(F.skewness(as_double(c)), 4), "kurtosis": F.round(F.kurtosis(as_double(c)), 4),
+        }
+        for c in columns
+    }).drop("position")).where(F.col("n") >= SHAPIRO_MIN)
+    freq = long_numbers(df, columns).groupBy("column", "value").count()
+    ranked = with_running_count(freq, "column", "value", "count")
+    pieces = ranked.withColumn(
+        "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / RANKS)))
+    ).repartition("column", "value", "piece")
+    first = F.col("before") + F.col("piece") * RANKS + 1
+    last = F.least(F.col("before") + F.col("count"), first + (RANKS - 1))
+    places = pieces.withColumn("rank", F.explode(F.sequence(first, last))).join(
+        F.broadcast(shape.select("column", "n", "mean")), "column"
     )
+    rank, n, value = F.col("rank"), F.col("n"), F.col("value") - F.col("mean")
+    scored = places.withColumn("score", shapiro.score(rank.cast("double"), n.cast("double")))
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        statistic, p_value = shapiro.shapiro_wilk(pdf["value"].to_numpy())
-        return pd.DataFrame([(pdf["column"].iloc[0], len(pdf), statistic, p_value)], columns=names)
+    def at(place: Column) -> Column:
+        return F.max(F.when(rank == place, value))
 
-    names = ["column", "sample_size", "statistic", "p_value"]
-    tested = sampled.select("column", "value").groupBy("column").applyInPandas(
-        test, "column string, sample_size long, statistic double, p_value double"
-    )
-    return tested.join(F.broadcast(shape), "column").select(
-        "column", F.lit("shapiro_wilk").alias("test"), "sample_size",
-        F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"),
-        (F.col("p_value") > ALPHA).alias("is_normal"), "skewness", "kurtosis",
+    sums = scored.groupBy("column").agg(
+        F.sum(F.when(rank.between(3, n - 2), F.col("score") * value).otherwise(0.0)).alias("inner"),
+        F.sum(F.col("score") * F.col("score")).alias("squares"),
+        (at(n) - at(F.lit(1))).alias("outermost"), (at(n - 1) - at(F.lit(2))).alias("next_to_it"),
     )
+    results = []
+    for r in small_rows(sums.join(F.broadcast(shape), "column")):  # a row for each column
+        w = shapiro.statistic(r["n"], r["inner"], r["squares"], r["outermost"], r["next_to_it"], r["spread"])
+        p = shapiro.p_value(w, r["n"])
+        results.append((r["column"], "shapiro_wilk", r["n"], w, p, p > ALPHA, r["skewness"], r["kurtosis"]))
+    return local_table(df.sparkSession, results, NORMALITY_SCHEMA).withColumns({
+        c: F.round(c, 6) for c in ("statistic", "p_value")
+    })
+
+
+NORMALITY_SCHEMA = (
+    "column string, test string, sample_size long, statistic double, p_value double, is_normal boolean, "
+    "skewness double, kurtosis double"
+)
 
 
 def chi_square_tests(
     df: DataFrame,
     columns: Sequence[str],
-    max_columns: int = MAX_CHI_COLUMNS,
+    max_columns: int | None = None,
     max_levels: int = MAX_CHI_LEVELS,
 ) -> DataFrame:
-    """(col1, col2, test, statistic, p_value, dof, significant) for pairs of the first columns.
+    """(col1, col2, test, statistic, p_value, dof, significant, skipped) for all pairs of columns.
 
-    A pair is tested if it has 10 complete rows and 2 to 20 levels on either side. With one
-    degree of freedom the statistic carries the continuity correction.
+    A pair is tested if it has 10 complete rows and 2 to 20 levels on either side; if not, the
+    row says why in ``skipped``. With one degree of freedom the statistic carries the continuity
+    correction. ``max_columns`` bounds the columns that are paired.
     """
     pairs = list(combinations(columns[:max_columns], 2))
     if not pairs:
         return local_table(df.sparkSession, [], CHI_SCHEMA)
-    stats = pair_statistics(df, pairs).where(
-        (F.col("n") >= MIN_CHI_ROWS)
-        & F.col("levels1").between(2, max_levels)
-        & F.col("levels2").between(2, max_levels)
+    wanted = local_table(df.sparkSession, pairs, "col1 string, col2 string")
+    stats = wanted.join(pair_statistics(df, pairs), ["col1", "col2"], "left")
+    skipped = (
+        F.when(F.coalesce("n", F.lit(0)) < MIN_CHI_ROWS, "fewer than 10 complete rows")
+        .when(F.least("levels1", "levels2") < 2, "a column has one value")
+        .when(F.greatest("levels1", "levels2") > max_levels, "too many values")
     )
-    dof = (F.col("levels1") - 1) * (F.col("levels2") - 1)
-    scored = stats.withColumn("dof", dof.cast("int")).withColumn(
-        "raw", F.when(F.col("dof") == 1, F.col("chi2_yates")).otherwise(F.col("chi2"))
-    ).withColumn("tail", chi_square_upper_tail(F.col("raw"), F.col("dof")))
+    dof = F.when(skipped.isNull(), (F.col("levels1") - 1) * (F.col("levels2") - 1))
+    scored = stats.withColumns({"dof": dof.cast("int"), "skipped": skipped}).withColumn(
+        "raw", F.when(F.col("dof") == 1, F.col("chi2_yates")).when(F.col("dof") > 1, F.col("chi2"))
+    ).withColumn("tail", F.when(F.col("dof") >= 1, chi_square_upper_tail(F.col("raw"), F.col("dof"))))
     return scored.select(
         "col1", "col2", F.lit("chi_square").alias("test"),
         F.round("raw", 4).alias("statistic"), F.round("tail", 6).alias("p_value"),
-        "dof", (F.col("tail") < ALPHA).alias("significant"),
+        "dof", (F.col("tail") < ALPHA).alias("significant"), "skipped",
     )
 
 
 CHI_SCHEMA = (
-    "col1 string, col2 string, test string, statistic double, p_value double, dof int, significant boolean"
+    "col1 string, col2 string, test string, statistic double, p_value double, dof int, significant boolean, "
+    "skipped string"
 )
 
 
@@ -131,8 +141,8 @@ def critical_values(n: Column) -> dict[str, Column]:
     return {level: F.round(F.lit(value) / correction, 3) for level, value in STEPHENS.items()}
 
 
-def distribution_tests(df: DataFrame, columns: Sequence[str], max_columns: int = MAX_ANDERSON_COLUMNS) -> DataFrame:
-    """Anderson-Darling normality on all rows of the first columns that have 20 values.
+def distribution_tests(df: DataFrame, columns: Sequence[str], max_columns: int | None = None) -> DataFrame:
+    """Anderson-Darling normality on all rows of the columns that have 20 values and are not constant.
 
     Equal values share their ranks' weights, so the statistic is a sum over distinct values
     with the number of rows below each, which one distributed sort supplies.
@@ -144,7 +154,7 @@ def distribution_tests(df: DataFrame, columns: Sequence[str], max_columns: int =
             c: {"n": F.count(as_double(c)), "mean": F.avg(as_double(c)), "sd": F.stddev_samp(as_double(c))}
             for c in chosen
         },
-    ).where(F.col("n") >= MIN_ANDERSON_ROWS).drop("position"))
+    ).where((F.col("n") >= MIN_ANDERSON_ROWS) & (F.col("sd") > 0)).drop("position"))
     freq = long_numbers(df, chosen).groupBy("column", "value").count()
     ranked = with_running_count(freq, "column", "value", "count")
     joined = ranked.join(F.broadcast(shape), "column")
@@ -177,7 +187,8 @@ def interpretations(normality: DataFrame, chi_square: DataFrame) -> DataFrame:
         .otherwise("Consider non-parametric methods or transformations.").alias("practical_meaning"),
     )
     related = F.col("significant")
-    chi = chi_square.select(
+    # The sentences of an interpretation
+    chi = chi_square.where(related.isNotNull()).select(
         F.lit("Chi-square independence").alias("test_name"),
         F.array("col1", "col2").alias("columns"),
         F.concat(
@@ -199,7 +210,7 @@ def takeaways(normality: DataFrame, chi_square: DataFrame) -> DataFrame:
         F.lit(1).alias("place"),
         F.format_string("%d/%d numeric columns follow a normal distribution.", "hits", "tests").alias("takeaway"),
     )
-    related = chi_square.agg(
+    related = chi_square.where(F.col("significant").isNotNull()).agg(
         F.count_if("significant").alias("hits"), F.count(F.lit(1)).alias("tests")
     ).where(F.col("tests") > 0).select(
         F.lit(2).alias("place"),
@@ -218,7 +229,7 @@ def statistics_report(
             "test", F.array("column").alias("columns"), "statistic", "p_value",
             F.when(F.col("is_normal"), "normal").otherwise("not normal").alias("verdict"),
         )
-        .unionByName(chi_square.select(
+        .unionByName(chi_square.where(F.col("significant").isNotNull()).select(
             "test", F.array("col1", "col2").alias("columns"), "statistic", "p_value",
             F.when(F.col("significant"), "significant").otherwise("not significant").alias("verdict"),
         ))

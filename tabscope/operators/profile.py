@@ -16,6 +16,7 @@ from tabscope.operators.columns import (
     column_name,
     data_type,
     is_number,
+    rendered,
 )
 from tabscope.operators.frequency import (
     VALUE_SLOTS,
@@ -24,7 +25,6 @@ from tabscope.operators.frequency import (
     frequency_table,
     null_pct,
     top_of,
-    top_with_texts,
 )
 from tabscope.operators.quantiles import quantile_values
 
@@ -170,10 +170,10 @@ def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     Dates are recognised once per distinct value and weighted by its count. Both branches
     read the same shuffled frequency table.
     """
-    freq = frequency_table(df, columns, digests=True)
+    freq = frequency_table(df, columns)
     known = F.col("v_long").isNotNull() | F.col("v_double").isNotNull() | F.col("v_text").isNotNull()
     text_rows = F.when(F.col("v_text").isNotNull(), F.col("count"))
-    dated = F.when(F.col("v_double").isNull(), starts_with_date(F.col("v_text"))).otherwise(F.col("v_double") == 1)
+    dated = starts_with_date(F.col("v_text"))
     counts = freq.groupBy("column_no").agg(
         F.sum("count").alias("total_count"),
         F.sum(F.when(known, 0).otherwise(F.col("count"))).alias("null_count"),
@@ -183,7 +183,8 @@ def _value_facts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     slots = F.struct("rank", "count", *VALUE_SLOTS)
     lists = top_of(freq, k).groupBy("column_no").agg(F.array_sort(F.collect_list(slots)).alias("slots"))
     facts = pin(counts.join(lists, "column_no"))
-    top = top_with_texts(df, columns, facts.select("column_no", F.inline("slots")))
+    shown = F.coalesce(rendered(df, columns), F.lit("None")).alias("value")
+    top = facts.select("column_no", F.inline("slots")).select("column_no", "rank", shown, "count")
     entries = top.groupBy("column_no").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("entries")
     )
@@ -199,7 +200,7 @@ def summarize(df: DataFrame, options: Options = Options(), k: int = 10) -> DataF
     """One row per column: class, counts, moments, ranges and most frequent values.
 
     A few scans whatever the number of columns: value frequencies, moments of numbers, ranges
-    of dates, and the texts of long top values if there are any. The result has as many rows
+    of dates. The result has as many rows
     as the table has columns and is pinned, because later plans are chosen by the classes.
     """
     columns = list(df.columns)

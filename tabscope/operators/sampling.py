@@ -25,12 +25,10 @@ def generous_share(size: int, total: Column) -> Column:
     return F.lit(size + 10 * math.sqrt(size) + 30) / F.greatest(total, F.lit(1))
 
 
-def sample(df: DataFrame, size: int, total: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """``size`` random rows of ``total``: the ones with the smallest draws.
+def sample(df: DataFrame, size: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """``size`` random rows: the ones whose key and seed have the smallest MD5.
 
-    Rows that cannot be among them are left out by their draw before anything is sorted, so
-    the sort sees little more than ``size`` rows. ``key`` must identify a row.
+    Every task keeps its own ``size`` smallest. ``key`` must identify a row.
     """
-    drawn = df.withColumn("draw_", draw(key, seed))
-    near = drawn.where(F.col("draw_") < generous_share(size, F.lit(total)))
-    return near.orderBy("draw_", *[column_ref(c) for c in key]).limit(size).drop("draw_")
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[column_ref(c).cast("string") for c in key]))
+    return df.withColumn("draw_", mark).orderBy("draw_", *[column_ref(c) for c in key]).limit(size).drop("draw_")

@@ -17,7 +17,6 @@ from tabscope.session import materialize
 # Limits of the analysis.
 MIN_ROWS = 20
 MIN_TREND_ROWS = 5
-MAX_COLUMNS = 10
 MAX_LAG = 50
 PEAK = 0.3
 STEADY = 0.001
@@ -46,14 +45,22 @@ def _parsed(text: Column, fmt: str) -> Column:
 
 def choose_date_format(df: DataFrame, column: str) -> str | None:
     """The first format that leaves less than 30% of all rows unparsed."""
-    text = column_ref(column)
+    return choose_date_formats(df, [column])[column]
+
+
+def choose_date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """The same for several columns, in one pass."""
     row = df.agg(*[
-        F.avg(_parsed(text, fmt).isNull().cast("double")).alias(f"f{i}") for i, fmt in enumerate(DATE_FORMATS)
+        F.avg(_parsed(column_ref(c), fmt).isNull().cast("double")).alias(f"f{k}_{i}")
+        for k, c in enumerate(columns) for i, fmt in enumerate(DATE_FORMATS)
     ]).first()
-    for fmt, missing in zip(DATE_FORMATS, row):
-        if missing is not None and missing < MAX_MISSING_DATES:
-            return fmt
-    return None
+    return {
+        c: next((
+            fmt for i, fmt in enumerate(DATE_FORMATS)
+            if row[f"f{k}_{i}"] is not None and row[f"f{k}_{i}"] < MAX_MISSING_DATES
+        ), None)
+        for k, c in enumerate(columns)
+    }
 
 
 def parse_dates(df: DataFrame, column: str, into: str | None = None) -> DataFrame:
@@ -211,11 +218,11 @@ def timeseries_report(
     numeric: Sequence[str],
     time_column: str,
     tie_break: Sequence[str] = (),
-    max_columns: int = MAX_COLUMNS,
+    max_columns: int | None = None,
 ) -> DataFrame:
     """(column, time_column, direction, slope, normalized_slope, detected, period, strength).
 
-    For the first ``max_columns`` numeric columns that have at least 20 values, in the order
+    For all numeric columns (or the first ``max_columns``) that have at least 20 values, in the order
     of the time column; ``tie_break`` names columns that order rows with equal times.
     """
     chosen = list(numeric[:max_columns])

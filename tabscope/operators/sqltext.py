@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import PySparkException
@@ -10,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabscope.functions.text import WHITESPACE, strip
 
-RESULT_ROWS = 20
-
 
 def cleaned_sql(text: Column) -> Column:
     """The statement without surrounding space, back-ticks and a leading ``sql`` tag."""
@@ -26,16 +25,28 @@ def clean_sql_text(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+FENCE = re.compile(r"```(?:\w*\s)?(.*)```", re.DOTALL)
+LITERALS = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.DOTALL)
+
+
 def clean_statement(sql: str) -> str:
-    """The same cleaning for one statement held by the driver."""
-    bare = sql.strip(WHITESPACE).strip("`").strip(WHITESPACE)
-    return bare[3:].strip(WHITESPACE) if bare.lower().startswith("sql") else bare
+    """The same cleaning for one statement held by the driver; only back-ticks around all of it go."""
+    bare = sql.strip(WHITESPACE)
+    if fenced := FENCE.fullmatch(bare):
+        bare = fenced.group(1).strip(WHITESPACE)
+    elif len(bare) > 1 and bare[0] == bare[-1] == "`" and "`" not in bare[1:-1]:
+        bare = bare[1:-1].strip(WHITESPACE)
+    return bare[3:].strip(WHITESPACE) if re.match(r"(?i)sql\b", bare) else bare
 
 
 def is_read(statement: str) -> bool:
-    """Whether a statement begins as a query and calls nothing outside of SQL."""
-    begins = re.match(r"(?i)(select|with)\b", statement)
-    outside = re.search(r"(?i)\b(java_method|reflect|try_reflect)\s*\(|\busing\s+['\"]", statement)
+    """Whether a statement begins as a query and calls nothing outside of SQL.
+
+    Texts in quotes and comments are not looked at.
+    """
+    code = LITERALS.sub("''", statement)
+    begins = re.match(r"(?i)\s*(select|with)\b", code)
+    outside = re.search(r"(?i)\b(java_method|reflect|try_reflect)`?\s*\(|\btransform\s*\([^)]*\)\s*using\b|\busing\s+''", code)
     return begins is not None and outside is None
 
 
@@ -43,24 +54,34 @@ def safe_select(
     df: DataFrame,
     sql: str,
     view: str = "data",
-    limit: int | None = RESULT_ROWS,
+    limit: int | None = None,
     views: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame | None:
-    """The first rows of a read-only statement over the table ``data``, None if it cannot run.
+    """The rows of a read-only statement over the table ``data``, None if it cannot run.
 
     More tables can be named in ``views``. The statement is planned as a subquery, where Spark
-    admits nothing but a query: a write, a second statement or a missing column is refused.
+    admits nothing but a query: a write, a second statement or a missing column is refused. The
+    names are those of common table expressions around the statement, so a view of the caller
+    with such a name is neither read nor replaced. Files named by their path are refused.
     """
     statement = clean_statement(sql).rstrip(WHITESPACE + ";")
     if not is_read(statement):
         return None
     spark: SparkSession = df.sparkSession
+    private = {name: f"tabscope_{uuid.uuid4().hex}" for name in {view: df, **(views or {})}}
     for name, table in {view: df, **(views or {})}.items():
-        table.createOrReplaceTempView(name)
+        table.createOrReplaceTempView(private[name])
+    tables = ", ".join(f"`{name}` AS (SELECT * FROM {own})" for name, own in private.items())
+    on_files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        result = spark.sql(f"SELECT * FROM (\n{statement}\n)")
+        result = spark.sql(f"WITH {tables} SELECT * FROM (\n{statement}\n)")
     except PySparkException:
         return None
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", on_files)
+        for own in private.values():
+            spark.catalog.dropTempView(own)
     return result if limit is None else result.limit(limit)
 
 

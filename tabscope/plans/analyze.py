@@ -34,7 +34,7 @@ def analyze(
     """Every analysis of a table as a dictionary of result tables.
 
     ``key`` names columns that identify a row. It orders rows with equal times and fixes the
-    random draws of the sampled tests, so results do not depend on the partitions.
+    random draws of the isolation forest, so results do not depend on the partitions.
 
     The column classes are computed first, since they decide what else is done. Results with a
     row per column or per pair are pinned, so that findings, statistics, plan and report read
@@ -53,7 +53,7 @@ def analyze(
     )
     correlations = association.high_correlations(df, numeric)
     associations = pin(association.categorical_associations(df, categorical))
-    normality = _tests_of(df, numeric, key)
+    normality = _tests_of(df, numeric)
     chi_square = pin(inference.chi_square_tests(df, categorical))
     distributions = (
         pin(inference.distribution_tests(df, numeric)) if numeric
@@ -92,16 +92,11 @@ _ANDERSON_SCHEMA = (
     "column string, test string, statistic double, critical_15pct double, critical_10pct double, "
     "critical_5pct double, critical_2_5pct double, critical_1pct double, likely_normal boolean"
 )
-_SHAPIRO_SCHEMA = (
-    "column string, test string, sample_size long, statistic double, p_value double, is_normal boolean, "
-    "skewness double, kurtosis double"
-)
-
 
-def _tests_of(df: DataFrame, numeric: Sequence[str], key: Sequence[str]) -> DataFrame:
+def _tests_of(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     if not numeric:
-        return local_table(df.sparkSession, [], _SHAPIRO_SCHEMA)
-    return pin(inference.normality_tests(df, numeric, key))
+        return local_table(df.sparkSession, [], inference.NORMALITY_SCHEMA)
+    return inference.normality_tests(df, numeric)
 
 
 def _first_rows(df: DataFrame, key: Sequence[str]) -> DataFrame | None:

@@ -16,7 +16,6 @@ from tabscope.plans.registry import (
     query,
     rated_documents,
     table,
-    texts,
 )
 from tabscope.session import scratch_path
 from tabscope.sources import dataset_metadata, load, results_as_json, sample_rows, write_results
@@ -194,17 +193,11 @@ def top_values(spark, folder):
     )
 
 
-LONG_ORDER = (
-    "count(*) DESC, CASE WHEN length(text) > 100 THEN length(text) END ASC NULLS LAST, "
-    "CASE WHEN length(text) > 100 THEN sha256(text) ELSE text END ASC"
-)
-
-
 @query("top_values_text",
-       f"SELECT 'text' AS \"column\", (row_number() OVER (ORDER BY {LONG_ORDER}))::INTEGER AS rank, text AS value, count(*) AS count "
-       f"FROM documents GROUP BY text QUALIFY row_number() OVER (ORDER BY {LONG_ORDER}) <= 10")
+       f"SELECT 'text' AS \"column\", (row_number() OVER (ORDER BY count(*) DESC, text))::INTEGER AS rank, text AS value, count(*) AS count "
+       f"FROM documents GROUP BY text QUALIFY row_number() OVER (ORDER BY count(*) DESC, text) <= 10")
 def top_values_text(spark, folder):
-    return frequency.top_values(texts(spark, folder, "documents"), ["text"])
+    return frequency.top_values(table(spark, folder, "documents"), ["text"])
 
 
 @query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM " + GAPPY_LINEITEM)
@@ -406,7 +399,7 @@ def pii_sql(column: str, source: str) -> str:
 ))
 def pii_flags(spark, folder):
     contacts = profile.pii_shares(contact_customers(spark, folder), ["c_name", "email", "phone"])
-    documents = profile.pii_shares(texts(spark, folder, "documents"), ["text"])
+    documents = profile.pii_shares(table(spark, folder, "documents"), ["text"])
     return contacts.unionByName(documents).select(
         "column", F.round("email_share", 9).alias("email_share"),
         F.round("phone_share", 9).alias("phone_share"), F.array_join("pii_flags", ",").alias("pii_flags"),
@@ -417,7 +410,7 @@ def pii_flags(spark, folder):
        f"SELECT * FROM (SELECT doc_id, regexp_matches(text, '{EMAIL_REGEX}') AS has_email, "
        f"regexp_matches(text, '{PHONE_REGEX}') AS has_phone FROM documents) WHERE has_email OR has_phone")
 def pii_rows(spark, folder):
-    return profile.pii_rows(texts(spark, folder, "documents"), "text").select("doc_id", "has_email", "has_phone")
+    return profile.pii_rows(table(spark, folder, "documents"), "text").select("doc_id", "has_email", "has_phone")
 
 
 # -- column and table profiles ----------------------------------------------------------------

@@ -300,9 +300,24 @@ def chart_scatter(spark, folder):
     return charts.scatter(pulled_supplier(spark, folder), "s_acctbal", "pull", ["s_suppkey"])
 
 
-@query("chart_scatter_sampled")
+@query("chart_scatter_sampled",
+       "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 5000")
 def chart_scatter_sampled(spark, folder):
-    return charts.scatter(table(spark, folder, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"])
+    return charts.scatter(table(spark, folder, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"], sample_size=5000)
+
+
+@query("chart_scatter_binned",
+       "SELECT least(floor((o_custkey - x0) / (x1 - x0) * 50), 49)::INTEGER AS x_bin, "
+       "least(floor((o_totalprice - y0) / (y1 - y0) * 50), 49)::INTEGER AS y_bin, count(*) AS count FROM orders, "
+       "(SELECT min(o_custkey)::DOUBLE AS x0, max(o_custkey)::DOUBLE AS x1, min(o_totalprice) AS y0, max(o_totalprice) AS y1 FROM orders) "
+       "GROUP BY 1, 2")
+def chart_scatter_binned(spark, folder):
+    return charts.binned_scatter(table(spark, folder, "orders"), "o_custkey", "o_totalprice")
+
+
+@query("chart_line_binned", f"SELECT date_trunc('hour', ts) AS time, avg(gappy) AS value FROM {WAVY_EVENTS} WHERE gappy IS NOT NULL GROUP BY 1")
+def chart_line_binned(spark, folder):
+    return charts.line(wavy_events(spark, folder), "ts", "gappy", every="hour")
 
 
 HEAT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant"]

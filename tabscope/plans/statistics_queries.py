@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import association, forest, inference, outliers
 from tabscope.plans.profile_queries import LINEITEM_MEASURES, nearest
-from tabscope.plans.registry import GAPPY_LINEITEM, gappy_lineitem, per_column, query, table, texts
+from tabscope.plans.registry import GAPPY_LINEITEM, gappy_lineitem, per_column, query, table
 
 # -- correlation ------------------------------------------------------------------------------
 
@@ -26,7 +26,7 @@ FILLED_DOCUMENTS = (
 
 def measured_documents(spark, folder):
     """documents measured in characters, words and lines, some with a quality label."""
-    documents = texts(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select(
         "doc_id", "n_chars", F.size(F.split("text", " ")).alias("n_words"),
         F.size(F.split("text", "\n")).alias("n_lines"), F.lit(3).alias("constant"),
     )
@@ -158,7 +158,10 @@ CHI_TESTS = (
 
 @query("chi_square", WITH_BANDED +
        "SELECT col1, col2, 'chi_square' AS test, round(stat, 4)::DOUBLE AS statistic, round(abs(p), 6)::DOUBLE AS p_value, "
-       f"dof, p < 0.05 AS significant FROM {CHI_TESTS}")
+       f"dof, p < 0.05 AS significant, NULL::VARCHAR AS skipped FROM {CHI_TESTS} UNION ALL "
+       "SELECT col1, col2, 'chi_square', NULL, NULL, NULL, NULL, CASE WHEN coalesce(n, 0) < 10 THEN 'fewer than 10 complete rows' "
+       "WHEN least(ra, rb) < 2 THEN 'a column has one value' ELSE 'too many values' END FROM stats "
+       "WHERE coalesce(n, 0) < 10 OR ra NOT BETWEEN 2 AND 20 OR rb NOT BETWEEN 2 AND 20")
 def chi_square(spark, folder):
     return inference.chi_square_tests(banded_lineitem(spark, folder), CATEGORIES)
 
@@ -221,25 +224,33 @@ def horner_sql(coefficients: tuple, x: str) -> str:
     return polynomial_sql(tuple(reversed(coefficients)), x)
 
 
-def shapiro_sql(column: str, source: str) -> str:
-    """SQL for the Shapiro-Wilk test of 8 to 5,000 values, from the published formulas."""
-    from tabscope.functions import shapiro as s
+# Royston (1995), algorithm AS R94; lowest power first.
+LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+SECOND_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SMALL_SHIFT = (-2.273, 0.459)
+SMALL_MEAN = (0.544, -0.39978, 0.025054, -6.714e-4)
+SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
+LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
+
 
+def shapiro_sql(column: str, source: str) -> str:
+    """SQL for the Shapiro-Wilk test of 8 values or more, from the published formulas."""
     m = normal_quantile_sql("((i - 0.375) / (n + 0.25))")
-    last = f"(mn / sqrt(mm) + {horner_sql(s.LAST_WEIGHT, '(1 / sqrt(n))')})"
-    bound = horner_sql(s.SMALL_SHIFT, "n")
-    second = f"(mn1 / sqrt(mm) + {horner_sql(s.SECOND_WEIGHT, '(1 / sqrt(n))')})"
+    last = f"(mn / sqrt(mm) + {horner_sql(LAST_WEIGHT, '(1 / sqrt(n))')})"
+    bound = horner_sql(SMALL_SHIFT, "n")
+    second = f"(mn1 / sqrt(mm) + {horner_sql(SECOND_WEIGHT, '(1 / sqrt(n))')})"
     return (
         f"(WITH ranked AS (SELECT x, i, n, {m} AS m FROM (SELECT {column} + 0.0 AS x, "
-        f"row_number() OVER (ORDER BY {column}) AS i, count(*) OVER () AS n FROM {source})), "
+        f"row_number() OVER (ORDER BY {column}) AS i, count(*) OVER () AS n FROM {source} WHERE {column} IS NOT NULL)), "
         "scores AS (SELECT *, sum(m * m) OVER () AS mm, max(m) OVER () AS mn, "
         "max(m) FILTER (i = n - 1) OVER () AS mn1, avg(x) OVER () AS mean FROM ranked), "
         f"ends AS (SELECT *, {last} AS an, {second} AS an1 FROM scores), "
         "weighted AS (SELECT *, CASE i WHEN n THEN an WHEN n - 1 THEN an1 WHEN 1 THEN -an WHEN 2 THEN -an1 "
         "ELSE m / sqrt((mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)) END AS a FROM ends), "
         "w AS (SELECT max(n) AS n, power(sum(a * (x - mean)), 2) / sum(power(x - mean, 2)) AS w FROM weighted), "
-        f"z AS (SELECT *, CASE WHEN n > 11 THEN (ln(1 - w) - {horner_sql(s.LARGE_MEAN, 'ln(n)')}) / exp({horner_sql(s.LARGE_LOG_SD, 'ln(n)')}) "
-        f"WHEN ln(1 - w) < {bound} THEN (-ln({bound} - ln(1 - w)) - {horner_sql(s.SMALL_MEAN, 'n')}) / exp({horner_sql(s.SMALL_LOG_SD, 'n')}) "
+        f"z AS (SELECT *, CASE WHEN n > 11 THEN (ln(1 - w) - {horner_sql(LARGE_MEAN, 'ln(n)')}) / exp({horner_sql(LARGE_LOG_SD, 'ln(n)')}) "
+        f"WHEN ln(1 - w) < {bound} THEN (-ln({bound} - ln(1 - w)) - {horner_sql(SMALL_MEAN, 'n')}) / exp({horner_sql(SMALL_LOG_SD, 'n')}) "
         f"ELSE 100.0 END AS z FROM w), p AS (SELECT *, {upper_tail_sql('z')} AS p FROM z) "
         f"SELECT '{column}' AS \"column\", 'shapiro_wilk' AS test, p.n AS sample_size, round(w, 6) AS statistic, "
         f"round(abs(p), 6)::DOUBLE AS p_value, p > 0.05 AS is_normal, skewness, kurtosis FROM p, ({moment_sql(column, source)}))"
@@ -264,16 +275,14 @@ def pulled_supplier(spark, folder):
 SHAPIRO = " UNION ALL ".join(shapiro_sql(c, PULLED_SUPPLIER) for c in SUPPLIER_MEASURES)
 
 
-@query("shapiro_wilk", SHAPIRO)
-def shapiro_wilk(spark, folder):
-    return inference.normality_tests(pulled_supplier(spark, folder), SUPPLIER_MEASURES, ["s_suppkey"])
+@query("shapiro_wilk_few", SHAPIRO)
+def shapiro_wilk_few(spark, folder):
+    return inference.normality_tests(pulled_supplier(spark, folder), SUPPLIER_MEASURES)
 
 
-@query("shapiro_wilk_sampled")
-def shapiro_wilk_sampled(spark, folder):
-    return inference.normality_tests(
-        gappy_lineitem(spark, folder), LINEITEM_MEASURES, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    )
+@query("shapiro_wilk", " UNION ALL ".join(shapiro_sql(c, GAPPY_LINEITEM) for c in LINEITEM_MEASURES))
+def shapiro_wilk(spark, folder):
+    return inference.normality_tests(gappy_lineitem(spark, folder), LINEITEM_MEASURES)
 
 
 LOG_UPPER = (
@@ -331,7 +340,7 @@ SUPPLIER_TESTS = (
 
 def supplier_tests(spark, folder):
     df = tested_supplier(spark, folder)
-    normality = inference.normality_tests(df, SUPPLIER_MEASURES, ["s_suppkey"])
+    normality = inference.normality_tests(df, SUPPLIER_MEASURES)
     return df, normality, inference.chi_square_tests(df, SUPPLIER_CATEGORIES)
 
 

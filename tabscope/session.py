@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,8 +33,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder named by spark.checkpoint.dir.
 
-    A temporary folder is used only by a local session that names none: on a cluster a
-    machine-local folder would be lost with its executor, so there it is an error.
+    A local session that names none gets a folder of its own, which goes when Python ends: on a
+    cluster a machine-local folder would be lost with its executor, so there it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -40,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tabscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tabscope.functions.bounded import column_ref
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
-REPLACEMENT = "\ufffd"
 
 
 def detect_file_type(path: str) -> str:
@@ -28,12 +27,13 @@ def load(
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
     json_lines: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a CSV, JSON or Parquet file, or a folder of them named with the extension."""
     extension = detect_file_type(path)
     try:
         if extension == ".csv":
-            df = scan_csv(spark, path, encoding, schema)
+            df = scan_csv(spark, path, encoding, schema, multi_line)
         elif extension == ".json":
             reader = spark.read.option("multiLine", not json_lines)
             df = (reader.schema(schema) if schema else reader).json(path)
@@ -51,44 +51,24 @@ def scan_csv(
     path: str,
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header. Text that is not UTF-8 is read again as ISO-8859-1.
+    """CSV with a header; quotes inside quoted text are doubled.
 
-    Types are inferred unless a schema is given; pass one for big inputs, since inference
-    reads the file an extra time.
+    Quoted text may hold line breaks, for which a file can't be split between tasks; pass
+    ``multi_line=False`` for large files without them. Types are inferred unless a schema is
+    given, and the encoding is found unless it is given; each costs a pass over the file.
     """
+    reader = spark.read.options(
+        header=True, encoding=encoding or find_encoding(spark, path), quote='"', escape='"', multiLine=multi_line
+    )
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
-    def read(charset: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("encoding", charset)
-        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-
-    if encoding:
-        return read(encoding)
-    df = read("UTF-8")
-    # a byte sequence that is no UTF-8 arrives as the replacement character, in a value or
-    # in a header name
-    if any(REPLACEMENT in name for name in df.columns):
-        return read("ISO-8859-1")
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings:
-        return df
-    broken = F.lit(False)
-    for name in strings:
-        broken = broken | F.coalesce(column_ref(name).contains(REPLACEMENT), F.lit(False))
-    return read("ISO-8859-1") if not df.where(broken).isEmpty() else df
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """A scanned table whose rows can keep all cores busy.
-
-    A file of one row group is one task, however much work its rows are. If a scan of more
-    than one block yields tasks for less than half of the cores, its rows are redistributed;
-    a table with enough tasks is returned as it is. Meant for tables as they are read: the
-    tasks of a scan are known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df.rdd.getNumPartitions()
-    return df.repartition(cores) if 1 < tasks <= cores / 2 else df
+
+def find_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all bytes of the text are valid in it, else ISO-8859-1."""
+    lines = spark.read.text(path)
+    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
 def require_rows(df: DataFrame) -> DataFrame:
@@ -129,6 +109,6 @@ def sample_rows(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame
 
 
 __all__ = [
-    "dataset_metadata", "detect_file_type", "file_metadata", "load", "require_rows",
-    "sample_rows", "scan_csv", "spread_scan",
+    "dataset_metadata", "detect_file_type", "file_metadata", "find_encoding", "load", "require_rows",
+    "sample_rows", "scan_csv",
 ]

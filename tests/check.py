@@ -3,8 +3,10 @@
 import sys
 import time
 import traceback
+from pathlib import Path
 
-sys.path[:0] = ["/root/repo", "/root/repo/tests"]
+ROOT = Path(__file__).resolve().parent.parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import connect, difference  # noqa: E402
@@ -14,7 +16,7 @@ from tabscope.session import build_session  # noqa: E402
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g")
+    spark = build_session("local[4]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g")
     connection = connect(folder)
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = 0

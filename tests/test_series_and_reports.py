@@ -11,7 +11,6 @@ from tabscope.operators import charts, documents, findings, frequency, profile,
 from tabscope.operators.asof import asof_join
 from tabscope.operators.ordering import with_position, with_running_count
 from tabscope.plans.analyze import analyze
-from tabscope.sources import load
 
 
 def test_positions_with_a_hot_time(spark):
@@ -64,13 +63,15 @@ def test_short_and_flat_series(spark):
     assert series.trend(df.limit(4), ["up"], ["id"]).first()["direction"] == "none"
 
 
-def test_sample_file_trends(spark, samples):
-    sales = load(spark, f"{samples}/sales_data.csv")
-    row = series.trend(sales, ["total_amount"], ["order_date", "order_id"]).first()
-    assert row["direction"] == "increasing"
-    stocks = load(spark, f"{samples}/stock_prices.csv")
-    close = series.trend(stocks, ["close"], ["date"]).first()
-    assert (close["slope"], close["normalized_slope"]) == (0.849724, 0.004859)
+def test_trend_in_time_order(spark):
+    source = random.Random(9)
+    values = [100 + 0.8 * i + source.uniform(-3, 3) for i in range(50)]
+    rows = [(f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", i, v) for i, v in enumerate(values)]
+    source.shuffle(rows)
+    row = series.trend(spark.createDataFrame(rows, "day string, id int, x double"), ["x"], ["day", "id"]).first()
+    slope = np.polyfit(np.arange(50), values, 1)[0]
+    assert row["direction"] == "increasing" and abs(row["slope"] - slope) < 1e-6
+    assert abs(row["normalized_slope"] - slope / np.mean(values)) < 1e-6
 
 
 def test_date_formats(spark):
@@ -118,7 +119,9 @@ def test_charts(spark):
         F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id as int))").alias("t"),
     )
     assert charts.scatter(df, "x", "y", ["id"]).count() == 4_000
-    assert charts.scatter(df, "x", "id", ["id"]).count() == 5_000
+    assert charts.scatter(df, "x", "id", ["id"]).count() == 8_000
+    assert charts.scatter(df, "x", "id", ["id"], sample_size=500).count() == 500
+    assert charts.binned_scatter(df, "x", "y").agg(F.sum("count")).first()[0] == 4_000
     shares = charts.pie(df, "c").collect()
     assert len(shares) == 4 and abs(sum(r["share"] for r in shares) - 1) < 1e-5
     assert charts.bar(df, "x").count() == 20
@@ -134,35 +137,22 @@ def test_charts(spark):
     assert set(charts.chart_data(df, odd, ["id"])) == {"p"}
 
 
-def brute_sections(text):
-    found, name, lines = {}, "introduction", []
-    for line in text.split("\n"):
-        low = line.strip().lower()
-        hits = [s for k, s in documents.SECTION_KEYWORDS if k in low] if len(low) < 50 else []
-        if hits:
-            if lines:
-                found[name] = "\n".join(lines).strip()
-            name, lines = hits[0], []
-        else:
-            lines.append(line)
-    if lines:
-        found[name] = "\n".join(lines).strip()
-    return found
-
-
 def test_split_sections(spark):
-    texts = [
-        "Executive Summary\nGood.\n\nData Quality Assessment\nFine.\nKey Findings\nA\nB\nRecommendations\nDo it.",
-        "no header at all", "", "\n\n", "Patterns\nRelationships\nlast\nPatterns", "Patterns\nold\nPatterns\n\n",
-        "a line that mentions recommendations but is far too long to be a header line\nRECOMMENDATIONS:\n　x　",
-        "Data quality and key findings\nx\nExecutive summary\n",
+    cases = [
+        ("Executive Summary\nGood.\n\nData Quality Assessment\nFine.\nKey Findings\nA\nB\nRecommendations\nDo it.",
+         {"executive_summary": "Good.", "data_quality": "Fine.", "key_findings": "A\nB", "recommendations": "Do it."}),
+        ("no header at all", {"introduction": "no header at all"}),
+        ("", {"introduction": ""}),
+        ("a line that mentions recommendations but is far too long to be a header line\nRECOMMENDATIONS:\n x ",
+         {"introduction": "a line that mentions recommendations but is far too long to be a header line", "recommendations": "x"}),
+        ("Key Findings\nold\nKey Findings\nnew", {"key_findings": "new"}),
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    found: dict = {i: {} for i in range(len(texts))}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, t string")
+    found: dict = {i: {} for i in range(len(cases))}
     for r in documents.split_sections(df, "id", "t").collect():
         assert r["section"] not in found[r["id"]]
         found[r["id"]][r["section"]] = r["body"]
-    assert found == {i: brute_sections(t) for i, t in enumerate(texts)}
+    assert found == {i: want for i, (_, want) in enumerate(cases)}
 
 
 def test_extract_json(spark):
@@ -201,15 +191,28 @@ def test_vectors(spark):
     assert len(each) == 10 and {r["id"] for r in each if r["q"] == "v4"} == {w[1] for w in want}
 
 
-def test_safe_select(spark):
+def test_zero_vectors_come_last(spark):
+    store = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
+    rows = vectors.nearest(store, [1.0, 0.1], k=3).collect()
+    assert [r["id"] for r in rows] == ["b", "c", "a"] and rows[2]["distance"] is None
+
+
+def test_safe_select(spark, small):
     df = spark.range(50).toDF("n")
     assert sqltext.safe_select(df, "```sql\nselect n from data order by n desc\n```").collect()[0]["n"] == 49
-    assert sqltext.safe_select(df, "SELECT * FROM data;").count() == 20
+    assert sqltext.safe_select(df, "SELECT * FROM data;").count() == 50
+    assert sqltext.safe_select(df, "SELECT * FROM data", limit=20).count() == 20
+    assert sqltext.safe_select(df, "SELECT 'using \"x\"' AS s FROM data").first()["s"] == 'using "x"'
+    assert sqltext.safe_select(df, "SELECT n FROM `data`").count() == 50
+    spark.range(3).createOrReplaceTempView("data")
+    assert sqltext.safe_select(df, "SELECT n FROM data").count() == 50 and spark.table("data").count() == 3
+    spark.catalog.dropTempView("data")
     assert sqltext.safe_select(df, "WITH t AS (SELECT count(*) AS c FROM data) SELECT c FROM t -- end").first()["c"] == 50
     for refused in (
         "DROP VIEW data", "INSERT INTO data VALUES (1)", "select 1; select 2", "select none from data", "",
         "WITH t AS (SELECT 1) INSERT INTO data SELECT * FROM t", "select 1) x; drop view data; --",
         "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT TRANSFORM(n) USING 'cat' FROM data", "describe data",
+        f"SELECT * FROM parquet.`{small}/nation.parquet` WHERE true",
     ):
         assert sqltext.safe_select(df, refused) is None, refused
     joined = sqltext.safe_select(df, "SELECT count(*) AS c FROM data JOIN other USING (n)", views={"other": df.limit(3)})
@@ -240,25 +243,28 @@ def test_asof_join_with_a_hot_key(spark):
     assert inner.count() == sum(1 for v in got.values() if v[0] is not None)
 
 
-def test_summary_texts(spark, samples):
-    df = load(spark, f"{samples}/sales_data.csv")
-    results = analyze(df, ["order_id"], dataset_id="sales", file_name="sales_data.csv")
+def test_whole_analysis(spark):
+    source = random.Random(4)
+    rows = [
+        (i, ["pen", "ink"][i % 2], price := round(source.uniform(5, 20), 2), round(price * 3, 2), 7.0,
+         f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", None if i == 5 else f"u{i % 30}")
+        for i in range(60)
+    ]
+    df = spark.createDataFrame(rows, "order_id int, product string, price double, total double, flat double, day string, who string")
+    results = analyze(df, ["order_id"], dataset_id="sales", file_name="sales.csv")
     docs = {r["id"]: r["doc"] for r in results["summary_documents"].collect()}
     assert set(docs) == {"sales_schema", "sales_profile", "sales_samples"}
-    assert docs["sales_schema"].startswith("Dataset: sales_data.csv\nShape: 41 rows x 11 columns\nColumns:\nColumn 'order_id': type=numeric")
-    assert "Column 'email': type=categorical, dtype=string, 34 unique values" in docs["sales_schema"]
-    assert docs["sales_profile"].startswith("Data quality: 99.11% complete, 4 total nulls, 0 duplicate rows.")
+    assert docs["sales_schema"].startswith("Dataset: sales.csv\nShape: 60 rows x 7 columns\nColumns:\nColumn 'order_id': type=numeric")
+    assert "Column 'who': type=categorical, dtype=string, 31 unique values" in docs["sales_schema"]
+    assert docs["sales_profile"].startswith("Data quality: 99.76% complete, 1 total nulls, 0 duplicate rows.")
     assert docs["sales_samples"].count("\nRow ") == 5
-    assert results["dataset"].first()["numeric_columns"] == 4
-    report = results["report"].orderBy("section", "line_no").collect()
-    by_section = {}
-    for r in report:
+    by_section: dict = {}
+    for r in results["report"].orderBy("section", "line_no").collect():
         by_section.setdefault(r["section"], []).append(r["text"])
-    assert "41 rows and 11 columns" in by_section["executive_summary"][0]
-    assert by_section["patterns"] == ["- Strong correlation between unit_price and total_amount (r=0.9837)"]
-    assert len(by_section["recommendations"]) == 2
-    assert {r["column"]: r["time_column"] for r in results["timeseries"].collect()}["total_amount"] == "order_date"
-    assert results["quality_score"].first()["quality_score"] == 90
+    assert "60 rows and 7 columns" in by_section["executive_summary"][0]
+    assert by_section["patterns"] == ["- Strong correlation between price and total (r=1.0)"]
+    assert {r["column"]: r["time_column"] for r in results["timeseries"].collect()}["total"] == "day"
+    assert {r["column"] for r in results["distributions"].collect()} == {"order_id", "price", "total"}
     for name, table in results.items():
         assert table.count() >= 0, name
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tabscope.sources import (
     dataset_metadata,
@@ -8,7 +7,6 @@ from tabscope.sources import (
     load,
     require_rows,
     results_as_json,
-    spread_scan,
     write_results,
 )
 from tabscope.session import materialize, shared_folder
@@ -23,10 +21,29 @@ def test_extension_decides(spark):
             detect_file_type(path)
 
 
-def test_csv(spark, samples):
-    df = load(spark, f"{samples}/sales_data.csv")
-    assert (df.count(), len(df.columns)) == (41, 11)
-    assert df.schema["quantity"].dataType.simpleString() == "int"
+SHOP = """id,name,price,note
+1,"pen, blue",1.5,"line one
+line two"
+2,ink,2.5,"say ""hi"", ok"
+3,caf\u00e9,,\ufffd
+"""
+
+
+def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "shop.csv"
+    path.write_bytes(SHOP.encode())
+    df = load(spark, str(path))
+    assert df.dtypes == [("id", "int"), ("name", "string"), ("price", "double"), ("note", "string")]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [
+        (1, "pen, blue", 1.5, "line one\nline two"), (2, "ink", 2.5, 'say "hi", ok'), (3, "caf\u00e9", None, "\ufffd"),
+    ]
+    assert load(spark, str(path), encoding="UTF-8").count() == 3
+
+
+def test_written_csv_reads_back(spark, tmp_path):
+    rows = [(1, 'a "quoted" text, with\nbreaks'), (2, "plain")]
+    (path,) = write_results({"t": spark.createDataFrame(rows, "i int, s string")}, str(tmp_path), "csv")
+    assert sorted(map(tuple, load(spark, path).collect())) == rows
 
 
 def test_missing_file(spark, tmp_path):
@@ -64,12 +81,14 @@ def test_empty_tables_are_refused(spark, tmp_path):
         require_rows(spark.range(3).select())
 
 
-def test_metadata(spark, samples):
-    rows = dataset_metadata(load(spark, f"{samples}/stock_prices.csv")).orderBy("position").collect()
-    assert [r["column"] for r in rows][:2] == ["date", "ticker"]
-    assert {(r["rows"], r["columns"]) for r in rows} == {(51, 8)}
-    (meta,) = file_metadata(spark, f"{samples}/stock_prices.csv").collect()
-    assert meta["file_name"] == "stock_prices.csv" and meta["file_size_mb"] == 0.0
+def test_metadata(spark, tmp_path):
+    path = tmp_path / "shop.csv"
+    path.write_text("day,ticker,close\n2024-01-02,AB,1.5\n2024-01-03,AB,2.5\n")
+    rows = dataset_metadata(load(spark, str(path))).orderBy("position").collect()
+    assert [(r["column"], r["dtype"]) for r in rows] == [("day", "date"), ("ticker", "string"), ("close", "double")]
+    assert {(r["rows"], r["columns"]) for r in rows} == {(2, 3)}
+    (meta,) = file_metadata(spark, str(path)).collect()
+    assert meta["file_name"] == "shop.csv" and meta["file_size_mb"] == 0.0
 
 
 def test_results_are_written_and_json_is_clean(spark, tmp_path):
@@ -83,15 +102,6 @@ def test_results_are_written_and_json_is_clean(spark, tmp_path):
     assert texts == ['{"i":1,"x":null,"l":["a"]}', '{"i":2,"x":1.5,"l":[]}']
 
 
-def test_spreading_keeps_rows(spark, small):
-    df = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_orderkey")
-    wide = spread_scan(df)
-    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert wide.agg(F.sum("l_orderkey")).first() == df.agg(F.sum("l_orderkey")).first()
-    nation = spark.read.parquet(f"{small}/nation.parquet")
-    assert spread_scan(nation) is nation
-
-
 def test_materialize_uses_the_session_folder(spark):
     folder = shared_folder(spark)
     assert folder and spark.sparkContext.getCheckpointDir()

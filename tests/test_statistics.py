@@ -2,12 +2,13 @@
 
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.functions import normal, shapiro
+from tabscope.functions import normal
 from tabscope.functions.text import number_text
 from tabscope.operators import association, forest, inference, outliers, sampling
 
@@ -38,30 +39,52 @@ def test_number_text(spark):
         assert r["t"] == str(r["v"])
 
 
-def test_shapiro_published_example():
+def brute_shapiro(values):
+    """W by the published weights, on a sorted list."""
+    x, n = np.sort(np.asarray(values, dtype=float)), len(values)
+    scores = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    squares, u = scores @ scores, 1 / math.sqrt(n)
+    last = scores[-1] / math.sqrt(squares) + 0.221157 * u - 0.147981 * u**2 - 2.07119 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    second = scores[-2] / math.sqrt(squares) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    inner = (squares - 2 * scores[-1] ** 2 - 2 * scores[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+    weights = np.concatenate(([-last, -second], scores[2:-2] / math.sqrt(inner), [second, last]))
+    return (weights @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+def test_shapiro_published_example(spark):
     # Shapiro and Wilk (1965): weights in pounds of eleven men, W = 0.79
-    w, p = shapiro.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
-    assert round(w, 4) == 0.7888 and round(p, 4) == 0.0067
-    uniform = shapiro.shapiro_wilk(np.arange(1, 51, dtype=float))
-    assert round(uniform[0], 3) == 0.956
-    assert shapiro.shapiro_wilk(np.ones(20)) == (1.0, 1.0)
+    men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    df = spark.createDataFrame([(float(x), 1.0) for x in men], "x double, same double")
+    rows = {r["column"]: r for r in inference.normality_tests(df, ["x", "same"]).collect()}
+    assert (round(rows["x"]["statistic"], 4), round(rows["x"]["p_value"], 4)) == (0.7888, 0.0067)
+    assert (rows["same"]["statistic"], rows["same"]["p_value"]) == (1.0, 1.0)
 
 
-def test_normality_by_size(spark):
+@pytest.mark.parametrize("ranks", [7, 100_000])
+def test_normality_of_whole_columns(spark, monkeypatch, ranks):
+    monkeypatch.setattr(inference, "RANKS", ranks)
     gauss = random.Random(7)
-    rows = [(i, gauss.gauss(0, 1), gauss.random() ** 3, float(i) if i < 7 else None) for i in range(12_000)]
-    df = spark.createDataFrame(rows, "id int, normal double, skewed double, short double")
-    first = {r["column"]: r for r in inference.normality_tests(df, ["normal", "skewed", "short"], ["id"]).collect()}
-    assert set(first) == {"normal", "skewed"} and first["normal"]["sample_size"] == 5000
-    assert first["normal"]["is_normal"] and not first["skewed"]["is_normal"]
-    again = inference.normality_tests(df.repartition(5), ["normal", "skewed", "short"], ["id"]).collect()
-    assert {r["column"]: r["statistic"] for r in again} == {c: r["statistic"] for c, r in first.items()}
+    rows = [(i, gauss.gauss(0, 1), gauss.random() ** 3, float(i) if i < 7 else None, float(i % 3 == 0) * 4 + i % 5)
+            for i in range(6_000)]
+    df = spark.createDataFrame(rows, "id int, normal double, skewed double, short double, tied double")
+    found = {r["column"]: r for r in inference.normality_tests(df.repartition(5), ["normal", "skewed", "short", "tied"]).collect()}
+    assert set(found) == {"normal", "skewed", "tied"} and found["normal"]["sample_size"] == 6000
+    assert found["normal"]["is_normal"] and not found["skewed"]["is_normal"]
+    for place, name in ((1, "normal"), (2, "skewed"), (4, "tied")):
+        assert abs(found[name]["statistic"] - brute_shapiro([r[place] for r in rows])) < 2e-6
+
+
+def test_normal_quantile(spark):
+    points = [1e-300, 1e-13, 1e-5, 0.01, 0.2, 0.5, 0.7, 0.999, 1 - 1e-9]
+    df = spark.createDataFrame([(p,) for p in points], "p double")
+    for r in df.select("p", normal.normal_quantile(F.col("p")).alias("z")).collect():
+        assert math.isclose(r["z"], NormalDist().inv_cdf(r["p"]), rel_tol=1e-12, abs_tol=1e-15)
 
 
 def test_samples_are_whole_and_stable(spark):
     df = spark.range(50_000).toDF("id")
-    one = {r["id"] for r in sampling.sample(df.coalesce(1), 500, 50_000, ["id"]).collect()}
-    many = {r["id"] for r in sampling.sample(df.repartition(9), 500, 50_000, ["id"]).collect()}
+    one = {r["id"] for r in sampling.sample(df.coalesce(1), 500, ["id"]).collect()}
+    many = {r["id"] for r in sampling.sample(df.repartition(9), 500, ["id"]).collect()}
     assert one == many and len(one) == 500
     assert abs(sum(one) / 500 - 25_000) < 3_000
 
@@ -79,7 +102,9 @@ def test_chi_square_and_cramers_v(spark):
     table = [[12, 5], [3, 20]]
     rows = [(f"r{i}", f"c{j}") for i in range(2) for j in range(2) for _ in range(table[i][j])] + [("r0", None), (None, "c1")]
     df = spark.createDataFrame(rows, "a string, b string").withColumn("one", F.lit("x"))
-    (r,) = inference.chi_square_tests(df, ["a", "b", "one"]).collect()
+    tests = inference.chi_square_tests(df, ["a", "b", "one"]).collect()
+    (r,) = [t for t in tests if t["skipped"] is None]
+    assert [t["skipped"] for t in tests if t["skipped"]] == ["a column has one value"] * 2
     assert (r["col1"], r["col2"], r["dof"]) == ("a", "b", 1)
     assert r["statistic"] == round(brute_chi(table, True), 4) and r["significant"]
     v = {(x["col1"], x["col2"]): x["cramers_v"] for x in association.cramers_v(df, [("a", "b"), ("a", "one")]).collect()}
@@ -138,12 +163,29 @@ def test_anderson_darling_with_ties(spark):
     assert r["critical_5pct"] == round(0.787 / (1 + 4 / 600 - 25 / 600**2), 3)
 
 
+def test_constant_columns_are_left_out(spark):
+    df = spark.range(20).select(F.lit(5.0).alias("same"), F.col("id").cast("double").alias("x"))
+    assert [r["column"] for r in inference.distribution_tests(df, ["same", "x"]).collect()] == ["x"]
+
+
+def test_all_columns_are_paired(spark):
+    names = [f"c{i}" for i in range(17)]
+    df = spark.range(300).select(*[(F.col("id") * (i + 1) % 4).cast("string").alias(c) for i, c in enumerate(names)])
+    assert inference.chi_square_tests(df, names).count() == 136
+    numbers = df.select(*[F.col(c).cast("double") for c in names])
+    assert inference.distribution_tests(numbers, names).count() == sum((i + 1) % 4 > 0 for i in range(17))
+    rows = {(r["col1"], r["col2"]): r["correlation"] for r in association.pearson_matrix(numbers, names).collect()}
+    data = numbers.toPandas()
+    for (a, b), r in rows.items():
+        assert r == round(np.corrcoef(data[a], data[b])[0, 1], 4)
+
+
 def test_interpretations_and_takeaways(spark):
     normality = spark.createDataFrame(
         [("age", "shapiro_wilk", 0.9, 0.03, False, 0.5)], "column string, test string, statistic double, p_value double, is_normal boolean, skewness double"
     )
     chi = spark.createDataFrame(
-        [("a", "b", "chi_square", 9.0, 0.01, 1, True)], inference.CHI_SCHEMA
+        [("a", "b", "chi_square", 9.0, 0.01, 1, True, None)], inference.CHI_SCHEMA
     )
     rows = inference.interpretations(normality, chi).collect()
     assert [r["significance"] for r in rows] == ["significant", "significant"]
