@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.llm import language, ngram_join, packing, pii, suffix_dedup
-from tabscope.llm.rows import stored
+from tabscope.llm.rows import free_name, stored
 
 #: A document goes if its language is predicted with less than this score.
 MIN_LANGUAGE_SCORE = 0.3
@@ -18,9 +18,10 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Those without letters, or with a very unsure language, go."""
-    found = language.identify(docs, language.train(docs), docs.columns)
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*docs.columns)
+    names = free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns)
+    found = language.identify(docs, language.train(docs), docs.columns, names)
+    known = (F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)
+    return found.where(known).drop(*names)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if not repeated.isEmpty():
         once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,15 +144,17 @@ def train(
     return Model(unpacked([r.vector for r in found], WIDTH), np.array([r.lang for r in found], dtype=object))
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1) to ``keep`` columns of documents (default: ``doc_id``).
+def identify(
+    docs: DataFrame, model: Model | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The language and its score (0 to 1), named ``names``, beside ``keep`` columns of documents (default: ``doc_id``).
 
     A null text, or one without a letter, is ``und`` with score 0, and so is all without a model. Each row
     is judged alone: no shuffle, ties and repeated rows come out as they come in.
     """
     keep = keep if keep is not None else ["doc_id"]
     fields = [docs.schema[k] for k in keep]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -166,4 +168,4 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
         return work
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return map_rows(docs, ["text", *keep], ddl, start)
+    return map_rows(docs, ["text", *(F.col(f"`{k}`") for k in keep)], ddl, start)

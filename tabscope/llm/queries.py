@@ -103,3 +103,57 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document with the multi-language rank file, decode the ids, and digest both sides."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+#: Text with A-Z in lower case, and nothing for null.
+LOWERED = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+SQL["op2_ngram_jaccard"] = f"""WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION SELECT b, root FROM reached JOIN edges ON id = a
+)
+SELECT id AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM reached LEFT JOIN sizes ON doc_id = id GROUP BY id"""
+
+SQL["op9_suffix_dedup"] = """WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM texts)
+), firsts AS (
+  SELECT s, min(doc_id) AS holder FROM windows GROUP BY s
+), repeats AS (
+  SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) > 50 AS new
+  FROM windows JOIN firsts USING (s) WHERE holder < doc_id
+), numbered AS (
+  SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM repeats
+), runs AS (
+  SELECT doc_id, run, min(i) AS begin_, max(i) + 50 AS end_ FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, begin_, end_, substr(h, 2 * before + 1, 2 * (begin_ - before)) AS piece FROM (
+    SELECT *, coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY begin_), 0) AS before FROM runs
+  ) JOIN texts USING (doc_id)
+), cut AS (
+  SELECT doc_id, sum(end_ - begin_) AS n_removed, count(*) AS n_spans, max(end_) AS last_, string_agg(piece, '' ORDER BY begin_) AS head
+  FROM pieces GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)"""

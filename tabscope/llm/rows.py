@@ -46,6 +46,14 @@ def record_batch(rows: list[Any], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
+def free_name(wanted: str, taken: Sequence[str]) -> str:
+    """A column name that is not taken (in any case of its letters)."""
+    used = {name.lower() for name in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
 def octets(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column."""
     return F.col(name).cast("binary").alias(name)

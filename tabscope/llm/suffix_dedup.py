@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.llm.rows import SLICE, map_rows
+from tabscope.llm.rows import SLICE, free_name, map_rows
 from tabscope.llm.textbytes import Rolling, byte_array, mixed, runs
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from.
@@ -408,7 +408,8 @@ def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
             gone = np.repeat(whole, np.diff(np.append(heads, len(raw)))).astype(bool)
         return *kept, None if is_null else raw[~gone].tobytes().decode("utf-8", "replace")
 
-    marked = docs.withColumn("_null_text", F.col("text").isNull())
+    null = free_name("null_text", docs.columns)
+    marked = docs.withColumn(null, F.col("text").isNull())
     fields = [*(docs.schema[c] for c in names), T.StructField("text", T.StringType())]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return dedup(marked, finish, schema, [*names, "_null_text"], match).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return dedup(marked, finish, schema, [*names, null], match).select(*(F.col(f"`{c}`") for c in docs.columns))
