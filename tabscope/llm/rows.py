@@ -37,7 +37,8 @@ def map_rows(
                 if rows:
                     yield record_batch(rows, target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    chosen = [c if isinstance(c, Column) else F.col(c) for c in columns]
+    return df.select(*(c.alias(f"c{i}") for i, c in enumerate(chosen))).mapInArrow(run, schema)  # names may repeat
 
 
 def record_batch(rows: list[Any], target: pa.Schema) -> pa.RecordBatch:
