@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabscope.functions.bounded import local_table, stacked_aggregates
 from tabscope.operators.columns import as_double, long_cells, long_numbers
+from tabscope.operators.forest import isolation_summary
 from tabscope.operators.quantiles import quantile_values
 
 # Reach of the whiskers and the smallest column that is judged.
@@ -76,3 +77,12 @@ def iqr_outlier_rows(
 def univariate_report(df: DataFrame, columns: Sequence[str], method: str = "nearest") -> DataFrame:
     """``iqr_outliers`` of the columns that have any."""
     return iqr_outliers(df, columns, method).where(F.col("count") > 0)
+
+
+def all_outliers(df: DataFrame, columns: Sequence[str], key: Sequence[str], method: str = "nearest") -> DataFrame:
+    """(kind, column, count): outliers of each column that has any, and of the columns together."""
+    single = univariate_report(df, columns, method).select(F.lit("iqr").alias("kind"), "column", "count")
+    together = isolation_summary(df, columns, key).select(
+        F.lit("isolation_forest").alias("kind"), F.lit(",".join(columns)).alias("column"), "count"
+    )
+    return single.unionByName(together)

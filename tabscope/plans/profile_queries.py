@@ -18,7 +18,7 @@ from tabscope.plans.registry import (
     table,
 )
 from tabscope.session import scratch_path
-from tabscope.sources import dataset_metadata, load, results_as_json, sample_rows, write_results
+from tabscope.sources import dataset_metadata, file_metadata, load, require_rows, results_as_json, sample_rows, write_results
 
 LINEITEM = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
@@ -46,6 +46,34 @@ def scan_csv(spark, folder):
     return load(spark, path)
 
 
+@query("scan_csv_texts",
+       "SELECT doc_id::INTEGER AS doc_id, text || chr(10) || '\"' || lang || '\", ' || chr(65533) AS text, source FROM documents")
+def scan_csv_texts(spark, folder):
+    text = F.concat("text", F.lit("\n\""), "lang", F.lit("\", \ufffd"))
+    documents = table(spark, folder, "documents").select("doc_id", text.alias("text"), "source")
+    (path,) = write_results({"documents": documents}, scratch_path(spark, "texts"), "csv")
+    return load(spark, path)
+
+
+@query("scan_json_array", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def scan_json_array(spark, folder):
+    path = scratch_path(spark, "nation.json")
+    rows = table(spark, folder, "nation").select(F.struct("n_nationkey", "n_name").alias("row"))
+    rows.agg(F.to_json(F.collect_list("row")).alias("value")).coalesce(1).write.text(path)
+    return load(spark, path)
+
+
+@query("file_metadata", "SELECT 'lineitem.parquet' AS file_name, true AS has_size")
+def file_listing(spark, folder):
+    found = file_metadata(spark, f"{folder}/lineitem.parquet")
+    return found.select("file_name", (F.col("file_size_mb") > 0).alias("has_size"))
+
+
+@query("validated_rows", "SELECT count(*) AS rows FROM orders")
+def validated_rows(spark, folder):
+    return require_rows(table(spark, folder, "orders")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("scan_json", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def scan_json(spark, folder):
     path = scratch_path(spark, "customer.json")

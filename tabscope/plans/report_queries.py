@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tabscope.functions.bounded import local_table
 from tabscope.operators import association, charts, documents, findings, frequency, outliers, profile, series
 from tabscope.plans.profile_queries import (
     CONTACTS,
@@ -315,6 +317,25 @@ def chart_scatter_binned(spark, folder):
     return charts.binned_scatter(table(spark, folder, "orders"), "o_custkey", "o_totalprice")
 
 
+CHART_ROWS = (
+    "SELECT 'quantity' AS title, 50::BIGINT AS rows UNION ALL SELECT 'flags', count(DISTINCT l_returnflag) FROM lineitem UNION ALL "
+    "SELECT 'price', count(*) FROM lineitem UNION ALL SELECT 'shares', count(DISTINCT l_linestatus) FROM lineitem"
+)
+
+
+@query("chart_data", CHART_ROWS)
+def chart_data(spark, folder):
+    """How many rows each chart of a plan has; a chart of a missing column has no data."""
+    plan = local_table(spark, [
+        (0, "histogram", ["l_quantity"], "quantity", ""), (1, "bar", ["l_returnflag"], "flags", ""),
+        (2, "scatter", ["l_extendedprice", "l_quantity"], "price", ""), (3, "pie", ["l_linestatus"], "shares", ""),
+        (4, "bar", ["gone"], "missing", ""),
+    ], "place int, chart_type string, columns array<string>, title string, reason string")
+    data = charts.chart_data(table(spark, folder, "lineitem"), plan, ["l_orderkey", "l_linenumber"])
+    counts = [df.agg(F.lit(title).alias("title"), F.count(F.lit(1)).alias("rows")) for title, df in data.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("chart_line_binned", f"SELECT date_trunc('hour', ts) AS time, avg(gappy) AS value FROM {WAVY_EVENTS} WHERE gappy IS NOT NULL GROUP BY 1")
 def chart_line_binned(spark, folder):
     return charts.line(wavy_events(spark, folder), "ts", "gappy", every="hour")

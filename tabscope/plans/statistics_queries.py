@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tabscope.functions.bounded import local_table
 from tabscope.operators import association, forest, inference, outliers
 from tabscope.plans.profile_queries import LINEITEM_MEASURES, nearest
 from tabscope.plans.registry import GAPPY_LINEITEM, gappy_lineitem, per_column, query, table
@@ -316,7 +317,48 @@ ANDERSON_COLUMNS = ["value", "user_id"]
 
 @query("anderson_darling", " UNION ALL ".join(anderson_sql(c, "events") for c in ANDERSON_COLUMNS))
 def anderson_darling(spark, folder):
-    return inference.distribution_tests(table(spark, folder, "events"), ANDERSON_COLUMNS)
+    events = table(spark, folder, "events").withColumn("constant", F.lit(1.5))
+    return inference.distribution_tests(events, [*ANDERSON_COLUMNS, "constant"])
+
+
+# more columns than any bound on columns or pairs that a report might have
+MANY = [f"c{i}" for i in range(17)]
+MANY_ORDERS = "(SELECT " + ", ".join(
+    f"((o_custkey * {i + 1} + o_orderkey) % {i % 5 + 2}) AS {c}" for i, c in enumerate(MANY)
+) + " FROM orders)"
+
+
+def many_orders(spark, folder):
+    key = F.col("o_custkey")
+    return table(spark, folder, "orders").select(*[
+        ((key * (i + 1) + F.col("o_orderkey")) % (i % 5 + 2)).alias(c) for i, c in enumerate(MANY)
+    ])
+
+
+@query("anderson_darling_wide", " UNION ALL ".join(anderson_sql(c, MANY_ORDERS) for c in MANY))
+def anderson_darling_wide(spark, folder):
+    return inference.distribution_tests(many_orders(spark, folder), MANY)
+
+
+@query("pearson_matrix_wide", matrix_sql(MANY_ORDERS, MANY))
+def pearson_matrix_wide(spark, folder):
+    return association.pearson_matrix(many_orders(spark, folder), MANY)
+
+
+MANY_STATS = (
+    f"WITH many AS (SELECT * FROM {MANY_ORDERS}), stats AS ("
+    + " UNION ALL ".join("(" + CHI_SQUARE.format(x=x, y=y, t="many") + ")" for x, y in combinations(MANY, 2)) + ") "
+)
+
+
+@query("chi_square_wide", MANY_STATS + "SELECT col1, col2, round(stat, 4)::DOUBLE AS statistic, dof FROM " + CHI_TESTS)
+def chi_square_wide(spark, folder):
+    return inference.chi_square_tests(many_orders(spark, folder), MANY).select("col1", "col2", "statistic", "dof")
+
+
+@query("categorical_associations_wide", MANY_STATS + f"SELECT col1, col2, {V}::DOUBLE AS cramers_v FROM stats WHERE {V} > 0.1")
+def categorical_associations_wide(spark, folder):
+    return association.categorical_associations(many_orders(spark, folder), MANY)
 
 
 TESTED_SUPPLIER = f"(SELECT *, s_suppkey % 3 AS third, s_suppkey % 2 AS half, CASE WHEN s_suppkey % 6 < 2 THEN 'x' ELSE 'y' END AS mark FROM {PULLED_SUPPLIER})"
@@ -444,3 +486,44 @@ def isolation_forest(spark, folder):
 def isolation_summary(spark, folder):
     df = table(spark, folder, "events")
     return forest.isolation_summary(df, ["value", "user_id"], ["event_id"])
+
+
+PLANTED = [(-1, 5_000_000.0, 10), (-2, -4_000_000.0, 900_000_000), (-3, 3_000_000.0, -800_000_000)]
+
+
+def planted_events(spark, folder):
+    """events with three rows that are extreme in value and user."""
+    planted = local_table(spark, PLANTED, "event_id long, value double, user_id long")
+    return table(spark, folder, "events").select("event_id", "value", "user_id").unionByName(planted)
+
+
+@query("isolation_forest_facts", "SELECT 3::BIGINT AS planted_found, true AS share_in_bounds, true AS same_for_other_partitions")
+def isolation_forest_facts(spark, folder):
+    """What a forest must do whatever it draws: find planted rows, flag its share, ignore the partitions."""
+    df = planted_events(spark, folder)
+
+    def flagged(parts):
+        return forest.isolation_forest(df.repartition(parts, "event_id"), ["value", "user_id"], ["event_id"])
+
+    def facts(found):
+        return found.agg(F.count_if(F.col("event_id") < 0).alias("planted"), F.count(F.lit(1)).alias("n"),
+                         F.sum(F.xxhash64("event_id", F.round("score", 9)).cast("decimal(38,0)")).alias("mark"))
+
+    one, many = facts(flagged(1)), facts(flagged(8))
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    # three tables of one row each
+    joined = one.withColumn("k", F.lit(1)).join(many.select(F.col("mark").alias("other"), F.lit(1).alias("k")), "k").join(
+        rows.withColumn("k", F.lit(1)), "k"
+    )
+    return joined.select(
+        F.col("planted").alias("planted_found"), (F.col("n") / F.col("rows")).between(0.04, 0.06).alias("share_in_bounds"),
+        (F.col("mark") == F.col("other")).alias("same_for_other_partitions"),
+    )
+
+
+@query("outliers_all",
+       "SELECT 'iqr' AS kind, \"column\", count FROM (" + " UNION ALL ".join(outlier_sql(c, "events") for c in ["value", "user_id"]) +
+       ") WHERE count > 0 UNION ALL SELECT 'isolation_forest', 'value,user_id', (SELECT count(*) FROM events) // 20")
+def outliers_all(spark, folder):
+    """Outliers of single columns, and of all together; the forest flags the twentieth part with the largest scores."""
+    return outliers.all_outliers(table(spark, folder, "events"), ["value", "user_id"], ["event_id"])

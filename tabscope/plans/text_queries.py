@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabscope.functions.text import WHITESPACE
 from tabscope.operators import documents, sqltext, vectors
 from tabscope.operators.asof import asof_join
+from tabscope.operators.intervals import interval_join
 from tabscope.plans.registry import query, table
 
 SPACE = f"'{WHITESPACE}'"
@@ -131,6 +132,30 @@ def vector_topk(spark, folder):
     return result.select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
+@query("vector_topk_with_zeros",
+       "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, CASE WHEN vec_id % 2 = 1 "
+       "THEN 1 - list_cosine_similarity(embedding::DOUBLE[], v) END AS distance FROM embeddings, q WHERE label = 3) "
+       "SELECT vec_id, round(distance, 6) AS distance FROM d")
+def vector_topk_with_zeros(spark, folder):
+    store = table(spark, folder, "embeddings")
+    question = store.orderBy("vec_id").select("embedding").first()[0]
+    zero = F.transform("embedding", lambda x: F.lit(0).cast("float"))
+    emptied = store.withColumn("embedding", F.when(F.col("vec_id") % 2 == 1, F.col("embedding")).otherwise(zero))
+    found = vectors.nearest(emptied, question, F.col("label") == 3, k=1_000_000, key="vec_id")
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("interval_join",
+       "SELECT n_nationkey, count(*) AS n, round(sum(value), 2) AS total FROM events "
+       "JOIN nation ON value >= n_nationkey * 4 AND value < n_nationkey * 4 + 3 GROUP BY n_nationkey")
+def interval_joined(spark, folder):
+    ranges = table(spark, folder, "nation").select(
+        "n_nationkey", (F.col("n_nationkey") * 4).alias("low"), (F.col("n_nationkey") * 4 + 3).alias("high")
+    )
+    joined = interval_join(table(spark, folder, "events"), ranges, "value", "low", "high", 4.0)
+    return joined.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query("vector_topk_each",
        "WITH q AS (SELECT label, min(vec_id) AS question, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label), "
        "d AS (SELECT question, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS distance FROM embeddings JOIN q USING (label)) "

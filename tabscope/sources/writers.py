@@ -29,7 +29,9 @@ def write_results(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parq
                 if f.dataType.typeName() in NESTED else table[f"`{f.name}`"]
                 for f in table.schema.fields
             ])
-        options = {"header": True, "escape": '"'} if fmt == "csv" else {}
+        options = {
+            "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+        } if fmt == "csv" else {}
         writer.write.mode("overwrite").options(**options).format(fmt).save(path)
         paths.append(path)
     return paths
