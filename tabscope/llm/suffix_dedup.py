@@ -14,7 +14,7 @@ windows mostly share theirs. An anchor's span is what all windows with this anch
 
 Before each exchange a task keeps one record of equal ones, of its smallest document, so a passage of a third of all
 documents is one record a task. A gram with very many different spans goes to the second exchange directly.
-Only keys are exchanged; texts meet the results by a join on the id.
+Only keys are exchanged. Texts are dealt into slots by id, and each slot meets what was found for its documents.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabscope.llm.rows import SLICE, free_name, map_rows
+from tabscope.llm.rows import SLICE, free_name, map_rows, record_batch
 from tabscope.llm.textbytes import Rolling, byte_array, mixed, runs
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from.
@@ -40,38 +41,50 @@ BUCKET, BLOCK = 1_000_000, 2_000_000
 MANY_SPANS = 1000
 #: Documents whose anchors give the splitters.
 SPLITTER_DOCUMENTS = 20_000
-#: Bytes of the exchanged keys: what groups records, and what tells them apart.
-GROUP, ITEM = 5, 6
+#: Bytes of the exchanged keys: what groups records (beside the bucket), and what tells them apart.
+GROUP, ITEM = 4, 5
+#: Bytes of text in a slot, on average, and those worked on at a time.
+SLOT, PORTION = 16_000_000, 500_000
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
 
 
 class Anchors:
-    """Windows of one text with the same anchor: first and last window, the anchor, keys."""
+    """Windows of some texts with the same anchor: their text, first and last window, keys.
 
-    def __init__(self, text: bytes, match: int) -> None:
-        self.raw = byte_array(text)
-        windows = match - GRAM + 1
-        if len(text) < match:
-            self.first = self.last = np.zeros(0, np.int64)
+    Places are those in all texts side by side; no window reaches over the end of its text.
+    """
+
+    def __init__(self, texts: list[bytes], match: int) -> None:
+        self.ends = np.cumsum([len(t) for t in texts])
+        self.begins = self.ends - [len(t) for t in texts]
+        self.raw = byte_array(b"".join(texts))
+        inside = np.ones(max(0, len(self.raw) - match + 1), bool)
+        for begin, end in zip(self.begins.tolist(), self.ends.tolist(), strict=True):
+            inside[max(begin, end - match + 1) : end] = False
+        windows = np.flatnonzero(inside)
+        if not len(windows):
+            self.text = self.first = self.last = np.zeros(0, np.int64)
             self.gram = self.span = self.lead = np.zeros(0, _U)
             return
-        rolling = Rolling(self.raw)
-        grams = rolling.grams(GRAM)
-        low = (grams >> _U(32) << _U(32)) | np.arange(len(grams), dtype=_U)
-        size = 1
-        while size < windows:  # minimum of ever wider windows
-            step = min(size, windows - size)
+        self.rolling = Rolling(self.raw)
+        grams = self.rolling.plain_grams(GRAM)
+        low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
+        size, width = 1, match - GRAM + 1
+        while size < width:  # minimum of ever wider windows
+            step = min(size, width - size)
             low = np.minimum(low[:-step], low[step:])
             size += step
-        at = (low & _U(0xFFFFFFFF)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(at)) + 1
-        self.first = np.concatenate(([0], cuts))
-        self.last = np.concatenate((cuts, [len(at)])) - 1
-        anchor = at[self.first]
-        self.gram = grams[anchor]
-        self.span = mixed(rolling.spans(self.first, self.last + match) + (anchor - self.first).astype(_U)) >> _U(64 - 8 * ITEM)
+        low = low[windows]
+        cuts = np.flatnonzero(low[1:] != low[:-1]) + 1
+        self.first = windows[np.concatenate(([0], cuts))]
+        self.last = windows[np.concatenate((cuts, [len(low)])) - 1]
+        anchor = (low[np.concatenate(([0], cuts))] & _U(0xFFFFFFFF)).astype(np.int64)
+        self.text = np.searchsorted(self.ends, self.first, side="right")
+        self.gram = mixed(grams[anchor])
+        span = self.rolling.spans(self.first, self.last + match)
+        self.span = mixed(span + (anchor - self.first).astype(_U)) >> _U(64 - 8 * ITEM)
         self.lead = leading(self.raw, anchor)
 
     @property
@@ -97,18 +110,18 @@ def order_key(lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Single windows of a text: two independent hashes of their bytes."""
+    """Single windows of some texts: the hash of a window, and one of its halves' hashes."""
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, match: int) -> None:
+    def __init__(self, own: Anchors, starts: np.ndarray, match: int) -> None:
         self.starts = starts
-        wide = -(-match // 8) * 8
-        cells = np.zeros((len(starts), wide), np.uint8)
-        cells[:, :match] = raw[starts[:, None] + np.arange(match)]
-        one, two = np.full(len(starts), 1, _U), np.full(len(starts), 2, _U)
-        for column in cells.view(np.uint64).T:
-            one = mixed(one * _U(0x9E3779B97F4A7C15) + column)
-            two = mixed((two ^ column) * _U(0xC2B2AE3D27D4EB4F) + _U(0x165667B19E3779F9))
-        self.key = order_key(leading(raw, starts), one)
+        self.text = np.searchsorted(own.ends, starts, side="right")
+        if not len(starts):
+            self.key = self.group = self.item = np.zeros(0, _U)
+            return
+        middle, end = starts + match // 2, starts + match
+        one = own.rolling.spans(starts, end)
+        two = mixed(own.rolling.spans(starts, middle) * _U(0xC2B2AE3D27D4EB4F) ^ own.rolling.spans(middle, end))
+        self.key = order_key(leading(own.raw, starts), one)
         self.group = one & _U((1 << 8 * GROUP) - 1)
         self.item = two >> _U(64 - 8 * ITEM)
 
@@ -175,8 +188,19 @@ def sorted_records(
 
 
 EXCHANGED = "bucket int, kind int, documents binary, owners binary, groups binary, items binary"
-FOUND = "place bigint, whole binary, part binary"
+#: Items of some documents: for each kind, how many each of them has, and all of them in order.
+FOUND = "slot bigint, places binary, wholes binary, whole binary, parts binary, part binary"
 RECORDS, WHOLE, PART = range(3)
+_PRIME, _FACTOR = 2_147_483_647, 48_271
+
+
+def slot_of(place: Column, slots: int) -> Column:
+    """The slot of a document; ids in steps are dealt evenly, too."""
+    return F.pmod(F.pmod(F.pmod(place, F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)), F.lit(slots)).cast("bigint")
+
+
+def slots_of(places: np.ndarray, slots: int) -> np.ndarray:
+    return places % _PRIME * _FACTOR % _PRIME % slots
 
 
 class Block:
@@ -191,10 +215,11 @@ class Block:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, place: int, key: np.ndarray, group: np.ndarray, item: np.ndarray) -> None:
+    def add(self, places: list[int], text: np.ndarray, key: np.ndarray, group: np.ndarray, item: np.ndarray) -> None:
+        """Records of some texts; ``text`` is each record's number in ``places``."""
         if len(key):
-            self.parts.append((key, group, item, np.full(len(key), len(self.places), np.int64)))
-            self.places.append(place)
+            self.parts.append((key, group, item, text + len(self.places)))
+            self.places += places
             self.size += len(key)
 
     def rows(self) -> Iterator[tuple]:
@@ -235,32 +260,63 @@ def unpacked(places: bytes, owners: bytes, groups: bytes, items: bytes) -> tuple
     return np.frombuffer(places, np.int64)[at], from_planes(groups, GROUP), from_planes(items, ITEM)
 
 
-def by_place(whole: tuple[np.ndarray, np.ndarray], part: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """A row of ``FOUND`` for each document: its items, side by side."""
+def by_slot(whole: tuple[np.ndarray, np.ndarray], part: tuple[np.ndarray, np.ndarray], slots: int) -> list[dict]:
+    """Rows of ``FOUND`` from (document, item) pairs of both kinds."""
     places = np.unique(np.concatenate((whole[0], part[0])))
-    columns = []
-    for owner, item in (whole, part):
-        order = np.argsort(owner, kind="stable")
-        offsets = np.searchsorted(owner[order], np.append(places, _LAST), side="left")
-        offsets[-1] = len(owner)
-        cells = np.ascontiguousarray(item[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ITEM])
-        columns.append(pa.Array.from_buffers(pa.binary(), len(places), [
-            None, pa.py_buffer((offsets * ITEM).astype(np.int32).tobytes()), pa.py_buffer(cells.tobytes())]))
-    return pa.table([pa.array(places), *columns], names=["place", "whole", "part"])
+    places = places[np.argsort(slots_of(places, slots), kind="stable")]
+    numbers = slots_of(places, slots)
+    cuts = np.flatnonzero(np.diff(numbers)) + 1
+    rows = [{"slot": int(numbers[i[0]]), "places": places[i].tobytes()} for i in np.split(np.arange(len(places)), cuts) if len(i)]
+    rank = np.argsort(places)  # place in order of slots, by document
+    for names, (owner, item) in ((("wholes", "whole"), whole), (("parts", "part"), part)):
+        at = rank[np.searchsorted(places[rank], owner)]
+        counts = np.bincount(at, minlength=len(places)).astype(np.int32)
+        cells = little(item[np.argsort(at, kind="stable")])
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        bounds = [0, *cuts, len(places)]
+        for row, a, b in zip(rows, bounds, bounds[1:], strict=False):
+            row |= {names[0]: counts[a:b].tobytes(), names[1]: cells[ends[a] : ends[b]].tobytes()}
+    return rows
+
+
+def little(items: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ITEM])
+
+
+def from_little(data: bytes) -> np.ndarray:
+    cells = np.zeros((len(data) // ITEM, 8), np.uint8)
+    cells[:, :ITEM] = np.frombuffer(data, np.uint8).reshape(-1, ITEM)
+    return cells.view("<u8").ravel().astype(_U)
+
+
+class Items:
+    """Items by document, from the rows of one slot."""
 
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], places: np.ndarray) -> None:
+        """``places`` are the slot's documents, sorted."""
+        owners = [np.repeat(np.frombuffer(p, np.int64), np.frombuffer(c, np.int32)) for p, c, _ in rows]
+        owner = np.searchsorted(places, np.concatenate([np.zeros(0, np.int64), *owners]))
+        item = np.concatenate([np.zeros(0, _U), *(from_little(i) for *_, i in rows)])
+        self.keys = np.sort(owner.astype(_U) << _U(8 * ITEM) | item)
 
-def item_set(pieces: list[bytes] | None) -> np.ndarray:
-    data = np.frombuffer(b"".join(pieces or ()), np.uint8).reshape(-1, ITEM)
-    cells = np.zeros((len(data), 8), np.uint8)
-    cells[:, :ITEM] = data
-    return np.unique(cells.view("<u8").ravel().astype(_U))
+    def have(self, rank: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which (document number, item) pairs are there."""
+        return among(rank.astype(_U) << _U(8 * ITEM) | item, self.keys)
 
 
-def exchanged(records: DataFrame, edges: bool) -> DataFrame:
-    """Bring the records of each bucket together; ``place, whole, part``: lists of items for each document.
+def among(values: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(items):
+        return np.zeros(len(values), bool)
+    return items[np.minimum(np.searchsorted(items, values), len(items) - 1)] == values
+
+
+def exchanged(records: DataFrame, edges: bool, slots: int) -> DataFrame:
+    """Bring the records of each bucket together and deal what is found by the documents' slots.
 
     ``whole`` are items that a smaller document has; ``part`` (with ``edges``) those whose group has other items.
     """
+    target = to_arrow_schema(T.StructType.fromDDL(FOUND))
 
     def bucket(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
@@ -278,49 +334,72 @@ def exchanged(records: DataFrame, edges: bool) -> DataFrame:
             found[PART].append((owner[edge], item[edge]))
         for kind in (WHOLE, PART):
             found[kind] += [(o, i) for o, _, i in sides[kind]] + [(nothing[0], nothing[1])]
-        return by_place(*(tuple(np.concatenate(c) for c in zip(*found[kind], strict=True)) for kind in (WHOLE, PART)))
+        whole, part = (tuple(np.concatenate(c) for c in zip(*found[kind], strict=True)) for kind in (WHOLE, PART))
+        return pa.Table.from_pylist(by_slot(whole, part, slots), schema=target)
 
-    found = records.groupBy("bucket").applyInArrow(bucket, FOUND)
-    return found.groupBy("place").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("part"))
+    return records.groupBy("bucket").applyInArrow(bucket, FOUND)
 
 
-def block_rows(
-    df: DataFrame, splitters: list[int], edges: bool, records: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
-) -> DataFrame:
-    """Rows of ``EXCHANGED`` from each row's records; the first column is the document's place in the order."""
+EXCHANGED_SCHEMA = pa.schema([
+    ("bucket", pa.int32()), ("kind", pa.int32()),
+    *((name, pa.binary()) for name in ("documents", "owners", "groups", "items")),
+])
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(EXCHANGED_SCHEMA.names, r, strict=True)) for r in rows], schema=EXCHANGED_SCHEMA)
+
+
+def portions(texts: list[bytes | None]) -> Iterator[slice]:
+    """Slices of neighbouring texts of about ``PORTION`` bytes; a longer text is alone."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or b"") > PORTION:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(text or b"")
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def anchor_records(texts: DataFrame, splitters: list[int], match: int) -> DataFrame:
+    """The anchors of all texts as rows of ``EXCHANGED``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(np.array(splitters, np.int64), edges)
+        block = Block(np.array(splitters, np.int64), True)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
-                for place, *values in zip(*(c.to_pylist() for c in batch.slice(start, SLICE).columns), strict=True):
-                    block.add(place, *records(*values))
+                places, texts = (c.to_pylist() for c in batch.slice(start, SLICE).columns)
+                for part in portions(texts):
+                    own = Anchors([t or b"" for t in texts[part]], match)
+                    block.add(places[part], own.text, own.key, own.group, own.span)
                     if block.size >= BLOCK:
-                        yield from batched(block.rows())
-        yield from batched(block.rows())
+                        yield from (as_batch([r]) for r in block.rows())
+        yield from (as_batch([r]) for r in block.rows())
 
-    def batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        for row in rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=target)
+    return texts.select("place", "text").mapInArrow(run, EXCHANGED)
 
-    names = [f.split()[0] for f in EXCHANGED.split(", ")]
-    target = pa.schema(list(zip(names, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)))
-    return df.mapInArrow(run, EXCHANGED)
 
-
-def find_splitters(texts: DataFrame, match: int) -> list[int]:
-    """Keys that cut the anchors into buckets, from the anchors of documents drawn by a hash of the id."""
+def find_splitters(texts: DataFrame, match: int) -> tuple[list[int], int]:
+    """Keys that cut the anchors into buckets, from the anchors of documents drawn by a hash of the id; and the slots."""
     size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    slots = (size.bytes or 0) // SLOT + 1
     buckets = int((size.bytes or 0) * 2 / (match - GRAM + 2) / BUCKET) + 1
     if buckets == 1:
-        return []
+        return [], slots
     draw = F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SPLITTER_DOCUMENTS / size.n)))
     keys = map_rows(
         texts.where(draw), ["text"], "key bigint",
-        lambda: lambda text: [(k,) for k in Anchors(text or b"", match).key[::8].tolist()], many=True,
+        lambda: lambda text: [(k,) for k in Anchors([text or b""], match).key[::8].tolist()], many=True,
     )
     cuts = keys.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
-    return sorted(set(cuts or ()))
+    return sorted(set(cuts or ())), slots
+
+
+def edge_windows(own: Anchors, whole: np.ndarray, part: np.ndarray, match: int) -> Windows:
+    """Windows of the anchors whose span is not found whole, but whose gram is found elsewhere."""
+    edge = part & ~whole
+    return Windows(own, covered(own.first[edge], own.last[edge]), match)
 
 
 def dedup(
@@ -336,49 +415,61 @@ def dedup(
     place = F.coalesce("doc_id", F.lit(_LAST)).alias("place")
     rest = F.struct(*(F.col(f"`{k}`") for k in keep)).alias("rest")
     texts = docs.select(place, F.col("text").cast("binary").alias("text"), rest)
-    splitters = find_splitters(texts, match)
-
-    def anchors(text: bytes | None) -> tuple:
-        own = Anchors(text or b"", match)
-        return own.key, own.group, own.span
-
-    spans = exchanged(block_rows(texts.select("place", "text"), splitters, True, anchors), True)
-
-    def edge_windows(own: Anchors, whole: np.ndarray, part: list[bytes] | None) -> Windows:
-        edge = np.isin(own.span, item_set(part)) & ~whole
-        return Windows(own.raw, covered(own.first[edge], own.last[edge]), match)
-
-    def windows(text: bytes | None, whole: list[bytes] | None, part: list[bytes] | None, _: Any) -> tuple:
-        own = Anchors(text or b"", match)
-        edge = edge_windows(own, np.isin(own.span, item_set(whole)), part)
-        return edge.key, edge.group, edge.item
-
-    questions = texts.join(spans.where(F.exists("part", lambda p: F.octet_length(p) > 0)), "place")
-    # with the same columns as below, the texts are shuffled once for both joins
-    questions = questions.select("place", "text", "whole", "part", "rest")
-    single = exchanged(block_rows(questions, splitters, False, windows), False)
-    single = single.select("place", F.col("whole").alias("single"))
-
-    def start() -> Callable[..., tuple]:
-        def work(text: bytes | None, whole: Any, part: Any, single: Any, *kept: Any) -> tuple:
-            text = text or b""
-            steps = np.zeros(len(text) + 1, np.int32)
-            if whole or single:
-                own = Anchors(text, match)
-                gone = np.isin(own.span, item_set(whole))
-                np.add.at(steps, own.first[gone], 1)
-                np.add.at(steps, own.last[gone] + match, -1)
-                if single:
-                    edge = edge_windows(own, gone, part)
-                    starts = edge.starts[np.isin(edge.item, item_set(single))]
-                    np.add.at(steps, starts, 1)
-                    np.add.at(steps, starts + match, -1)
-            return finish(*kept, text, np.cumsum(steps)[:-1] > 0)
-
-        return work
-
-    joined = texts.join(spans, "place", "left").join(single, "place", "left")
-    return map_rows(joined, ["text", "whole", "part", "single", *(F.col(f"rest.`{k}`") for k in keep)], schema, start)
+    splitters, slots = find_splitters(texts, match)
+    texts = texts.withColumn("slot", slot_of(F.col("place"), slots))
+    spans = exchanged(anchor_records(texts, splitters, match), True, slots).withColumn("kind", F.lit(RECORDS))
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def items(found: pa.Table, kind: int, counts: str, name: str, places: np.ndarray) -> Items:
+        columns = zip(*(found.column(c).to_pylist() for c in ("kind", "places", counts, name)), strict=True)
+        return Items([(p, c, i) for k, p, c, i in columns if k == kind], places)
+
+    def slot_parts(own_texts: pa.Table, found: pa.Table) -> Iterator[tuple]:
+        """Portions of a slot's texts: which, their ids, numbers, bytes, anchors; spans found whole and in part."""
+        every = own_texts.column("place").to_numpy()
+        ranks = np.unique(every)
+        whole = items(found, RECORDS, "wholes", "whole", ranks)
+        part = items(found, RECORDS, "parts", "part", ranks)
+        for first in range(0, len(every), SLICE):
+            texts = own_texts.column("text").slice(first, SLICE).to_pylist()
+            for at in portions(texts):
+                chosen = [t or b"" for t in texts[at]]
+                places = every[first + at.start : first + at.stop]
+                rank = np.searchsorted(ranks, places)
+                own = Anchors(chosen, match)
+                copied = whole.have(rank[own.text], own.span)
+                yield first + at.start, places, rank, chosen, own, copied, part.have(rank[own.text], own.span)
+
+    def questions(own_texts: pa.Table, found: pa.Table) -> pa.Table:
+        block, rows = Block(np.array(splitters, np.int64), False), []
+        for _, places, _, _, own, copied, shared in slot_parts(own_texts, found):
+            windows = edge_windows(own, copied, shared, match)
+            block.add(places.tolist(), windows.text, windows.key, windows.group, windows.item)
+            if block.size >= BLOCK:
+                rows += block.rows()
+        rows += block.rows()
+        return pa.Table.from_batches([as_batch(rows)] if rows else [], schema=EXCHANGED_SCHEMA)
+
+    # both joins read the same slots, so texts are shuffled once
+    windows = texts.groupBy("slot").cogroup(spans.groupBy("slot")).applyInArrow(questions, EXCHANGED)
+    single = exchanged(windows, False, slots).withColumn("kind", F.lit(WHOLE))
+
+    def answers(own_texts: pa.Table, found: pa.Table) -> pa.Table:
+        alone = items(found, WHOLE, "wholes", "whole", np.unique(own_texts.column("place").to_numpy()))
+        out = []
+        for first, places, rank, chosen, own, copied, shared in slot_parts(own_texts, found):
+            edge = edge_windows(own, copied, shared, match)
+            starts = edge.starts[alone.have(rank[edge.text], edge.item)]
+            begins = np.concatenate((own.first[copied], starts))
+            ends = np.concatenate((own.last[copied], starts)) + match
+            size = len(own.raw) + 1
+            gone = np.cumsum(np.bincount(begins, minlength=size) - np.bincount(ends, minlength=size))[:-1] > 0
+            kept = own_texts.column("rest").slice(first, len(places)).to_pylist()
+            for row, text, a, b in zip(kept, chosen, own.begins, own.ends, strict=True):
+                out.append(finish(*(row[k] for k in keep), text, gone[a:b]))
+        return pa.Table.from_batches([record_batch(out, target)] if out else [], schema=target)
+
+    return texts.groupBy("slot").cogroup(spans.unionByName(single).groupBy("slot")).applyInArrow(answers, schema)
 
 
 def digests(docs: DataFrame, match: int = MATCH) -> DataFrame:

@@ -46,6 +46,11 @@ class Rolling:
         lengths = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + lengths)
 
+    def plain_grams(self, size: int) -> np.ndarray:
+        """As ``grams``, but not spread over all bits; there must be a gram."""
+        count = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:count]) * self.inverse[:count]
+
     def grams(self, size: int) -> np.ndarray:
         """The hash of the ``size`` bytes from each position on."""
         count = len(self.sums) - size
