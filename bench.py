@@ -21,7 +21,7 @@ HEADLINE = (
     "cramers_v", "chi_square", "anderson_darling", "shapiro_wilk", "iqr_outliers", "iqr_outlier_rows",
     "isolation_forest", "trend", "autocorrelation", "timeseries_report", "findings_report", "chart_histogram",
     "chart_box", "split_sections", "extract_json", "vector_topk_each", "sql_join_inner", "sql_window_rank",
-    "asof_join",
+    "asof_join", "analyze_summary", "categorical_associations",
 )
 
 

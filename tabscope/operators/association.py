@@ -88,7 +88,10 @@ def _filled_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, _Moments
     return found
 
 
-def _correlations(df: DataFrame, columns: Sequence[str], drop_constant: bool = True) -> tuple[list[str], DataFrame]:
+Correlations = tuple[list[str], DataFrame]
+
+
+def correlations(df: DataFrame, columns: Sequence[str], drop_constant: bool = True) -> Correlations:
     """The columns that vary, and (i, j, r): Pearson coefficients of the imputed columns by their place in them.
 
     Two passes whatever the number of columns: moments, then the matrix of centred products,
@@ -126,12 +129,14 @@ def _names(df: DataFrame, kept: Sequence[str]) -> DataFrame:
     return local_table(df.sparkSession, list(enumerate(kept)), "place int, name string")
 
 
-def pearson_matrix(df: DataFrame, columns: Sequence[str], drop_constant: bool = True) -> DataFrame:
-    """(col1, col2, correlation) for every ordered pair, undefined shown as 0."""
+def pearson_matrix(
+    df: DataFrame, columns: Sequence[str], drop_constant: bool = True, found: Correlations | None = None
+) -> DataFrame:
+    """(col1, col2, correlation) for every ordered pair, undefined shown as 0; ``found`` are known ``correlations``."""
     empty = local_table(df.sparkSession, [], "col1 string, col2 string, correlation double")
     if len(columns) < 2:
         return empty
-    kept, r = _correlations(df, columns, drop_constant)
+    kept, r = found or correlations(df, columns, drop_constant)
     if len(kept) < 2:
         return empty
     both = r.union(r.where("i <> j").select("j", "i", "r"))
@@ -145,11 +150,13 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], drop_constant: bool =
     )
 
 
-def high_correlations(df: DataFrame, columns: Sequence[str], threshold: float = HIGH_CORRELATION) -> DataFrame:
-    """(col1, col2, correlation) of the pairs whose unrounded |r| reaches the threshold."""
+def high_correlations(
+    df: DataFrame, columns: Sequence[str], threshold: float = HIGH_CORRELATION, found: Correlations | None = None
+) -> DataFrame:
+    """(col1, col2, correlation) of the pairs whose unrounded |r| reaches the threshold; ``found`` as above."""
     if len(columns) < 2:
         return local_table(df.sparkSession, [], "col1 string, col2 string, correlation double")
-    kept, r = _correlations(df, columns)
+    kept, r = found or correlations(df, columns)
     names = _names(df, kept)
     return (
         r.where((F.col("i") < F.col("j")) & (F.abs("r") >= threshold))
@@ -253,10 +260,10 @@ def _association(stats: DataFrame) -> DataFrame:
     )
 
 
-def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(col1, col2, cramers_v) per pair, 0 where there is nothing to compare."""
+def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], stats: DataFrame | None = None) -> DataFrame:
+    """(col1, col2, cramers_v) per pair, 0 where there is nothing to compare; ``stats`` are known ``pair_statistics``."""
     wanted = local_table(df.sparkSession, list(pairs), "col1 string, col2 string")
-    values = _association(pair_statistics(df, pairs)).select("col1", "col2", "cramers_v")
+    values = _association(pair_statistics(df, pairs) if stats is None else stats).select("col1", "col2", "cramers_v")
     return wanted.join(values, ["col1", "col2"], "left").withColumn(
         "cramers_v", F.coalesce("cramers_v", F.lit(0.0))
     )
@@ -267,6 +274,7 @@ def categorical_associations(
     columns: Sequence[str],
     max_columns: int | None = None,
     threshold: float = MIN_ASSOCIATION,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """(col1, col2, cramers_v) of the pairs whose rounded V is above the threshold.
 
@@ -276,7 +284,7 @@ def categorical_associations(
     if not pairs:
         return local_table(df.sparkSession, [], "col1 string, col2 string, cramers_v double")
     return (
-        cramers_v(df, pairs).where(F.col("cramers_v") > threshold)
+        cramers_v(df, pairs, stats).where(F.col("cramers_v") > threshold)
         .orderBy(F.desc("cramers_v"), "col1", "col2")
     )
 

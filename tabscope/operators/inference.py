@@ -100,18 +100,19 @@ def chi_square_tests(
     columns: Sequence[str],
     max_columns: int | None = None,
     max_levels: int = MAX_CHI_LEVELS,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """(col1, col2, test, statistic, p_value, dof, significant, skipped) for all pairs of columns.
 
     A pair is tested if it has 10 complete rows and 2 to 20 levels on either side; if not, the
     row says why in ``skipped``. With one degree of freedom the statistic carries the continuity
-    correction. ``max_columns`` bounds the columns that are paired.
+    correction. ``max_columns`` bounds the columns that are paired; ``stats`` are known ``pair_statistics``.
     """
     pairs = list(combinations(columns[:max_columns], 2))
     if not pairs:
         return local_table(df.sparkSession, [], CHI_SCHEMA)
     wanted = local_table(df.sparkSession, pairs, "col1 string, col2 string")
-    stats = wanted.join(pair_statistics(df, pairs), ["col1", "col2"], "left")
+    stats = wanted.join(pair_statistics(df, pairs) if stats is None else stats, ["col1", "col2"], "left")
     skipped = (
         F.when(F.coalesce("n", F.lit(0)) < MIN_CHI_ROWS, "fewer than 10 complete rows")
         .when(F.least("levels1", "levels2") < 2, "a column has one value")

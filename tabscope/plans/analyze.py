@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -51,10 +52,13 @@ def analyze(
     extreme = pin(outliers.univariate_report(df, numeric, options.quantile_method)) if numeric else local_table(
         df.sparkSession, [], outliers.OUTLIER_SCHEMA
     )
-    correlations = association.high_correlations(df, numeric)
-    associations = pin(association.categorical_associations(df, categorical))
+    matrix = association.correlations(df, numeric) if len(numeric) > 1 else None
+    correlations = pin(association.high_correlations(df, numeric, found=matrix))
+    pairs = list(combinations(categorical, 2))
+    cells = pin(association.pair_statistics(df, pairs), max(1, len(pairs))) if pairs else None
+    associations = pin(association.categorical_associations(df, categorical, stats=cells))
     normality = _tests_of(df, numeric)
-    chi_square = pin(inference.chi_square_tests(df, categorical))
+    chi_square = pin(inference.chi_square_tests(df, categorical, stats=cells))
     distributions = (
         pin(inference.distribution_tests(df, numeric)) if numeric
         else local_table(df.sparkSession, [], _ANDERSON_SCHEMA)
@@ -67,7 +71,7 @@ def analyze(
         "dataset": dataset,
         "outliers": extreme,
         "multivariate_outliers": forest.isolation_summary(df, numeric, key),
-        "correlation_matrix": association.pearson_matrix(df, numeric),
+        "correlation_matrix": association.pearson_matrix(df, numeric, found=matrix),
         "correlations": correlations,
         "associations": associations,
         "timeseries": _series_of(df, numeric, times, key, dataset),

@@ -27,7 +27,14 @@ from tabscope.plans.registry import (
     rated_documents,
     table,
 )
-from tabscope.plans.statistics_queries import PULLED_SUPPLIER, matrix_sql, outlier_sql, pulled_supplier
+from tabscope.plans.statistics_queries import (
+    PULLED_SUPPLIER,
+    anderson_sql,
+    matrix_sql,
+    outlier_sql,
+    pulled_supplier,
+    shapiro_sql,
+)
 
 # -- time series ------------------------------------------------------------------------------
 
@@ -454,3 +461,41 @@ def report_lines(spark, folder):
     doubled = df.withColumn("twice", F.col("c_acctbal") * 2)
     related = association.high_correlations(doubled, [*MESSY_PAIRS, "twice"])
     return documents.report_lines(dataset, findings.quality_score(dataset, extreme), found, takeaways, related)
+
+
+# -- the whole analysis -------------------------------------------------------------------------
+
+ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+ANALYZED = (
+    "SELECT 'dataset' AS result, 'rows' AS key, count(*)::VARCHAR AS value FROM orders UNION ALL "
+    "SELECT 'dataset', 'total_nulls', '0' UNION ALL "
+    "SELECT 'dataset', 'duplicate_rows', (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)))::VARCHAR FROM orders UNION ALL "
+    f"SELECT 'correlations', col1 || ',' || col2, format('{{:.4f}}', correlation) FROM ({matrix_sql('orders', ORDER_NUMBERS)}) "
+    "WHERE abs(correlation) >= 0.7 AND col1 < col2 UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'normality', \"column\", format('{{:.6f}}', statistic) FROM ({shapiro_sql(c, 'orders')}) UNION ALL "
+        f"SELECT 'distributions', \"column\", format('{{:.4f}}', statistic) FROM ({anderson_sql(c, 'orders')}) UNION ALL "
+        f"SELECT 'outliers', \"column\", count::VARCHAR FROM ({outlier_sql(c, 'orders')}) WHERE count > 0"
+        for c in ORDER_NUMBERS
+    )
+)
+
+
+@query("analyze_summary", ANALYZED)
+def analyze_summary(spark, folder):
+    """One value of each main result of the whole analysis of a table."""
+    from tabscope.plans.analyze import analyze
+
+    results = analyze(table(spark, folder, "orders"), ["o_orderkey"])
+
+    def lines(result, key, value):
+        return results[result].select(F.lit(result).alias("result"), key.alias("key"), value.alias("value"))
+
+    facts = [lines("dataset", F.lit(c), F.col(c).cast("string")) for c in ("rows", "total_nulls", "duplicate_rows")]
+    facts += [
+        lines("correlations", F.concat("col1", F.lit(","), "col2"), F.format_string("%.4f", "correlation")),
+        lines("normality", F.col("column"), F.format_string("%.6f", "statistic")),
+        lines("distributions", F.col("column"), F.format_string("%.4f", "statistic")),
+        lines("outliers", F.col("column"), F.col("count").cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, facts)
