@@ -27,7 +27,7 @@ from tabscope.llm.textbytes import LOWER, Rolling, byte_array, shingles, words
 MATCHES = 4
 #: Shingles in one of so many documents, or in more, come last in the global order, by frequency; all others come by
 #: their hash. There are at most ``FREQUENT`` times as many of them as a document has shingles on average.
-FREQUENT = 2000
+FREQUENT = 20_000
 #: Cost of verifying one candidate, in list entries read.
 VERIFY_COST = 8.0
 #: Bits of a set's parity bitmap, which bounds the overlap of two sets from above.
@@ -235,7 +235,7 @@ def connected(links: DataFrame) -> DataFrame:
     """``class, root``: the smallest class reachable from each class that has a link.
 
     Alternating stars: every node's larger neighbours, then all its smaller ones, are linked to its smallest neighbour,
-    until nothing changes. Each step sums up neighbours by key; no component is ever in one place.
+    until all components are stars. Each step sums up neighbours by key; no component is ever in one place.
     """
 
     def star(links: DataFrame, larger: bool) -> DataFrame:
@@ -251,14 +251,18 @@ def connected(links: DataFrame) -> DataFrame:
             moved = joined.select(F.col("b").alias("a"), F.col("root").alias("b")).union(smallest.select("a", "root"))
         return moved.where("a <> b").distinct()
 
-    links = stored(links, "links")
-    state = None
-    while True:
+    def unfinished(links: DataFrame) -> bool:
+        """Whether some node has two links, or one up and one down."""
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            links.select("b", F.lit(0), F.lit(1))
+        )
+        counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not counts.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+    links = stored(star(star(links, True), False), "links")
+    while unfinished(links):
         links = stored(star(star(links, True), False), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return links.select(F.col("a").alias("class"), F.col("b").alias("root"))
-        state = now
+    return links.select(F.col("a").alias("class"), F.col("b").alias("root"))
 
 
 def with_roots(frame: DataFrame, roots: DataFrame) -> DataFrame:
@@ -306,7 +310,8 @@ def components(
     apart = (F.col("x.root") != F.col("y.root")) & (
         (F.col("y.root") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
     )
-    second = links(counted_pairs(x.join(y, "shingle").where(apart & may_link("x", "y", percent))))
+    more = counted_pairs(x.join(y, "shingle").where(apart & may_link("x", "y", percent)))
+    second = stored(links(more), "more-links")
     roots = connected(first.union(second))
 
     named = with_roots(classes.select("class", "digest", "first_id"), roots)

@@ -37,7 +37,7 @@ def found(df, **options):
     return sorted(map(tuple, ngram_join.components(df, **options).collect()))
 
 
-@pytest.mark.parametrize(("size", "percent", "frequent"), [(4, 85, 2000), (5, 80, 10), (2, 60, 4)])
+@pytest.mark.parametrize(("size", "percent", "frequent"), [(4, 85, 20_000), (5, 80, 10), (2, 60, 4)])
 def test_same_components_as_all_pairs(docs, rows, monkeypatch, size, percent, frequent):
     monkeypatch.setattr(ngram_join.frequent_shingles, "__defaults__", (frequent,))
     assert found(docs, size=size, percent=percent) == brute(rows, size, percent)
