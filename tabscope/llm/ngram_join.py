@@ -30,8 +30,9 @@ MATCHES = 4
 FREQUENT = 20_000
 #: Cost of verifying one candidate, in list entries read.
 VERIFY_COST = 8.0
-#: Bits of a set's parity bitmap, which bounds the overlap of two sets from above.
+#: Bits of a set's parity bitmap, which bounds the overlap of two sets from above; and those that list entries carry.
 BITMAP = 1024
+PARITY = ("parity0", "parity1", "parity2", "parity3")
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -93,9 +94,9 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """Parity of the number of elements that fall on each of ``BITMAP`` bits."""
-    counts = np.bincount((own % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP)
+def bitmap(own: np.ndarray, bits: int = BITMAP) -> bytes:
+    """Parity of the number of elements that fall on each bit."""
+    counts = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).tobytes()
 
 
@@ -115,17 +116,20 @@ def document_sets(docs: DataFrame, size: int, percent: int, id_column: str) -> D
             own = shingle_set(text or b"", size)
             least = -(-len(own) * percent // 100)
             prefix = ordered(own, heavy, places)[: len(own) - least + MATCHES]
-            return doc_id, len(own), digest(own), bitmap(own), prefix.view(np.int64)
+            parity = np.frombuffer(bitmap(own, 64 * len(PARITY)), np.int64).tolist()
+            return doc_id, len(own), digest(own), bitmap(own), prefix.view(np.int64), *parity
 
         return work
 
-    schema = "id bigint, n bigint, digest binary, bitmap binary, prefix array<bigint>"
+    schema = "id bigint, n bigint, digest binary, bitmap binary, prefix array<bigint>, " + ", ".join(
+        f"{p} bigint" for p in PARITY
+    )
     return map_rows(docs, [F.col(id_column).alias("id"), octets()], schema, start)
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """``shingle, class, n, place, live, level, matches``: entries of lists with two classes or more, up to each
-    class's choice. ``live`` counts the class's entries in such lists before this one.
+    """``shingle, class, n, place, live, level, matches`` and the parities: entries of lists with two classes or
+    more, up to each class's choice. ``live`` counts the class's entries in such lists before this one.
     """
     n = F.col("n")
     free = n - required(n, percent)  # shingles that a partner may miss
@@ -144,22 +148,27 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     own = F.array_sort(F.collect_list(F.struct("place", "shingle", "level")))  # as long as a prefix at most
     chosen = entries.join(lists, "shingle").groupBy("class").agg(
         F.first("n").alias("n"), choice.getField("matches").alias("matches"), own.alias("own")
-    )
-    return chosen.select("class", "n", "matches", F.posexplode("own").alias("live", "entry")).select(
-        "entry.shingle", "class", "n", "entry.place", "live", "entry.level", "matches"
+    ).join(classes.select("class", *PARITY), "class")
+    return chosen.select("class", "n", "matches", *PARITY, F.posexplode("own").alias("live", "entry")).select(
+        "entry.shingle", "class", "n", "entry.place", "live", "entry.level", "matches", *PARITY
     ).where(F.col("level") <= F.col("matches"))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """What sizes and places of a shared shingle allow.
+    """What sizes, parities and the places of a shared shingle allow.
 
-    Before it, only shingles that stand in the other's prefix too can be shared, and such are in lists of two or
-    more; from it on, at most the fewer that are left.
+    Two sets differ in at least as many elements as their parities in bits. Before the shared shingle, only shingles
+    that stand in the other's prefix too can be shared, and such are in lists of two or more; from it on, at most the
+    fewer that are left.
     """
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     rest = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
     most = F.least(F.col(f"{a}.live"), F.col(f"{b}.live")) + rest
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (most * (100 + percent) >= (na + nb) * percent)
+    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
+    return (
+        (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (most * (100 + percent) >= (na + nb) * percent)
+        & ((na + nb - apart) * (100 + percent) >= (na + nb) * 2 * percent)
+    )
 
 
 def counted_pairs(pairs: DataFrame) -> DataFrame:
@@ -282,7 +291,7 @@ def components(
     sets = stored(document_sets(docs, size, percent, id_column), "sets")
     classes = sets.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"),
-        F.first("prefix").alias("prefix"),
+        F.first("prefix").alias("prefix"), *(F.first(p).alias(p) for p in PARITY),
     )
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     lists = stored(postings(classes, percent), "lists")
@@ -292,7 +301,7 @@ def components(
         return verified(near, docs, classes, size, percent, id_column)
 
     # first round: each list against its member whose set begins nearest to the shingle
-    hub = F.min(F.struct("place", "class", "n", "live", "level", "matches"))
+    hub = F.min(F.struct("place", "class", "n", "live", "level", "matches", *PARITY))
     hubs = lists.groupBy("shingle").agg(hub.alias("hub")).select("shingle", "hub.*")
     x, y = lists.alias("x"), hubs.alias("y")
     near_hub = x.join(y, "shingle").where((F.col("x.class") != F.col("y.class")) & may_link("x", "y", percent))
