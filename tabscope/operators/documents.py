@@ -104,6 +104,8 @@ def _one_text(lines: DataFrame, order: str, text: str, name: str) -> DataFrame:
     return lines.agg(F.array_join(F.transform(ordered, lambda x: x[text]), "\n").alias(name))
 
 
+# The wording of the summary texts and report lines below.
+
 def summary_documents(
     dataset_id: str,
     profile: DataFrame,

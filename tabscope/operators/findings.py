@@ -19,6 +19,8 @@ def _finding(title: Column, severity: Column, description: Column, columns: Colu
     return [value.alias(name) for name, value in zip(FINDING, (title, severity, description, columns, recommendation))]
 
 
+# The titles, descriptions and recommendations of the findings below.
+
 def missing_findings(profile: DataFrame) -> DataFrame:
     """Columns with more than 10% or 50% missing values."""
     many = F.col("null_pct") > MANY_MISSING

@@ -32,6 +32,7 @@ ORDERS = {
 DOCUMENTS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 LINEITEM_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+# The personal-data and date patterns in this dialect.
 DATE_REGEX = r"^(\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}|\p{Nd}{2}/\p{Nd}{2}/\p{Nd}{4}|\p{Nd}{2}-\p{Nd}{2}-\p{Nd}{4})"
 EMAIL_REGEX = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_REGEX = r"(\+?\p{Nd}{1,3}[-.\s\p{Z}]?)?\(?\p{Nd}{3}\)?[-.\s\p{Z}]?\p{Nd}{3}[-.\s\p{Z}]?\p{Nd}{4}"

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from tabscope.functions.bounded import local_table
-from tabscope.operators import association, charts, documents, findings, frequency, outliers, profile, series
+from tabscope.operators import association, charts, contexts, documents, findings, frequency, outliers, profile, series
 from tabscope.plans.profile_queries import (
     CONTACTS,
     LINEITEM,
@@ -172,6 +172,8 @@ def shown(report):
     return report.withColumn("affected_columns", F.array_join("affected_columns", ","))
 
 
+# The sentences of findings, reports and summaries in the SQL below.
+
 def missing_sql(source: str, columns: list[str]) -> str:
     return (
         "SELECT CASE WHEN pct > 50 THEN 'High missing rate in ''' ELSE 'Notable missing values in ''' END || c || '''' AS title, "
@@ -499,3 +501,40 @@ def analyze_summary(spark, folder):
         lines("outliers", F.col("column"), F.col("count").cast("string")),
     ]
     return reduce(DataFrame.unionByName, facts)
+
+
+def tagged_documents(spark, folder):
+    return table(spark, folder, "documents").select("lang", "source")
+
+
+TAGGED_DUPLICATES = "(count(*) - (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents)))"
+
+
+@query("quality_context",
+       "SELECT 1 AS part, 0 AS place, 'Dataset: ' || count(*) || ' rows, 2 columns' AS text FROM documents UNION ALL "
+       "SELECT 1, 1, 'Completeness: 100.0%' UNION ALL "
+       f"SELECT 1, 2, 'Duplicate rows: ' || {TAGGED_DUPLICATES} FROM documents UNION ALL "
+       "SELECT 2, 0, '- lang (categorical): 0.0% null, ' || count(DISTINCT lang) || ' unique' FROM documents UNION ALL "
+       "SELECT 2, 1, '- source (categorical): 0.0% null, ' || count(DISTINCT source) || ' unique' FROM documents")
+def quality_context(spark, folder):
+    from tabscope.plans.analyze import analyze
+
+    results = analyze(tagged_documents(spark, folder))
+    return contexts.quality_context(
+        results["columns"], results["dataset"], results["outliers"], results["multivariate_outliers"]
+    )
+
+
+@query("report_context_overview",
+       "SELECT 0 AS place, 'DATASET OVERVIEW' AS text UNION ALL "
+       "SELECT 1, 'Rows: ' || count(*) || ', Columns: 2' FROM documents UNION ALL SELECT 2, 'Completeness: 100.0%' UNION ALL "
+       f"SELECT 3, 'Duplicate rows: ' || {TAGGED_DUPLICATES} FROM documents UNION ALL "
+       "SELECT 4, 'Type breakdown: numeric: 0, categorical: 2, datetime: 0, text: 0'")
+def report_context_overview(spark, folder):
+    from tabscope.plans.analyze import analyze
+
+    results = analyze(tagged_documents(spark, folder))
+    context = contexts.report_context(*(results[r] for r in (
+        "dataset", "findings", "quality_score", "takeaways", "interpretations", "correlations"
+    )))
+    return context.where("part = 1").select("place", "text")

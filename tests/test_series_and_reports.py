@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import charts, documents, findings, frequency, profile, series, sqltext, vectors
+from tabscope.operators import charts, contexts, documents, findings, frequency, profile, series, sqltext, vectors
 from tabscope.operators.asof import asof_join
 from tabscope.operators.ordering import with_position, with_running_count
 from tabscope.plans.analyze import analyze
@@ -267,6 +267,15 @@ def test_whole_analysis(spark):
     assert {r["column"] for r in results["distributions"].collect()} == {"order_id", "price", "total"}
     for name, table in results.items():
         assert table.count() >= 0, name
+    context = contexts.report_context(
+        *(results[r] for r in ("dataset", "findings", "quality_score", "takeaways", "interpretations", "correlations", "timeseries"))
+    ).orderBy("part", "place").collect()
+    texts = [r["text"] for r in context]
+    assert texts[:2] == ["DATASET OVERVIEW", "Rows: 60, Columns: 7"] and texts[-1].startswith("Quality score: ")
+    assert "HIGH CORRELATIONS" in texts and "- price <-> total: r=1.0" in texts and "TIME SERIES PATTERNS" in texts
+    quality = contexts.quality_context(*(results[r] for r in ("columns", "dataset", "outliers", "multivariate_outliers")))
+    lines = [r["text"] for r in quality.orderBy("part", "place").collect()]
+    assert lines[0] == "Dataset: 60 rows, 7 columns" and any(x.startswith("- price (numeric): 0.0% null, ") for x in lines)
 
 
 def test_analysis_without_numbers_or_times(spark):
