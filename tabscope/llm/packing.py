@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabscope.llm.rows import stored
+
 #: Tokens of a batch, padding included, and number of buckets.
 BUDGET, BUCKETS = 16_384, 16
 #: Lengths above this are rounded up, by less than a part in ``FINE``, so the histogram is bounded.
@@ -79,7 +81,7 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataF
     a slot. Only ids and lengths are shuffled.
     """
     sizes = docs.select("doc_id", word_count().alias("n_tokens"))
-    sizes = sizes.withColumn("length", rounded_length(F.col("n_tokens")))
+    sizes = stored(sizes.withColumn("length", rounded_length(F.col("n_tokens"))), "lengths")  # read four times
     histogram = sizes.where("length > 0").groupBy("length").agg(F.count("*").alias("documents")).orderBy("length")
     found = histogram.toPandas()  # bounded, see EXACT
     lengths, counts = found["length"].to_numpy(np.int64), found["documents"].to_numpy(np.int64)
