@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabscope.llm.rows import stored
+from tabscope.llm.rows import map_rows, octets, stored
+from tabscope.llm.textbytes import byte_array, words
 
 #: Tokens of a batch, padding included, and number of buckets.
 BUDGET, BUCKETS = 16_384, 16
@@ -22,9 +23,12 @@ EXACT, FINE = 8192, 512
 PART = 250_000
 
 
-def word_count(name: str = "text") -> Column:
-    """Number of words ``[^\\x20\\x09-\\x0D]+``, as the length of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(name, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens``: the number of words ``[^\\x20\\x09-\\x0D]+`` of each text; 0 for null."""
+    return map_rows(
+        docs, ["doc_id", octets()], "doc_id bigint, n_tokens bigint",
+        lambda: lambda doc_id, text: (doc_id, len(words(byte_array(text or b""))[0])),
+    )
 
 
 def rounded_length(length: Column) -> Column:
@@ -80,7 +84,7 @@ def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataF
     no tokens and no batch (nulls). Within a bucket, documents are ordered by a hash of the id; repeated rows each get
     a slot. Only ids and lengths are shuffled.
     """
-    sizes = docs.select("doc_id", word_count().alias("n_tokens"))
+    sizes = word_counts(docs)
     sizes = stored(sizes.withColumn("length", rounded_length(F.col("n_tokens"))), "lengths")  # read four times
     histogram = sizes.where("length > 0").groupBy("length").agg(F.count("*").alias("documents")).orderBy("length")
     found = histogram.toPandas()  # bounded, see EXACT
