@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabscope.llm.rows import SLICE, octets, record_batch
+from tabscope.llm.rows import SLICE, record_batch, small_batches
 from tabscope.llm.textbytes import LOWER, Rolling, byte_array, mixed, words
 
 #: The band: a term is in at least one of ``RARE`` documents and in at most one of ``COMMON``. The lexicon thus has at
@@ -70,6 +70,7 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> tuple[np
         if pieces:
             yield from counted()
 
+    small_batches(docs.sparkSession)
     count = docs.count()
     frequencies = docs.select("text").mapInArrow(run, "term bigint, documents bigint").groupBy("term").agg(
         F.sum("documents").alias("documents")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.rows import SLICE, map_rows, octets, stored
+from tabscope.llm.rows import SLICE, map_rows, octets, small_batches, stored
 from tabscope.llm.textbytes import LOWER, Rolling, byte_array, shingles, words
 
 #: Most shared prefix shingles that a document may ask for.
@@ -65,12 +65,13 @@ def frequent_shingles(docs: DataFrame, size: int, frequent: int = FREQUENT) -> t
                     pieces.append(shingle_set(text or b"", size))
                     held += len(pieces[-1])
                     rows += 1
-                if held > 3_000_000:
+                if held > 2_000_000:
                     yield block()
                     pieces, held, rows = [], 0, 0
         if pieces:
             yield block()
 
+    small_batches(docs.sparkSession)
     least = max(4.0, docs.count() / frequent)
     sums = docs.select(octets()).mapInArrow(run, "shingle bigint, documents bigint").groupBy("shingle").agg(
         F.sum("documents").alias("documents")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +15,16 @@ from tabscope.session import scratch_path
 
 #: Rows of an Arrow batch that are Python objects at the same time.
 SLICE = 256
+#: Rows that Spark sends to Python at a time. Spark's own default of 10,000 is meant for short rows.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most ``BATCH`` rows to Python at a time; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def map_rows(
@@ -27,6 +37,7 @@ def map_rows(
     objects, so memory follows the longest texts and not the size of a partition.
     """
     target = to_arrow_schema(T.StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabscope.llm.rows import SLICE, free_name, map_rows, record_batch
+from tabscope.llm.rows import SLICE, free_name, map_rows, record_batch, small_batches
 from tabscope.llm.textbytes import Rolling, byte_array, mixed, runs
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from.
 MATCH, GRAM = 50, 24
 #: Records of a bucket, on average, and records a task sorts at a time.
-BUCKET, BLOCK = 1_000_000, 2_000_000
+BUCKET, BLOCK = 500_000, 1_000_000
 #: Different spans of one gram in a block from which on they skip the first exchange.
 MANY_SPANS = 1000
 #: Documents whose anchors give the splitters.
@@ -44,7 +44,7 @@ SPLITTER_DOCUMENTS = 20_000
 #: Bytes of the exchanged keys: what groups records (beside the bucket), and what tells them apart.
 GROUP, ITEM = 4, 5
 #: Bytes of text in a slot, on average, and those worked on at a time.
-SLOT, PORTION = 16_000_000, 500_000
+SLOT, PORTION = 8_000_000, 500_000
 
 _U = np.uint64
 _LAST = (1 << 63) - 1
@@ -377,6 +377,7 @@ def anchor_records(texts: DataFrame, splitters: list[int], match: int) -> DataFr
                         yield from (as_batch([r]) for r in block.rows())
         yield from (as_batch([r]) for r in block.rows())
 
+    small_batches(texts.sparkSession)
     return texts.select("place", "text").mapInArrow(run, EXCHANGED)
 
 
