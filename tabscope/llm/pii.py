@@ -12,7 +12,7 @@ import datetime
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import isqrt, prod
 
 from pyspark.sql import DataFrame
@@ -43,6 +43,14 @@ PATTERNS = (
     ("foreign_phone", r"(?<![\d+])\+(?!1\b)\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
 )
+#: Kinds that take in neighbouring groups: the pattern without its surroundings, and what must hold at an end.
+GROUPED = {
+    "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"\b"),
+    "foreign_phone": (r"\+(?!1\b)\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}", r"(?!\d)"),
+    "card": (r"\d(?:[ -]?\d){12,18}", r"(?!\d)"),
+}
+#: How card numbers are usually grouped: tried before other groupings, all of which are tried.
+USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}", re.ASCII)
 #: A text without any of these characters has no personal data of these kinds.
 HINTS = re.compile(r"[0-9@=:]")
 
@@ -228,7 +236,10 @@ class Pseudonymizer:
 
     def __init__(self, key: bytes) -> None:
         self.cipher = Cipher(key)
-        self.pattern = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS), re.ASCII)
+        named = {kind: f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS}
+        self.pattern = re.compile("|".join(named.values()), re.ASCII)
+        self.single = {kind: re.compile(pattern, re.ASCII) for kind, pattern in named.items()}
+        self.grouped = {kind: tuple(re.compile(x, re.ASCII) for x in own) for kind, own in GROUPED.items()}
 
     def __call__(self, text: str) -> tuple[str, Counter]:
         """The text with pseudonyms, and how many of each kind."""
@@ -236,21 +247,67 @@ class Pseudonymizer:
         if not HINTS.search(text):
             return text, found
 
-        def moved(match: re.Match) -> str:
-            new = REPLACE[match.lastgroup](self.cipher, match.group())
-            if new is None:
-                return match.group()
-            found[match.lastgroup] += 1
-            return new
+        return "".join(self._moved(text, 0, len(text), found)), found
+
+    def _moved(self, text: str, at: int, stop: int, found: Counter) -> Iterator[str]:
+        """The pieces of ``text[at:stop]`` with pseudonyms. After a match without a valid value, the next start is tried."""
+        copied, settled = at, {}
+        while match := self.pattern.search(text, at, stop):
+            hit = self._valid(text, match, stop, settled)
+            if hit is None:
+                at = match.start() + 1
+                continue
+            kind, begin, end, new = hit
+            yield text[copied : match.start()]
+            if begin > match.start():
+                yield from self._moved(text, match.start(), begin, found)
+            found[kind] += 1
+            yield new
+            at = copied = end
+        yield text[copied:stop]
+
+    def _valid(self, text: str, match: re.Match, stop: int, settled: dict[str, int]) -> tuple[str, int, int, str] | None:
+        """Kind, begin, end and pseudonym of a match; if it is not valid, of a value in it or of a later kind's match."""
+        kind = match.lastgroup
+        new = REPLACE[kind](self.cipher, match.group())
+        if new is not None:
+            return kind, match.start(), match.end(), new
+        hit = self._inside(text, match, stop, settled) if kind in GROUPED else None
+        if hit is not None:
+            return hit
+        for other in KINDS[KINDS.index(kind) + 1 :]:
+            if again := self.single[other].match(text, match.start(), stop):
+                return self._valid(text, again, stop, settled)
+        return None
 
-        return self.pattern.sub(moved, text), found
+    def _inside(self, text: str, match: re.Match, stop: int, settled: dict[str, int]) -> tuple[str, int, int, str] | None:
+        """The longest valid value of the match's kind that starts at one of its groups (the first of equal ones); one
+        with the usual groups comes before longer ones.
+
+        ``settled`` has the place of each kind up to which no start gives a valid value.
+        """
+        kind, best, rank = match.lastgroup, None, (False, 0)
+        pattern, border = self.grouped[kind]
+        for begin in range(max(match.start(), settled.get(kind, 0)), match.end()):
+            if begin > match.start() and text[begin - 1] not in " -":
+                continue
+            whole = pattern.match(text, begin, stop)
+            for end in range(whole.end(), begin, -1) if whole else ():
+                own = USUAL.fullmatch(text, begin, end) is not None, end - begin
+                if own > rank and border.match(text, end) and pattern.fullmatch(text, begin, end):
+                    new = REPLACE[kind](self.cipher, text[begin:end])
+                    if new is not None:
+                        best, rank = (kind, begin, end, new), own
+        if best is None:
+            settled[kind] = match.end()
+        return best
 
 
 def pseudonymize(docs: DataFrame, key: bytes, found: str | None = None) -> DataFrame:
     """Documents with pseudonyms in ``text``; all other columns as they are.
 
     ``found`` names a column to add: a map from kind to the number replaced. A null text stays null. A value that
-    fails its validation stays as it is. Rows are independent: no shuffle, equal values agree because the key does.
+    fails its validation stays as it is, but for valid ones in it. Rows are independent: no shuffle, equal values agree because the key does.
     """
     names = [c for c in docs.columns if c != "text"]
     fields = [*(docs.schema[c] for c in names), T.StructField("text", T.StringType())]

@@ -30,6 +30,20 @@ def test_invalid_values_stay():
     assert pii.Pseudonymizer(b"k")(text) == (text, {})
 
 
+def test_valid_values_inside_failed_matches_are_moved():
+    replace = pii.Pseudonymizer(b"k")
+    card, compact = "4111 1111 1111 1111", replace("4111 1111 1111 1111")[0]
+    for before, after in (("1 ", ""), ("", " 12/27"), ("AB12 ", ""), ("1-", ""), ("", "-12"), ("7 8 9 10 ", " 11 12 13"), ("2023-02-30 ", "")):
+        new, counts = replace(f"see {before}{card}{after}.")
+        assert new == f"see {before}{compact}{after}." and counts == {"card": 1}
+    iban = "BE68539007547034"
+    for before, after in (("", " BANK"), ("AB12 CDEF ", ""), ("", " USD")):
+        new, counts = replace(before + iban + after)
+        assert new == before + replace(iban)[0] + after and counts == {"iban": 1}
+    new, counts = replace("+44 20 7946 0958 1234 5678")
+    assert new == replace("+44 20 7946 0958")[0] + " 1234 5678" and counts == {"foreign_phone": 1}
+
+
 def test_permutations_are_one_to_one():
     cipher = pii.Cipher(b"key")
     for size in (1, 2, 3, 10, 97, 1000):
