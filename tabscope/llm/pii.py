@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from math import isqrt, prod
 
 from pyspark.sql import DataFrame
@@ -29,10 +30,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 HEX = DIGITS + "abcdef"
 
+#: Most characters of a secret that are permuted as one number; longer ones are cut evenly.
+SECRET = 128
+
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
-    ("password", r"(?i:\b(?:password|passwd|pwd|secret|api_?key|access_?token)\s?[=:]\s?[\"']?)[^\s\"']{6,128}"),
+    ("password", r"(?i:\b(?:password|passwd|pwd|secret|api_?key|access_?token)\s?[=:]\s?[\"']?)[^\s\"']{6,}"),
     ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("hex_token", r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -131,7 +135,14 @@ def _email(cipher: Cipher, text: str) -> str:
 
 def _password(cipher: Cipher, text: str) -> str:
     head = re.match(r"\w+\s?[=:]\s?[\"']?", text).end()
-    return text[:head] + cipher.by_class(text[head:], "password")
+    value = text[head:]
+    if len(value) <= SECRET:
+        return text[:head] + cipher.by_class(value, "password")
+    parts = -(-len(value) // SECRET)
+    cuts = [len(value) * i // parts for i in range(parts + 1)]
+    return text[:head] + "".join(
+        cipher.by_class(value[a:b], f"password {i} of {parts}") for i, (a, b) in enumerate(pairwise(cuts))
+    )
 
 
 def _access_key(cipher: Cipher, text: str) -> str:

@@ -44,6 +44,18 @@ def test_valid_values_inside_failed_matches_are_moved():
     assert new == replace("+44 20 7946 0958")[0] + " 1234 5678" and counts == {"foreign_phone": 1}
 
 
+def test_long_secrets_are_moved_whole():
+    replace = pii.Pseudonymizer(b"k")
+    for size in (6, 128, 129, 300, 5000):
+        secret = ("aB3x" * size)[:size]
+        new, counts = replace(f"access_token={secret} end")
+        assert new.startswith("access_token=") and new.endswith(" end") and len(new) == size + 17 and counts == {"password": 1}
+        moved = new[13:-4]
+        assert all(a.isdigit() == b.isdigit() and a.isupper() == b.isupper() for a, b in zip(secret, moved, strict=True))
+        assert sum(a == b for a, b in zip(secret, moved, strict=True)) <= max(3, size // 4)
+    assert len({replace("pwd=" + "a" * i + "b" + "a" * (299 - i))[0] for i in range(300)}) == 300
+
+
 def test_permutations_are_one_to_one():
     cipher = pii.Cipher(b"key")
     for size in (1, 2, 3, 10, 97, 1000):
