@@ -14,21 +14,23 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tabscope.llm.rows import SLICE, record_batch, small_batches
+from tabscope.llm.rows import SLICE, record_batch, small_batches, stored
 from tabscope.llm.textbytes import LOWER, Rolling, byte_array, mixed, words
 
-#: The band: a term is in at least one of ``RARE`` documents and in at most one of ``COMMON``. The lexicon thus has at
+#: The band: a term is in at least one of ``RARE`` distinct texts and in at most one of ``COMMON``. The lexicon thus has at
 #: most ``RARE`` times as many terms as a document has on average.
 RARE, COMMON = 8192, 20
 #: Random subsets of each density, and the densities (a term is in a subset with chance 2**-scale), sparse ones first.
 SUBSETS, SCALES = 24, (9, 7, 5, 3)
 #: Densities are compared until this many subsets with terms have been seen.
 ENOUGH = 16
+#: Most bits of the filter that marks texts which may be repeated, and bits a row in small tables.
+FILTER, FILTER_ROW = 1 << 26, 16
 #: Documents in a block of consecutive ids, and most blocks.
 BLOCK, BLOCKS = 1000, 100_000
 
@@ -42,40 +44,110 @@ def terms(text: str) -> np.ndarray:
     return np.unique(Rolling(raw).spans(*words(raw)))
 
 
-def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> tuple[np.ndarray, int]:
-    """Sorted term hashes of the band, and the number of documents. Frequencies cover all documents."""
+def whole_text() -> Column:
+    """The text of a row; a null one is empty."""
+    return F.coalesce("text", F.lit(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[np.ndarray] = []
-        rows = size = 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            found, times = np.unique(np.concatenate(pieces), return_counts=True)
-            for first in range(0, len(found), 65536):
-                part = slice(first, first + 65536)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[part].view(np.int64)), pa.array(times[part].astype(np.int64))], ["term", "documents"]
-                )
-            pieces.clear()
+def filter_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a filter for each hash."""
+    return tuple((mixed(hashes.view(np.uint64) + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in (1, 2))
+
+
+def repeated_filter(docs: DataFrame, count: int) -> np.ndarray:
+    """A bit filter of the hashes that several texts have. It may let others through, but misses none.
+
+    Only hashes are shuffled; what comes to the driver is bounded by ``FILTER``.
+    """
+    bits = 64
+    while bits < min(FILTER, FILTER_ROW * count):
+        bits *= 2
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(first, SLICE).to_pylist():
-                    pieces.append(terms(text or ""))
-                    size += len(pieces[-1])
-                    rows += 1
-                if size > 4_000_000:
-                    yield from counted()
-                    size = 0
-        if pieces:
-            yield from counted()
+            places = np.concatenate(filter_places(batch.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 3), pa.array(1 << (places & 7))], ["at", "bits"])
+
+    several = docs.groupBy(F.xxhash64(whole_text()).alias("hash")).count().where("count > 1").select("hash")
+    found = several.mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    return out
+
 
+def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> tuple[np.ndarray, int]:
+    """Sorted term hashes of the band, and the number of rows. Frequencies cover all distinct texts, each once.
+
+    Texts that surely stand alone are counted where they are; of all others, one row a task is shuffled by digest.
+    """
     small_batches(docs.sparkSession)
     count = docs.count()
-    frequencies = docs.select("text").mapInArrow(run, "term bigint, documents bigint").groupBy("term").agg(
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_filter(docs, count))
+
+    def counted(pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Terms and in how many texts they are; the number of texts as the term null."""
+        found, times = np.unique(np.concatenate(pieces), return_counts=True)
+        for first in range(0, len(found), 65536):
+            part = slice(first, first + 65536)
+            yield counts(found[part].view(np.int64), times[part].astype(np.int64))
+        yield counts([None], [len(pieces)])
+        pieces.clear()
+
+    def counts(found: np.ndarray | list, times: np.ndarray | list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["term", "documents"])
+
+    def summed(sets: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pieces: list[np.ndarray] = []
+        size = 0
+        for own in sets:
+            pieces.append(own)
+            size += len(own)
+            if size > 4_000_000:
+                yield from counted(pieces)
+                size = 0
+        if pieces:
+            yield from counted(pieces)
+
+    def texts(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[list[str]]:
+        """The texts that may be repeated, or all others, in slices."""
+        several = shared.value
+        for batch in batches:
+            a, b = filter_places(batch.column(1).to_numpy(), 8 * len(several))
+            bits = several[a >> 3] >> (a & 7).astype(np.uint8) & several[b >> 3] >> (b & 7).astype(np.uint8) & 1
+            chosen = batch.column(0).filter(pa.array(bits.astype(bool) == marked))
+            for first in range(0, len(chosen), SLICE):
+                yield chosen.slice(first, SLICE).to_pylist()
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed(terms(text) for part in texts(batches, False) for text in part)
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for part in texts(batches, True):
+            new = {hashlib.blake2b(t.encode(), digest_size=16).digest(): t for t in part}
+            rows = [(digest, terms(text).tobytes()) for digest, text in new.items() if digest not in seen]
+            seen.update(new)
+            if rows:
+                yield record_batch(rows, target)
+            if len(seen) > 200_000:  # what is sent again is counted once all the same
+                seen.clear()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed(np.frombuffer(own, np.uint64) for batch in batches for own in batch.column(0).to_pylist())
+
+    target = to_arrow_schema(T.StructType.fromDDL("digest binary, terms binary"))
+    schema = "term bigint, documents bigint"
+    rows = docs.select(whole_text().alias("text"), F.xxhash64(whole_text()).alias("hash"))
+    once = rows.mapInArrow(repeated, "digest binary, terms binary").dropDuplicates(["digest"]).select("terms")
+    frequencies = rows.mapInArrow(alone, schema).union(once.mapInArrow(together, schema)).groupBy("term").agg(
         F.sum("documents").alias("documents")
     )
-    band = frequencies.where(F.col("documents").between(count / rare, max(1.0, count / common)))
+    frequencies = stored(frequencies, "frequencies")
+    distinct = frequencies.where("term is null").select("documents").first()
+    distinct = distinct[0] if distinct else 0
+    band = frequencies.where("term is not null").where(
+        F.col("documents").between(distinct / rare, max(1.0, distinct / common))
+    )
     found = band.select("term").toPandas()["term"].to_numpy(np.int64)  # bounded, see RARE
     return np.sort(found.view(np.uint64)), count
 

@@ -1,7 +1,10 @@
 import hashlib
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
-from helpers import SCHEMA, row
+from helpers import SCHEMA, prose, row
 
 from tabscope.llm import imatch
 
@@ -37,3 +40,23 @@ def test_few_rows(spark, nothing):
     assert sorted(r["n_chars"] for r in found) == [0, 3, 3, 3]
     last = next(r for r in found if r["doc_id"] is None)  # missing ids come last, followed by the first
     assert last["edited_sha256"] == hashlib.sha256(b"xya").hexdigest()
+
+
+def test_a_large_group_of_copies_keeps_its_terms(spark):
+    source = random.Random(5)
+    text = " ".join("copied%d" % i for i in range(90))
+    rows = [row(i, text if i % 3 == 0 else prose(source, 60) + " own%d" % i) for i in range(300)]
+    rows += [row(300, text.replace("copied80", "changed")), row(301, None), row(302, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    distinct = {r[1] or "" for r in rows}
+    times = Counter(t for own in distinct for t in imatch.terms(own).tolist())
+    band, count = imatch.lexicon(df)
+    assert count == len(rows)
+    assert band.tolist() == sorted(t for t, n in times.items() if len(distinct) / 8192 <= n <= len(distinct) / 20)
+    assert np.isin(imatch.terms(text), band).all()
+    found = {r["doc_id"]: r for r in imatch.fingerprint_edits(df).collect()}
+    copies = [found[i] for i in range(3, 300, 3)]  # each followed by another text
+    assert sum(r["near_edited"] for r in copies) / len(copies) > 0.2
+    assert found[300]["near_next"] < 1 and imatch.likeness(
+        imatch.fingerprint(text, band), imatch.fingerprint(text.replace("copied80", "changed"), band)
+    ) > 0.7
