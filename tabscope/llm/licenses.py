@@ -165,8 +165,39 @@ def resolve(found: list[Detection]) -> list[Detection]:
     return sorted(kept, key=lambda d: (d.begin, d.end))
 
 
+#: Marks of comments and quotes at the beginning of a line.
+MARK = r"(?:(?:[*#;>|%!]+|/\*+|--+|dnl|rem)(?=\s)|//+!?)"
+_LINE = rf"[^\S\n]*\n[^\S\n]*{MARK}?"
+_GAP = re.compile(rf"(?:{_LINE})+\s*|\s\s+|[^\S ]")
+#: A space of a pattern outside brackets.
+_PATTERN_SPACE = re.compile(r"(\[[^\]]*\])| ")
+
+
+def _gap(match: re.Match) -> str:
+    """What white space becomes: nothing after a word broken at its hyphen, else a space."""
+    text, at = match.string, match.start()
+    broken = at > 1 and text[at - 1] == "-" and text[at - 2].isalnum() and "\n" in match.group()
+    return "" if broken else " "
+
+
+def folded(text: str) -> str:
+    """A text with runs of white space, and marks of comments between its lines, as one space."""
+    return _GAP.sub(_gap, text)
+
+
+def offsets(text: str) -> np.ndarray:
+    """The place in a text of each character of the folded one."""
+    kept = np.ones(len(text), bool)
+    for match in _GAP.finditer(text):
+        kept[match.start() + len(_gap(match)) : match.end()] = False
+    return np.flatnonzero(kept)
+
+
 class Scanner:
-    """All rules, compiled when first needed, behind one keyword automaton."""
+    """All rules, compiled when first needed, behind one keyword automaton.
+
+    Keywords and patterns are looked for in the folded text; a hyphen may stand for a space.
+    """
 
     def __init__(self) -> None:
         self.rules = all_rules()
@@ -174,21 +205,26 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         self.by_keyword: dict[str, list[int]] = {}
         for i, rule in enumerate(self.rules):
-            self.by_keyword.setdefault(rule.keyword, []).append(i)
+            for keyword in {rule.keyword, rule.keyword.replace(" licen", "licen")}:  # the space before it is optional
+                self.by_keyword.setdefault(keyword.replace("-", " "), []).append(i)
         for keyword in self.by_keyword:
             self.automaton.add_word(keyword, keyword)
         self.automaton.make_automaton()
 
     def detections(self, lowered: str) -> list[Detection]:
         """All detections in a lower-cased text, unresolved."""
-        keywords = {keyword for _, keyword in self.automaton.iter(lowered)}
+        plain = folded(lowered)
+        keywords = {keyword for _, keyword in self.automaton.iter(plain.replace("-", " "))}
         found = []
-        for i in sorted(i for k in keywords for i in self.by_keyword[k]):
+        for i in sorted({i for k in keywords for i in self.by_keyword[k]}):
             rule = self.rules[i]
             if i not in self.compiled:
-                self.compiled[i] = re.compile(rule.pattern)
-            found += [Detection(rule.label, m.start(), m.end(), rule.priority) for m in self.compiled[i].finditer(lowered)]
-        return found
+                self.compiled[i] = re.compile(_PATTERN_SPACE.sub(lambda m: m[1] or "[ -]", rule.pattern))
+            found += [Detection(rule.label, m.start(), m.end(), rule.priority) for m in self.compiled[i].finditer(plain)]
+        if not found or len(plain) == len(lowered):
+            return found
+        places = offsets(lowered)
+        return [d._replace(begin=int(places[d.begin]), end=int(places[d.end - 1]) + 1) for d in found]
 
 
 _WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])

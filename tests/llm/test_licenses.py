@@ -22,6 +22,58 @@ def test_rules_of_all_kinds():
     assert len(licenses.all_rules()) > 200
 
 
+#: Sentences of the licenses' own texts, one for each rule of ``TEXTS``, in order.
+OFFICIAL = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided",
+    "for any purpose with or without fee is hereby granted. THE SOFTWARE",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+    "All advertising materials mentioning features or use of this software must display",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License",
+    "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public",
+    "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "This is free and unencumbered software released into the public domain",
+    "The origin of this software must not be misrepresented",
+    "obtaining a copy of the software and accompanying documentation covered by this license; Permission is hereby granted, free of charge",
+    "You just DO WHAT THE FUCK YOU WANT TO",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "The intent of this document is to state the conditions under which a Package may be copied",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "This LICENSE AGREEMENT is between the Python Software Foundation",
+    "This license governs use of the accompanying software. If you use the software, you accept this license",
+    "To the extent possible under law, the person who did this has waived all copyright",
+    "proprietary and confidential", "unauthorized copying of this file", "No part of this publication may be reproduced",
+    "All rights reserved", "released into the public domain", "Copyright (c) 2020", "© 2021",
+)
+
+
+def test_every_text_rule_on_wrapped_texts():
+    scanner = licenses.Scanner()
+    assert len(OFFICIAL) == len(licenses.TEXTS)
+    for (label, *_), text in zip(licenses.TEXTS, OFFICIAL, strict=True):
+        for start in ("", "    ", " * ", "# ", "// ", "-- "):
+            for join in (f"\n{start}", f"\r\n{start}", "  "):
+                lowered = f"before{join}{join.join(text.split())}{join}after".lower()
+                found = [d for d in scanner.detections(lowered) if d.label == label and d.priority == licenses.TEXT]
+                assert found, (label, start)
+                assert lowered.startswith("before") and all(
+                    lowered[d.begin : d.end].split()[0] in text.lower() and not lowered[d.end - 1].isspace() for d in found
+                )
+
+
+def test_names_across_hyphens_and_lines():
+    assert labels("under the mit-license") == {"mit"} == labels("the MIT\nLicense") == labels("the MITLicense")
+    assert "lgpl-3" in labels("GNU Lesser General Public\nLicense, version 3.")
+    assert "lgpl-3" in labels(" * GNU Lesser\n * General Public\n * License, version 3.")
+    assert "cc-by-nc" in labels("Creative Commons Attribution-Non-\nCommercial")
+
+
 def test_contained_detections_are_suppressed():
     found = [Detection("a", 0, 10, 2), Detection("b", 2, 8, 2), Detection("c", 2, 8, 1), Detection("d", 5, 15, 4), Detection("a", 0, 10, 2)]
     assert [d.label for d in licenses.resolve(found)] == ["a", "c", "d"]
