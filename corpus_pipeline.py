@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from tabscope.llm import language, ngram_join, packing, pii, suffix_dedup
 from tabscope.llm.rows import free_name, stored
 
-#: A document goes if its language is predicted with less than this score.
+#: A document goes if the family of its language is predicted with less than this score.
 MIN_LANGUAGE_SCORE = 0.3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. Those without letters, or with a very unsure language, go."""
+    """Documents whose language is recognised. Those without letters, or with a very unsure family of languages, go.
+
+    With no row to learn from, all documents with letters stay.
+    """
+    model = language.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns)
-    found = language.identify(docs, language.train(docs), docs.columns, names)
+    found = language.identify(docs, model, docs.columns, names, by_family=True)
     known = (F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)
     return found.where(known).drop(*names)
 

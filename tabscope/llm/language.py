@@ -102,11 +102,16 @@ class Model:
             own = families == family
             self.inside[family] = Machines([x for x in names if family_of(x) == family], rows[own], labels[own])
 
-    def predict(self, text: bytes) -> tuple[str, float]:
+    def judge(self, text: bytes) -> tuple[str, float, float]:
+        """The language, and the probabilities of its family and of it inside the family."""
         vector = features(text)
         family, p = self.families.decide(vector)
         language, q = self.inside[family].decide(vector)
-        return language, min(1.0, max(0.0, p * q))
+        return language, p, q
+
+    def predict(self, text: bytes, by_family: bool = False) -> tuple[str, float]:
+        language, p, q = self.judge(text)
+        return language, min(1.0, max(0.0, p if by_family else p * q))
 
 
 def training_sample(docs: DataFrame, per_language: int, total: int) -> DataFrame:
@@ -145,12 +150,14 @@ def train(
 
 
 def identify(
-    docs: DataFrame, model: Model | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, model: Model | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"),
+    by_family: bool = False,
 ) -> DataFrame:
     """The language and its score (0 to 1), named ``names``, beside ``keep`` columns of documents (default: ``doc_id``).
 
     A null text, or one without a letter, is ``und`` with score 0, and so is all without a model. Each row
-    is judged alone: no shuffle, ties and repeated rows come out as they come in.
+    is judged alone: no shuffle, ties and repeated rows come out as they come in. With ``by_family``, the score is that of
+    the family alone.
     """
     keep = keep if keep is not None else ["doc_id"]
     fields = [docs.schema[k] for k in keep]
@@ -163,7 +170,7 @@ def identify(
         def work(text: str | None, *kept: object) -> tuple:
             if learned is None or not text or not letter.search(text):
                 return (*kept, UNKNOWN, 0.0)
-            return (*kept, *learned.predict(text.encode()))
+            return (*kept, *learned.predict(text.encode(), by_family))
 
         return work
 

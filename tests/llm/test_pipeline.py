@@ -1,10 +1,13 @@
 """Each stage on troubled documents, and the whole pipeline."""
 
 import corpus_pipeline
+import numpy as np
 from helpers import SCHEMA, row
 from pyspark.sql import functions as F
 from test_ngram_join import brute
 
+from tabscope.llm import language
+
 
 def test_stages_keep_the_columns(spark, docs, nothing):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "repeats", "personal_data", "packing"]
@@ -19,6 +22,24 @@ def test_language_stage_drops_what_has_no_language(spark, docs, rows):
     assert kept == {r[0] for r in rows} - {400, 401, 402, 411}
 
 
+def test_language_stage_keeps_letters_without_a_model(spark):
+    rows = [row(1, "some words", None), row(2, "12 .. 34", None), row(3, None, None), row(4, "été", None)]
+    kept = corpus_pipeline.by_language(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
+def test_language_stage_keeps_even_decisions(spark, monkeypatch):
+    texts = {"en": "the house and the water", "de": "das Haus und das Wasser", "fr": "la maison et les eaux", "es": "la casa y las aguas"}
+    rows = np.array([language.features(t.encode()) for t in texts.values() for _ in range(4)], np.float32)
+    model = language.Model(rows, np.array([x for x in texts for _ in range(4)], dtype=object))
+    for machines in (model.families, *model.inside.values()):  # every pair is decided evenly
+        machines.slopes, machines.offsets = ([0.0] * len(machines.pairs) for _ in range(2))
+    assert model.predict(b"the casa")[1] == 0.25
+    monkeypatch.setattr(language, "train", lambda docs: model)
+    kept = corpus_pipeline.by_language(spark, spark.createDataFrame([row(1, "the casa"), row(2, "??")], SCHEMA), "")
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
 def test_one_of_each_group_stays(spark, docs, rows):
     kept = sorted(r[0] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").select("doc_id").collect())
     assert kept == [doc_id for doc_id, _, component in brute(rows, 5, 80) if doc_id == component]
