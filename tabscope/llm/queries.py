@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.llm import (
-    bpe, imatch, language, licenses, ngram_join, packing, pii, ppm, quality, suffix_dedup,
+    audit, bpe, chat, imatch, language, licenses, ngram_join, packing, phrases, pii, ppm, quality, suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,28 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one full of the template's own marks, formatted, encoded, masked and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.digests(chat.format_conversations(turns, path), path).drop("n_tokens", "n_loss_tokens")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters over all documents, in each of their orders, for each language."""
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest collocations of two and three words of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 #: Text with A-Z in lower case, and nothing for null.
 LOWERED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -157,3 +179,81 @@ SQL["op9_suffix_dedup"] = """WITH texts AS (
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_, 0) + 1))) AS kept_sha256
 FROM texts LEFT JOIN cut USING (doc_id)"""
+
+_BY_TURN = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+
+SQL["op11_chat_format"] = f"""WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), filled AS (
+  SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS t, '[<\\[]\\\\*/?(?:s>|INST\\])' AS marked FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' {_BY_TURN})) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' {_BY_TURN}) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(20 + length(r) + length(t) + len(regexp_extract_all(r, marked)) + len(regexp_extract_all(t, marked)))::BIGINT AS formatted_chars
+FROM filled GROUP BY conv_id"""
+
+SQL["op12_filter_audit"] = """WITH marks AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM texts LEFT JOIN marks USING (doc_id)
+), masks AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails
+), letters(x) AS (
+  VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)
+), counts AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (translate(fails, earlier || f, '') = fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, earlier, '') = fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, earlier, '') <> fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (contains(fails, f) AND translate(fails, earlier, '') = fails), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (contains(fails, f) AND translate(fails, earlier, '') = fails), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM counts"""
+
+SQL["op13_phrases"] = f"""WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), (VALUES (1), (2), (3)) AS sizes(size)
+  WHERE i + size - 1 <= len(w) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f) AS score
+  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.phrase = head JOIN grams t ON t.lang = c.lang AND t.phrase = tail
+), best AS (
+  SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), around AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE size = 3) GROUP BY 1, 2
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE most IS NULL OR 100 * most < 50 * a
+) JOIN totals USING (lang) WHERE rank <= 2000"""
