@@ -14,15 +14,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import regex
 from pyspark.sql import DataFrame
 
 from tabscope.llm.rows import map_rows
 
-#: Pieces, transitions and token pairs a worker keeps, to bound its memory; results don't depend on them.
+#: Pieces, transitions and token pairs a worker keeps over its tasks, to bound its memory; results don't depend on them.
 WORD_CACHE, TRANSITION_CACHE, PAIR_CACHE = 400_000, 60_000, 400_000
+#: Longer pieces (in characters) are encoded each time they are met.
+KEPT_PIECE = 64
 #: Tokens decoded at a time.
 CHUNK = 4096
 #: A rank above all ranks.
@@ -206,16 +209,23 @@ class Transducer:
 
 
 class Words(dict):
-    """Ids of the pieces met so far."""
+    """Ids of the pieces met so far, in two generations: what is met again while the older one lasts stays."""
 
     def __init__(self, transducer: Transducer, limit: int = WORD_CACHE) -> None:
         super().__init__()
         self.transducer, self.limit = transducer, limit
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.transducer.encode(piece.encode()))
+            if len(piece) > KEPT_PIECE:
+                return ids
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = tuple(self.transducer.encode(piece.encode()))
+        self[piece] = ids
         return ids
 
 
@@ -263,9 +273,9 @@ class Utf8Machine:
 
 def decode_stream(ids: Iterable[int], tokens: dict[int, bytes], chunk: int = CHUNK) -> Iterator[str]:
     """Text of a stream of ids, piece by piece; a character split between tokens comes out once, whole."""
-    machine, ids = Utf8Machine(), list(ids)
-    for first in range(0, len(ids), chunk):
-        yield machine.feed(b"".join(map(tokens.__getitem__, ids[first : first + chunk])))
+    machine, ids = Utf8Machine(), iter(ids)
+    while part := list(islice(ids, chunk)):
+        yield machine.feed(b"".join(map(tokens.__getitem__, part)))
     yield machine.finish()
 
 
@@ -284,6 +294,12 @@ class Codec:
         return "".join(decode_stream(ids, self.transducer.tokens))
 
 
+@lru_cache(maxsize=2)
+def codec_of(ranks_path: str, pattern: str) -> Codec:
+    """The codec of a worker process: its rank table, transitions and pieces last over the tasks it runs."""
+    return Codec(ranks_path, pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Ids of each document: ``doc_id, ids array<int>``. A null or empty text has no ids.
 
@@ -292,7 +308,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     """
 
     def start():
-        codec = Codec(ranks_path, pattern)
+        codec = codec_of(ranks_path, pattern)
         return lambda doc_id, text: (doc_id, codec.encode(text or ""))
 
     return map_rows(docs, ["doc_id", "text"], "doc_id bigint, ids array<int>", start)
@@ -309,13 +325,13 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode and decode each document in one pass; return counts and digests of both sides.
+    """Encode and decode each document in one pass; return counts and digests of both sides. A null text is empty.
 
     ``doc_id, n_tokens, ids_sha256`` (decimal ids joined by commas), ``decoded_sha256`` (UTF-8 of the decoded text).
     """
 
     def start():
-        codec = Codec(ranks_path, pattern)
+        codec = codec_of(ranks_path, pattern)
         names = {rank: str(rank) for rank in codec.transducer.tokens}
 
         def work(doc_id: int | None, text: str | None) -> tuple:

@@ -59,3 +59,25 @@ def test_digests_of_documents(docs, nothing, rows, reference):
     encoded = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN)
     back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(encoded, PATH).collect()}
     assert back == {doc_id: text or "" for doc_id, text, *_ in rows}
+
+
+def test_pieces_last_over_tasks_and_long_ones_are_not_kept(reference):
+    assert bpe.codec_of(PATH, public_tokenizers.PATTERN) is bpe.codec_of(PATH, public_tokenizers.PATTERN)
+    codec = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    codec.words.limit = 4
+    texts = ["one two three", "x" * 500, "one four five six seven", "one two", "eight nine one", "x" * 500] * 3
+    assert [codec.encode(t) for t in texts] == [reference.encode_ordinary(t) for t in texts]
+    assert len(codec.words) + len(codec.words.older) <= 4 and all(len(p) <= bpe.KEPT_PIECE for p in codec.words)
+
+
+def test_decoding_takes_ids_as_they_come(reference):
+    taken = []
+
+    def ids():
+        for i in reference.encode_ordinary("é日🎉 and more " * 50):
+            taken.append(i)
+            yield i
+
+    stream = bpe.decode_stream(ids(), {i: t for t, i in bpe.read_ranks(PATH).items()}, 7)
+    assert next(stream) and len(taken) == 7
+    assert "é日🎉 and more " * 50 == reference.decode(taken[:7]) + "".join(stream)
