@@ -215,13 +215,16 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verified(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, id_column: str
 ) -> DataFrame:
-    """Pairs whose whole sets are similar enough. Sets are made anew from the texts of the classes in question."""
+    """Pairs whose whole sets are similar enough. Sets are made anew from the texts of the classes in question.
+
+    Texts are found by the id of a class; those without an id may belong to a class that has none.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(
         classes.select("class", "digest", F.col("first_id")), "class"
     )
-    texts = docs.select(F.col(id_column).alias("id"), octets()).join(
-        wanted.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi"
-    )
+    named = docs.select(F.col(id_column).alias("id"), octets())
+    texts = named.join(wanted.select(F.col("first_id").alias("id")).distinct(), "id", "left_semi")
+    texts = texts.unionByName(named.where("id IS NULL"))
     sets = map_rows(
         texts, ["text"], "digest binary, elements binary",
         lambda: lambda text: (lambda own: (digest(own), own.tobytes()))(shingle_set(text or b"", size)),
@@ -289,6 +292,23 @@ def components(
     nothing. Repeated rows and ties come out each; a null id gets a component only through others. Other columns
     are ignored.
     """
+    return members(docs, size, percent, id_column).select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id"
+    )
+
+
+def set_digests(docs: DataFrame, size: int, columns: list[str], name: str = "digest") -> DataFrame:
+    """``columns`` of documents and the digest of their shingle sets, as ``members`` has it."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in columns)).schema)
+
+    def start():
+        return lambda text, *kept: (*kept, digest(shingle_set(text or b"", size)))
+
+    return map_rows(docs, [octets(), *(F.col(f"`{c}`") for c in columns)], f"{schema}, `{name}` binary", start)
+
+
+def members(docs: DataFrame, size: int, percent: int, id_column: str) -> DataFrame:
+    """``id, n, digest, component_id`` of each document: as ``components``, with the digest of the shingle set."""
     sets = stored(document_sets(docs, size, percent, id_column), "sets")
     classes = sets.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"),
@@ -328,5 +348,5 @@ def components(
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "root").select("digest", "component_id")
     return sets.select("id", "n", "digest").join(named, "digest", "left").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id", "n", "digest", F.coalesce("component_id", "id").alias("component_id")
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -71,8 +73,49 @@ def octets(name: str = "text") -> Column:
     return F.col(name).cast("binary").alias(name)
 
 
+#: Paths written by ``stored`` within the innermost ``scratch`` block.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the cluster's shared folder and read it back: it is computed once, and lost executors cost nothing."""
+    """Write a table to the cluster's shared folder and read it back: it is computed once, and lost executors cost nothing.
+
+    Within a ``scratch`` block the table goes with the block; else it stays as long as the shared folder.
+    """
     path = scratch_path(df.sparkSession, label)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` has written, with the folder made for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``stored`` inside are deleted at the end, also after an error. Nothing lazy may still need them."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get() or []
+        _written.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that ``make`` returns, stored; all that it has stored on the way is deleted."""
+    with scratch(spark):
+        found = make()
+        path = scratch_path(spark, label)
+        found.write.parquet(path)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
+    return spark.read.schema(found.schema).parquet(path)

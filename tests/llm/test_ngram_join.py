@@ -64,3 +64,19 @@ def test_nothing_and_repeated_rows(spark, nothing):
     lost = spark.createDataFrame([row(None, "a b c d e f"), row(9, "a b c d e f"), row(None, "z")], SCHEMA)
     result = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(lost).collect()}
     assert result == {(None, 2, 9), (9, 2, 9), (None, 1, None)}
+
+
+def test_documents_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    changed = [*words[:30], "other", *words[31:]]
+    far = [*changed[:10], "another", *changed[11:]]
+    rows = [row(None, " ".join(words)), row(9, " ".join(changed)), row(7, "something else entirely different here"), row(None, " ".join(words))]
+    result = {(r["doc_id"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect()}
+    assert result == {(None, 9), (9, 9), (7, 7)}
+    # two ids that only a row without one connects
+    bridge = [row(2, " ".join(words)), row(None, " ".join(changed)), row(1, " ".join(far))]
+    sets = [shingles(r[1], 4) for r in bridge]
+    assert 100 * len(sets[0] & sets[2]) < 82 * len(sets[0] | sets[2])
+    assert all(100 * len(sets[1] & sets[i]) >= 82 * len(sets[1] | sets[i]) for i in (0, 2))
+    result = {(r["doc_id"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(bridge, SCHEMA), 4, 82).collect()}
+    assert result == {(2, 1), (None, 1), (1, 1)}

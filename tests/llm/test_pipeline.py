@@ -1,12 +1,17 @@
 """Each stage on troubled documents, and the whole pipeline."""
 
+import os
+
 import corpus_pipeline
 import numpy as np
+import pytest
 from helpers import SCHEMA, row
 from pyspark.sql import functions as F
 from test_ngram_join import brute
 
 from tabscope.llm import language
+from tabscope.llm.rows import scratch, stored, stored_alone
+from tabscope.session import shared_folder
 
 
 def test_stages_keep_the_columns(spark, docs, nothing):
@@ -47,6 +52,43 @@ def test_one_of_each_group_stays(spark, docs, rows):
     assert sorted(r["text"] for r in corpus_pipeline.one_of_near_copies(spark, twice, "").collect()) == ["a b c d e f g", "x", "y"]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:30], "other", *base[31:]])
+    rows = [
+        row(1, " ".join(base)), row(5, near), row(5, "ein deutscher Text der niemandes Kopie ist", "de"), row(5, near),
+        row(6, "two texts of one id first"), row(6, "and quite another one here second"), row(6, "two texts of one id first"),
+        row(None, near), row(8, None), row(8, ""), row(9, " ".join(base)),
+    ]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, SCHEMA).withColumns({c: F.lit(1) for c in ("digest", "id", "copy", "repeated")})
+        kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.one_of_near_copies(spark, df, "").collect())
+        assert kept == sorted([(1, rows[0][1]), (5, rows[2][1]), (6, rows[4][1]), (6, rows[5][1]), (0, near), (8, "")])
+
+
+def folders(spark):
+    return set(os.listdir(shared_folder(spark).removeprefix("file://")))
+
+
+def test_only_the_last_stage_is_left(spark, small):
+    before = folders(spark)
+    corpus_pipeline.run(spark, small).count()
+    left = [os.listdir(os.path.join(shared_folder(spark).removeprefix("file://"), f)) for f in folders(spark) - before if f.startswith("tabscope-")]
+    assert sorted(left) == [["lengths"], ["personal_data"]]
+
+
+def test_tables_go_with_their_block(spark):
+    before = folders(spark)
+    with pytest.raises(ValueError, match="no"), scratch(spark):
+        stored(spark.range(3), "inner")
+        raise ValueError("no")
+    assert folders(spark) == before
+    with scratch(spark):
+        kept = stored_alone(spark, lambda: stored(spark.range(5), "a").union(stored(spark.range(2), "b")), "c")
+        assert kept.count() == 7 and len(folders(spark) - before) == 1
+    assert folders(spark) == before
+
+
 def test_lengths_follow_the_texts(spark, docs):
     result = corpus_pipeline.without_repeats(spark, docs, "")
     assert result.where(~F.col("n_chars").eqNullSafe(F.char_length("text"))).count() == 0
