@@ -1,9 +1,10 @@
-"""Normal and chi-square tail functions as column expressions, so they stay in the JVM."""
+"""Normal and chi-square tail functions as column expressions, which stay in the JVM; normal quantiles of arrays."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # W. J. Cody, "Rational Chebyshev approximations for the error function",
@@ -116,14 +117,17 @@ def chi_square_upper_tail(statistic: Column, dof: Column) -> Column:
     return F.when(statistic <= 0, F.lit(1.0)).otherwise(F.least(base + series, F.lit(1.0)))
 
 
-def normal_quantile(p: Column) -> Column:
-    """The z with P(Z < z) = p, for 0 < p < 1."""
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """The z with P(Z < z) = p, for 0 < p < 1, of each element."""
     q = p - 0.5
-    centre = F.lit(0.180625) - q * q
-    root = F.sqrt(-F.log(F.least(p, 1.0 - p)))
+    z = np.empty_like(q)
+    centre = np.abs(q) <= 0.425
+    z[centre] = q[centre] * _ratios(CENTRAL, 0.180625 - q[centre] ** 2)
+    outer = ~centre
+    root = np.sqrt(-np.log(np.minimum(p[outer], 1.0 - p[outer])))
+    z[outer] = np.sign(q[outer]) * np.where(root <= 5.0, _ratios(TAIL, root - 1.6), _ratios(FAR_TAIL, root - 5.0))
+    return z
 
-    def ratio(pair: tuple, x: Column) -> Column:
-        return _polynomial(pair[0], x) / _polynomial(pair[1], x)
 
-    outer = F.when(root <= 5.0, ratio(TAIL, root - 1.6)).otherwise(ratio(FAR_TAIL, root - 5.0))
-    return F.when(F.abs(q) <= 0.425, q * ratio(CENTRAL, centre)).otherwise(F.signum(q) * outer)
+def _ratios(pair: tuple, x: np.ndarray) -> np.ndarray:
+    return np.polyval(pair[0], x) / np.polyval(pair[1], x)

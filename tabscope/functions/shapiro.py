@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column
+import numpy as np
 
-from tabscope.functions.normal import normal_quantile
+from tabscope.functions.normal import normal_quantiles
 
 # The polynomials of the published algorithm, lowest power first.
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -23,9 +23,53 @@ def _polynomial(coefficients: tuple, x: float) -> float:
     return sum(c * x**power for power, c in enumerate(coefficients))
 
 
-def score(rank: Column, n: Column) -> Column:
-    """The normal score of a rank, from 1 to n."""
-    return normal_quantile((rank - 0.375) / (n + 0.25))
+def scores(ranks: np.ndarray, n: int) -> np.ndarray:
+    """The normal scores of ranks from 1 to n; halves between them are fine."""
+    return normal_quantiles((ranks - 0.375) / (n + 0.25))
+
+
+#: Ranks at either end of a column whose scores are added one by one. Between them a sum of scores is an integral with
+#: two correction terms; what they leave is under 3.3e-5 times the fifth derivative at the cut, so under 1e-10.
+EDGE = 32
+
+
+def score_sums(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """For each pair of ranks the sum of the scores from ``first`` to ``last``; no sum visits its ranks one by one."""
+    edge = min(EDGE, n // 2)  # the middle rank of a short column of odd length has the score 0
+    lowest = np.concatenate(([0.0], np.cumsum(scores(np.arange(1.0, edge + 1), n))))
+    sums = lowest[np.minimum(last, edge)] - lowest[np.minimum(first - 1, edge)]
+    # ranks count from the other end with the opposite sign
+    sums -= lowest[np.minimum(n + 1 - first, edge)] - lowest[np.minimum(n - last, edge)]
+    low, high = np.maximum(first, edge + 1), np.minimum(last, n - edge)
+    one = low == high
+    sums[one] += scores(low[one].astype(float), n)
+    many = low < high
+    sums[many] += _integral(low[many] - 0.5, n, -1) + _integral(high[many] + 0.5, n, 1)
+    return sums
+
+
+def _integral(place: np.ndarray, n: int, side: int) -> np.ndarray:
+    """One end of the integral of the score with its two corrections."""
+    z, size = scores(place, n), n + 0.25
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    slope = 1 / (size * density)
+    return side * (-size * density - slope / 24 + 7 / 5760 * slope**3 * (1 + 2 * z * z))
+
+
+def squared_scores(n: int, edge: int = 500) -> float:
+    """The sum of the squared scores of all ranks, by the same rule."""
+    normal, size = NormalDist(), n + 0.25
+
+    def z(place: float) -> float:
+        return normal.inv_cdf((place - 0.375) / size)
+
+    if n <= 4 * edge:
+        return math.fsum(z(rank) ** 2 for rank in range(1, n + 1))
+    outer = 2 * math.fsum(z(rank) ** 2 for rank in range(1, edge + 1))
+    low = z(edge + 0.5)  # the other end is its mirror image
+    slope = 2 * low / (size * normal.pdf(low))
+    inner = size * (1 - 2 * normal.cdf(low) + 2 * low * normal.pdf(low))
+    return outer + inner + 2 * slope / 24
 
 
 def statistic(n: int, inner: float, squares: float, outermost: float, next_to_it: float, spread: float) -> float:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabscope.functions import shapiro
@@ -12,8 +15,8 @@ from tabscope.functions.bounded import local_table, pin, small_rows, stacked_agg
 from tabscope.functions.normal import chi_square_upper_tail, log_lower_tail, log_upper_tail
 from tabscope.functions.text import number_text
 from tabscope.operators.association import pair_statistics
-from tabscope.operators.columns import as_double, long_numbers
-from tabscope.operators.ordering import with_running_count
+from tabscope.operators.columns import as_double
+from tabscope.operators.ordering import ranked_values, splits_of
 
 # Sizes, levels and limits of the tests.
 SHAPIRO_MIN = 8
@@ -25,8 +28,6 @@ MIN_ANDERSON_ROWS = 20
 # Stephens (1974), mean and variance unknown, at 15, 10, 5, 2.5 and 1 %.
 STEPHENS = {"15": 0.576, "10": 0.656, "5": 0.787, "2.5": 0.918, "1": 1.092}
 
-RANKS = 100_000  # ranks of one frequent value that are summed in one task
-
 
 def skew_kurtosis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, skewness, kurtosis): population skewness and excess kurtosis of all values."""
@@ -47,48 +48,70 @@ def normality_tests(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shapiro-Wilk per column of 8 values or more: statistic, p_value, is_normal, and skewness and kurtosis.
 
     All values take part. W is a sum over the order of the values, and a value's ranks follow from
-    the number of values below it, so columns are ranked as frequency tables; the ranks of a
-    frequent value are summed in pieces. A constant column has W = 1.
+    the number of values below it, so the work follows the distinct values: the scores of a value's
+    ranks are added in closed form. A constant column has W = 1.
     """
     shape = pin(stacked_aggregates(df, {
         c: {
             "n": F.count(as_double(c)), "mean": F.avg(as_double(c)),
             "spread": F.var_pop(as_double(c)) * F.count(as_double(c)),
             "skewness": F.round(F.skewness(as_double(c)), 4), "kurtosis": F.round(F.kurtosis(as_double(c)), 4),
+            "splits": splits_of(c, buckets(df)),
         }
         for c in columns
     }).drop("position")).where(F.col("n") >= SHAPIRO_MIN)
-    freq = long_numbers(df, columns).groupBy("column", "value").count()
-    ranked = with_running_count(freq, "column", "value", "count")
-    pieces = ranked.withColumn(
-        "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / RANKS)))
-    ).repartition("column", "value", "piece")
-    first = F.col("before") + F.col("piece") * RANKS + 1
-    last = F.least(F.col("before") + F.col("count"), first + (RANKS - 1))
-    places = pieces.withColumn("rank", F.explode(F.sequence(first, last))).join(
-        F.broadcast(shape.select("column", "n", "mean")), "column"
-    )
-    rank, n, value = F.col("rank"), F.col("n"), F.col("value") - F.col("mean")
-    scored = places.withColumn("score", shapiro.score(rank.cast("double"), n.cast("double")))
-
-    def at(place: Column) -> Column:
-        return F.max(F.when(rank == place, value))
-
-    sums = scored.groupBy("column").agg(
-        F.sum(F.when(rank.between(3, n - 2), F.col("score") * value).otherwise(0.0)).alias("inner"),
-        F.sum(F.col("score") * F.col("score")).alias("squares"),
-        (at(n) - at(F.lit(1))).alias("outermost"), (at(n - 1) - at(F.lit(2))).alias("next_to_it"),
-    )
+    shapes = {r["column"]: r for r in small_rows(shape)}
+    if not shapes:
+        return local_table(df.sparkSession, [], NORMALITY_SCHEMA)
+    sums = _weighted_sums(ranked_values(df, {c: r["splits"] for c, r in shapes.items()}), {c: (r["n"], r["mean"]) for c, r in shapes.items()})
     results = []
-    for r in small_rows(sums.join(F.broadcast(shape), "column")):  # a row for each column
-        w = shapiro.statistic(r["n"], r["inner"], r["squares"], r["outermost"], r["next_to_it"], r["spread"])
+    for s in small_rows(sums):  # a row for each column
+        r = shapes[s["column"]]
+        w = shapiro.statistic(r["n"], s["inner"], shapiro.squared_scores(r["n"]), s["outermost"], s["next_to_it"], r["spread"])
         p = shapiro.p_value(w, r["n"])
-        results.append((r["column"], "shapiro_wilk", r["n"], w, p, p > ALPHA, r["skewness"], r["kurtosis"]))
+        results.append((s["column"], "shapiro_wilk", r["n"], w, p, p > ALPHA, r["skewness"], r["kurtosis"]))
     return local_table(df.sparkSession, results, NORMALITY_SCHEMA).withColumns({
         c: F.round(c, 6) for c in ("statistic", "p_value")
     })
 
 
+def _weighted_sums(ranked: DataFrame, shapes: dict[str, tuple[int, float]]) -> DataFrame:
+    """(column, inner, outermost, next_to_it): what W needs of the values in order, as deviations from the mean.
+
+    Each task adds scores times values in Arrow batches, so a few rows a task are shuffled.
+    """
+    places = ("lowest", "second", "second_last", "highest")
+    schema = ", ".join(["column string", "inner double", *(f"{p} double" for p in places)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, rows = pa.Table.from_batches([batch]), []
+            for column in pc.unique(table["column"]).to_pylist():
+                own = table.filter(pc.equal(table["column"], column))
+                n, mean = shapes[column]
+                value = own["value"].to_numpy() - mean
+                first = own["before"].to_numpy() + 1
+                last = own["before"].to_numpy() + own["count"].to_numpy()
+                a, b = np.maximum(first, 3), np.minimum(last, n - 2)  # the two at either end have weights of their own
+                some = a <= b
+                inner = float(shapiro.score_sums(a[some], b[some], n) @ value[some])
+                at = [value[(first <= rank) & (rank <= last)] for rank in (1, 2, n - 1, n)]
+                rows.append({"column": column, "inner": inner, **{p: float(v[0]) if len(v) else None for p, v in zip(places, at, strict=True)}})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("column", pa.string()), ("inner", pa.float64()), *((p, pa.float64()) for p in places)]))
+
+    found = ranked.select("column", "value", "count", "before").mapInArrow(run, schema)
+    return found.groupBy("column").agg(
+        F.sum("inner").alias("inner"), (F.max("highest") - F.max("lowest")).alias("outermost"),
+        (F.max("second_last") - F.max("second")).alias("next_to_it"),
+    )
+
+
+def buckets(df: DataFrame) -> int:
+    """Into how many buckets the values of a column are cut for ranking."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 NORMALITY_SCHEMA = (
     "column string, test string, sample_size long, statistic double, p_value double, is_normal boolean, "
     "skewness double, kurtosis double"
@@ -146,19 +169,23 @@ def distribution_tests(df: DataFrame, columns: Sequence[str], max_columns: int |
     """Anderson-Darling normality on all rows of the columns that have 20 values and are not constant.
 
     Equal values share their ranks' weights, so the statistic is a sum over distinct values
-    with the number of rows below each, which one distributed sort supplies.
+    with the number of rows below each, which counts by bucket supply.
     """
     chosen = list(columns[:max_columns])
     shape = pin(stacked_aggregates(
         df,
         {
-            c: {"n": F.count(as_double(c)), "mean": F.avg(as_double(c)), "sd": F.stddev_samp(as_double(c))}
+            c: {
+                "n": F.count(as_double(c)), "mean": F.avg(as_double(c)), "sd": F.stddev_samp(as_double(c)),
+                "splits": splits_of(c, buckets(df)),
+            }
             for c in chosen
         },
     ).where((F.col("n") >= MIN_ANDERSON_ROWS) & (F.col("sd") > 0)).drop("position"))
-    freq = long_numbers(df, chosen).groupBy("column", "value").count()
-    ranked = with_running_count(freq, "column", "value", "count")
-    joined = ranked.join(F.broadcast(shape), "column")
+    splits = {r["column"]: r["splits"] for r in small_rows(shape)}
+    if not splits:
+        splits = {c: None for c in chosen[:1]}  # no column qualifies: the join below leaves nothing
+    joined = ranked_values(df, splits).join(shape.drop("splits"), "column")
     z = (F.col("value") - F.col("mean")) / F.col("sd")
     c, before, n = F.col("count").cast("double"), F.col("before").cast("double"), F.col("n")
     term = c * (2 * before + c) * log_lower_tail(z) + c * (2 * n - 2 * before - c) * log_upper_tail(z)

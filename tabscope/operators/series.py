@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabscope.functions.bounded import column_ref, pin, small_rows
+from tabscope.functions.bounded import column_ref, pin, small_rows, stacked_aggregates
 from tabscope.functions.text import strip
-from tabscope.operators.columns import long_numbers
-from tabscope.operators.ordering import with_position
-from tabscope.session import materialize
+from tabscope.operators.columns import as_double
+from tabscope.operators.ordering import in_row_order
 
 # Limits of the analysis.
 MIN_ROWS = 20
@@ -27,8 +24,6 @@ DATE_FORMATS = (
     "yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd",
 )
 
-HALO_BLOCK = 50_000  # consecutive positions that are compared in one sort
-
 TREND_FIELDS = ("direction", "slope", "normalized_slope")
 
 
@@ -74,30 +69,33 @@ def parse_dates(df: DataFrame, column: str, into: str | None = None) -> DataFram
     return df.withColumn(into or column, _parsed(column_ref(column), fmt))
 
 
-def positioned(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """(column, value, position): every column's non-null values, numbered in time order.
+def series_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, known, mean, variance) of each column's values, nulls left out; NaN counts in ``n`` only. A row for each."""
+    def known(c: str) -> Column:
+        return F.when(~F.isnan(as_double(c)), as_double(c))
+
+    return pin(stacked_aggregates(df, {
+        c: {
+            "n": F.count(as_double(c)), "known": F.count(known(c)), "mean": F.avg(known(c)), "variance": F.var_pop(known(c)),
+        } for c in columns
+    }).drop("position"))
+
+
+def series_in_order(df: DataFrame, moments: DataFrame, order_by: Sequence[str], max_lag: int = 0) -> DataFrame:
+    """The moments of each series with its slope, and its sums of products (``totals``, ``pairs``) up to ``max_lag``.
 
-    One distributed sort places all columns. The result is kept in reliable storage because
-    trend and autocorrelation both read it.
+    One pass over the table in order serves the trend and all lags; the result has a row for each column.
     """
-    values = long_numbers(df, columns, keep=order_by)
-    return with_position(values, list(order_by), "column").select("column", "value", "position")
-
-
-def series_moments(series: DataFrame) -> DataFrame:
-    """(column, n, known, mean, variance, slope) per series; NaN values are skipped."""
-    known = F.when(~F.isnan("value"), F.col("value"))
-    return series.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(known).alias("known"),
-        F.avg(known).alias("mean"),
-        F.var_pop(known).alias("variance"),
-        F.regr_slope(known, F.col("position").cast("double")).alias("slope"),
-    )
+    means = {r["column"]: r["mean"] if r["mean"] is not None else 0.0 for r in small_rows(moments.where("n > 0"))}
+    if not means:
+        return moments.where("false").withColumns({
+            "slope": F.lit(0.0), "totals": F.array().cast("array<double>"), "pairs": F.array().cast("array<long>"),
+        })
+    return pin(moments.join(in_row_order(df, means, order_by, max_lag), "column"))
 
 
 def trend_of(moments: DataFrame) -> DataFrame:
-    """(column, direction, slope, normalized_slope) from the moments of each series."""
+    """(column, direction, slope, normalized_slope) from the moments and slope of each series."""
     relative = F.when(F.col("mean") != 0, F.col("slope") / F.abs("mean")).otherwise(F.col("slope"))
     enough = (F.col("n") >= MIN_TREND_ROWS) & (F.col("known") >= MIN_TREND_ROWS)
     return moments.select(
@@ -113,7 +111,7 @@ def trend_of(moments: DataFrame) -> DataFrame:
 
 def trend(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Least-squares trend of each column against its position in time order."""
-    return trend_of(series_moments(positioned(df, columns, order_by)))
+    return trend_of(series_in_order(df, series_moments(df, columns), order_by))
 
 
 def lag_limit(n: Column, max_lag: int = MAX_LAG) -> Column:
@@ -121,64 +119,24 @@ def lag_limit(n: Column, max_lag: int = MAX_LAG) -> Column:
     return F.when(n < 2 * max_lag, F.floor(n / 4)).otherwise(F.lit(max_lag)).cast("int")
 
 
-def autocorrelation_of(series: DataFrame, moments: DataFrame, max_lag: int = MAX_LAG,
-                       block: int = HALO_BLOCK) -> DataFrame:
-    """(column, lag, autocorrelation) for lags 1 to ``max_lag``.
-
-    Positions are cut into blocks; each block also receives the next block's first ``max_lag``
-    values, so all products of a block are formed in its own task and only one sum per lag
-    moves on. Blocks have a fixed size, whatever the length of the series. The products are
-    dot products of arrays, far cheaper than one window function per lag. ``moments`` has one
-    row per column.
-    """
-    if block < max_lag:
-        raise ValueError("a block must hold at least max_lag positions")
-    stats = F.broadcast(
-        moments.where(F.col("variance") > 0).select("column", "mean", "variance", "n")
-    )
-    centred = series.join(stats, "column").select(
-        "column", "position", (F.col("value") - F.col("mean")).alias("d")
-    )
-    own = F.floor(F.col("position") / block).cast("long")
-    in_halo = (F.col("position") % block < max_lag) & (own > 0)
-    placed = (
-        centred.withColumns({"own_": own, "halo_": F.when(in_halo, own - 1)})
-        .unpivot(["column", "position", "d"], ["own_", "halo_"], "place_", "block")
-        .where(F.col("block").isNotNull())
-    )
-
-    def lag_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("position")["d"].to_numpy()
-        known = ~np.isnan(values)
-        values = np.where(known, values, 0.0)
-        first = min(block, len(values))
-        rows = []
-        for lag in range(1, max_lag + 1):
-            upto = min(first, len(values) - lag)
-            if upto > 0:
-                pairs = int(np.count_nonzero(known[:upto] & known[lag:lag + upto]))
-                rows.append((float(values[:upto] @ values[lag:lag + upto]), pairs, lag))
-        sums = pd.DataFrame(rows, columns=["total", "pairs", "lag"])
-        return sums.assign(column=pdf["column"].iloc[0])[["column", "lag", "total", "pairs"]]
-
-    sums = placed.groupBy("column", "block").applyInPandas(
-        lag_sums, "column string, lag int, total double, pairs long"
-    )
+def autocorrelation_of(series: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """(column, lag, autocorrelation) for lags 1 to ``max_lag``, from ``series_in_order``."""
     limit = lag_limit(F.col("n"), max_lag)
-    return (
-        sums.groupBy("column", "lag").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
-        .where(F.col("pairs") > 0)
-        .join(stats, "column")
-        .where((limit >= 2) & (F.col("lag") <= limit))
-        .select("column", "lag", (F.col("total") / F.col("pairs") / F.col("variance")).alias("autocorrelation"))
+    by_lag = series.where(F.col("variance") > 0).select(
+        "column", "n", "variance", F.posexplode(F.arrays_zip("totals", "pairs")).alias("place", "sums")
+    ).withColumn("lag", F.col("place") + 1)
+    return by_lag.where((F.col("sums.pairs") > 0) & (limit >= 2) & (F.col("lag") <= limit)).select(
+        "column", "lag", (F.col("sums.totals") / F.col("sums.pairs") / F.col("variance")).alias("autocorrelation")
     )
 
 
-def autocorrelation(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
-                    max_lag: int = MAX_LAG, block: int = HALO_BLOCK) -> DataFrame:
-    """(column, lag, autocorrelation) of each column in time order."""
-    series = materialize(positioned(df, columns, order_by))
-    return autocorrelation_of(series, pin(series_moments(series)), max_lag, block)
+def autocorrelation(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], max_lag: int = MAX_LAG) -> DataFrame:
+    """(column, lag, autocorrelation) of each column in time order.
+
+    Range partitions stream by in time order: each forms the products of its own neighbours, and the first and last
+    ``max_lag`` values of a partition supply those across partitions.
+    """
+    return autocorrelation_of(series_in_order(df, series_moments(df, columns), order_by, max_lag), max_lag)
 
 
 def seasonality_of(correlations: DataFrame) -> DataFrame:
@@ -228,11 +186,11 @@ def timeseries_report(
     chosen = list(numeric[:max_columns])
     if not chosen:
         return df.sparkSession.createDataFrame([], REPORT_SCHEMA)
-    series = materialize(positioned(df, chosen, [time_column, *tie_break]))
-    moments = pin(series_moments(series).where(F.col("n") >= MIN_ROWS))
-    peaks = seasonality_of(autocorrelation_of(series, moments))
+    moments = series_moments(df, chosen).where(F.col("n") >= MIN_ROWS)
+    series = series_in_order(df, moments, [time_column, *tie_break], MAX_LAG)
+    peaks = seasonality_of(autocorrelation_of(series))
     return (
-        trend_of(moments)
+        trend_of(series)
         .join(peaks, "column", "left")
         .select(
             "column", F.lit(time_column).alias("time_column"), *TREND_FIELDS,

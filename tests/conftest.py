@@ -23,3 +23,18 @@ def spark(tmp_path_factory):
 def small():
     """Folder of the smallest tables."""
     return str(DATA / "sf0.001")
+
+
+@pytest.fixture
+def settings(spark):
+    """Set session settings for one test."""
+    before = {}
+
+    def put(values):
+        for name, value in values.items():
+            before.setdefault(name, spark.conf.get(name, None))
+            spark.conf.set(name, value)
+
+    yield put
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -7,28 +7,40 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import charts, contexts, documents, findings, frequency, profile, series, sqltext, vectors
+from tabscope.operators import charts, contexts, documents, findings, frequency, ordering, profile, series, sqltext, vectors
 from tabscope.operators.asof import asof_join
-from tabscope.operators.ordering import with_position, with_running_count
 from tabscope.plans.analyze import analyze
 
 
-def test_positions_with_a_hot_time(spark):
-    # a third of the rows share one time
-    df = spark.range(3_000).select(
-        F.lit("v").alias("column"), F.when(F.col("id") % 3 == 0, 1_000).otherwise(F.col("id")).alias("t"), "id"
-    ).repartition(6)
-    rows = with_position(df, ["t", "id"], "column").collect()
-    want = sorted((1_000 if i % 3 == 0 else i, i) for i in range(3_000))
-    assert [(r["t"], r["id"]) for r in sorted(rows, key=lambda r: r["position"])] == want
-    assert sorted(r["position"] for r in rows) == list(range(3_000))
-
-
-def test_running_count(spark):
-    df = spark.createDataFrame([("a", float(i % 50)) for i in range(1_000)] + [("b", 1.0)], "g string, v double")
-    freq = df.groupBy("g", "v").count()
-    rows = {(r["g"], r["v"]): r["before"] for r in with_running_count(freq, "g", "v", "count").collect()}
-    assert rows == {("a", float(v)): v * 20 for v in range(50)} | {("b", 1.0): 0}
+def test_order_with_a_hot_time(spark):
+    # a third of the rows share one time: ties are ordered by the values, over several partitions
+    rows = [(1_000 if i % 3 == 0 else i, float(i % 701), None if i % 4 == 0 else i * 0.5) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "t int, x double, y double").repartition(6)
+    found = {r["column"]: r for r in ordering.in_row_order(df, {"x": 350.0, "y": 0.0}, ["t"], 3).collect()}
+    for place, name, mean in ((1, "x", 350.0), (2, "y", 0.0)):
+        ordered = sorted(rows, key=lambda r: (r[0], r[1], -1.0 if r[2] is None else r[2]))
+        d = np.array([r[place] for r in ordered if r[place] is not None]) - mean
+        assert math.isclose(found[name]["slope"], np.polyfit(np.arange(len(d)), d, 1)[0], rel_tol=1e-9)
+        assert found[name]["pairs"] == [len(d) - lag for lag in (1, 2, 3)]
+        assert np.allclose(found[name]["totals"], [d[:-lag] @ d[lag:] for lag in (1, 2, 3)], rtol=1e-9)
+
+
+def test_summaries_of_parts_make_the_whole():
+    source = np.random.default_rng(2)
+    values = source.normal(size=400)
+    values[[3, 50, 51, 399]] = np.nan
+    whole = ordering.Neighbours(12)
+    whole.add(values)
+    for sizes in ([400], [1, 2, 3, 5, 8, 381], [390, 10], [7] * 57 + [1]):
+        found, at = ordering.Neighbours(12), 0
+        for size in sizes:
+            part = ordering.Neighbours(12)
+            for piece in np.array_split(values[at : at + size], 3):
+                part.add(piece)
+            found.follow(part)
+            at += size
+        assert (found.n, found.known) == (400, 396) and np.array_equal(found.pairs, whole.pairs)
+        assert np.allclose(found.totals, whole.totals) and math.isclose(found.shared / found.spread, whole.shared / whole.spread)
 
 
 def lagged(values, lag):
@@ -36,13 +48,14 @@ def lagged(values, lag):
     return np.nanmean((x[:-lag] - np.nanmean(x)) * (x[lag:] - np.nanmean(x))) / np.nanvar(x)
 
 
-@pytest.mark.parametrize("block", [60, 128, 50_000])
-def test_autocorrelation_across_blocks(spark, block):
+@pytest.mark.parametrize("parts", ["1", "5", "40"])
+def test_autocorrelation_across_partitions(spark, settings, parts):
+    settings({"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     source = random.Random(5)
     values = [math.sin(i * math.pi / 6) * 3 + source.random() for i in range(700)]
     values[100] = float("nan")
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "t int, x double").repartition(5)
-    rows = series.autocorrelation(df, ["x"], ["t"], block=block).collect()
+    rows = series.autocorrelation(df, ["x"], ["t"]).collect()
     assert len(rows) == 50
     for r in rows:
         assert math.isclose(r["autocorrelation"], lagged(values, r["lag"]), rel_tol=1e-9, abs_tol=1e-12)

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.functions import normal
+from tabscope.functions import normal, shapiro
 from tabscope.functions.text import number_text
-from tabscope.operators import association, forest, inference, outliers, sampling
+from tabscope.operators import association, forest, inference, ordering, outliers, sampling
 
 
 def test_normal_tails(spark):
@@ -60,9 +60,10 @@ def test_shapiro_published_example(spark):
     assert (rows["same"]["statistic"], rows["same"]["p_value"]) == (1.0, 1.0)
 
 
-@pytest.mark.parametrize("ranks", [7, 100_000])
-def test_normality_of_whole_columns(spark, monkeypatch, ranks):
-    monkeypatch.setattr(inference, "RANKS", ranks)
+@pytest.mark.parametrize(("edge", "counted"), [(32, 100_000), (5, 500)])
+def test_normality_of_whole_columns(spark, monkeypatch, edge, counted):
+    monkeypatch.setattr(shapiro, "EDGE", edge)
+    monkeypatch.setattr(ordering, "COUNTED", counted)
     gauss = random.Random(7)
     rows = [(i, gauss.gauss(0, 1), gauss.random() ** 3, float(i) if i < 7 else None, float(i % 3 == 0) * 4 + i % 5)
             for i in range(6_000)]
@@ -74,11 +75,35 @@ def test_normality_of_whole_columns(spark, monkeypatch, ranks):
         assert abs(found[name]["statistic"] - brute_shapiro([r[place] for r in rows])) < 2e-6
 
 
-def test_normal_quantile(spark):
+def test_sums_of_scores():
+    for n in (8, 9, 40, 64, 65, 1_000, 2_500):
+        scores = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+        assert math.isclose(shapiro.squared_scores(n), sum(z * z for z in scores), rel_tol=1e-10)
+        source = random.Random(n)
+        spans = [(1, n), (1, 1), (n, n), (3, n - 2)] + [tuple(sorted(source.choices(range(1, n + 1), k=2))) for _ in range(40)]
+        first, last = np.array(spans).T
+        want = [sum(scores[a - 1 : b]) for a, b in spans]
+        assert np.allclose(shapiro.score_sums(first, last, n), want, rtol=0, atol=1e-9)
+
+
+def test_ranks_of_values(spark):
+    source = random.Random(3)
+    rows = [(float(source.randrange(40)), source.gauss(0, 1) if i % 5 else None, 7.0 if i % 3 else float("nan")) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(4)
+    for splits in ({"a": [3.0, 3.0, 20.0], "b": [-1.0, 0.0], "c": [7.0]}, {"a": None, "b": [9.0], "c": []}):
+        found = {(r["column"], str(r["value"])): (r["count"], r["before"]) for r in ordering.ranked_values(df, splits).collect()}
+        want = {}
+        for i, name in enumerate("abc"):
+            values = sorted((r[i] for r in rows if r[i] is not None), key=lambda v: (math.isnan(v), v))
+            for at, v in reversed(list(enumerate(values))):
+                want[name, str(v)] = (sum(str(x) == str(v) for x in values) if name != "b" else 1, at)
+        assert found == want
+
+
+def test_normal_quantiles():
     points = [1e-300, 1e-13, 1e-5, 0.01, 0.2, 0.5, 0.7, 0.999, 1 - 1e-9]
-    df = spark.createDataFrame([(p,) for p in points], "p double")
-    for r in df.select("p", normal.normal_quantile(F.col("p")).alias("z")).collect():
-        assert math.isclose(r["z"], NormalDist().inv_cdf(r["p"]), rel_tol=1e-12, abs_tol=1e-15)
+    for p, z in zip(points, normal.normal_quantiles(np.array(points)), strict=True):
+        assert math.isclose(z, NormalDist().inv_cdf(p), rel_tol=1e-12, abs_tol=1e-15)
 
 
 def test_samples_are_whole_and_stable(spark):
