@@ -16,7 +16,7 @@ from tabscope.functions.normal import chi_square_upper_tail, log_lower_tail, log
 from tabscope.functions.text import number_text
 from tabscope.operators.association import pair_statistics
 from tabscope.operators.columns import as_double
-from tabscope.operators.ordering import ranked_values, splits_of
+from tabscope.operators.ordering import ranked_values, split_points
 
 # Sizes, levels and limits of the tests.
 SHAPIRO_MIN = 8
@@ -56,14 +56,13 @@ def normality_tests(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "n": F.count(as_double(c)), "mean": F.avg(as_double(c)),
             "spread": F.var_pop(as_double(c)) * F.count(as_double(c)),
             "skewness": F.round(F.skewness(as_double(c)), 4), "kurtosis": F.round(F.kurtosis(as_double(c)), 4),
-            "splits": splits_of(c, buckets(df)),
         }
         for c in columns
     }).drop("position")).where(F.col("n") >= SHAPIRO_MIN)
     shapes = {r["column"]: r for r in small_rows(shape)}
     if not shapes:
         return local_table(df.sparkSession, [], NORMALITY_SCHEMA)
-    sums = _weighted_sums(ranked_values(df, {c: r["splits"] for c, r in shapes.items()}), {c: (r["n"], r["mean"]) for c, r in shapes.items()})
+    sums = _weighted_sums(ranked_values(df, split_points(df, list(shapes))), {c: (r["n"], r["mean"]) for c, r in shapes.items()})
     results = []
     for s in small_rows(sums):  # a row for each column
         r = shapes[s["column"]]
@@ -107,11 +106,6 @@ def _weighted_sums(ranked: DataFrame, shapes: dict[str, tuple[int, float]]) -> D
     )
 
 
-def buckets(df: DataFrame) -> int:
-    """Into how many buckets the values of a column are cut for ranking."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 NORMALITY_SCHEMA = (
     "column string, test string, sample_size long, statistic double, p_value double, is_normal boolean, "
     "skewness double, kurtosis double"
@@ -177,15 +171,13 @@ def distribution_tests(df: DataFrame, columns: Sequence[str], max_columns: int |
         {
             c: {
                 "n": F.count(as_double(c)), "mean": F.avg(as_double(c)), "sd": F.stddev_samp(as_double(c)),
-                "splits": splits_of(c, buckets(df)),
             }
             for c in chosen
         },
     ).where((F.col("n") >= MIN_ANDERSON_ROWS) & (F.col("sd") > 0)).drop("position"))
-    splits = {r["column"]: r["splits"] for r in small_rows(shape)}
-    if not splits:
-        splits = {c: None for c in chosen[:1]}  # no column qualifies: the join below leaves nothing
-    joined = ranked_values(df, splits).join(shape.drop("splits"), "column")
+    # where no column qualifies, any will do: the join leaves nothing
+    tested = [r["column"] for r in small_rows(shape)] or chosen[:1]
+    joined = ranked_values(df, split_points(df, tested)).join(shape, "column")
     z = (F.col("value") - F.col("mean")) / F.col("sd")
     c, before, n = F.col("count").cast("double"), F.col("before").cast("double"), F.col("n")
     term = c * (2 * before + c) * log_lower_tail(z) + c * (2 * n - 2 * before - c) * log_upper_tail(z)

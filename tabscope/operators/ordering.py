@@ -26,11 +26,19 @@ from tabscope.operators.columns import as_double
 COUNTED = 100_000
 
 
-def splits_of(name: str, buckets: int) -> Column:
-    """Split points of a column into buckets of about equally many values; they only balance the work."""
-    value = as_double(name)
+def split_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float] | None]:
+    """Points that split the values of each column into buckets of about equally many; they only balance the work.
+
+    There is a bucket for each shuffle partition. A job of its own: beside a sketch, plain aggregates lose generated code.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    return F.percentile_approx(F.when(~F.isnan(value), value), shares, 10 * max(100, buckets))
+
+    def points(c: str) -> Column:
+        return F.percentile_approx(F.when(~F.isnan(as_double(c)), as_double(c)), shares, 10 * max(100, buckets))
+
+    row = df.agg(*[points(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    return dict(zip(columns, row, strict=True))
 
 
 def value_counts_in_buckets(df: DataFrame, splits: Mapping[str, Sequence[float] | None]) -> DataFrame:
