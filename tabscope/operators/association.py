@@ -18,6 +18,11 @@ from tabscope.operators.columns import INTEGRAL, as_double, as_text, data_type,
 HIGH_CORRELATION = 0.7
 MIN_ASSOCIATION = 0.1
 
+#: From so many pairs on, blocks of columns are measured; combinations and columns of a block at most.
+MEASURED_PAIRS, BLOCK_COMBINATIONS, BLOCK_WIDTH = 30, 4096, 5
+#: Levels of a block of the dense table.
+GRID_LEVELS = 100
+
 
 def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     row = df.agg(*[F.avg(as_double(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
@@ -170,17 +175,29 @@ def high_correlations(
 def cell_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(col1, col2, a, b, observed) for all pairs of columns in one job.
 
-    Every row feeds one cell per pair, and cells are counted inside the tasks before the
-    shuffle: what moves is the cells, not the rows. Rows with a null in the pair are left out.
+    A row is counted once for each block of columns, not for each pair: the distinct combinations of a block's columns
+    are counted inside the tasks, and the cells of all its pairs are sums over them. Only combinations are shuffled.
+    Rows with a null in a pair are left out of that pair.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    blocks = column_blocks(pairs, levels_of(df, names) if len(pairs) >= MEASURED_PAIRS else None)
     plain = {c: f"t{i}" for i, c in enumerate(names)}
-    texts = df.select(*[as_text(df, c).alias(plain[c]) for c in names])
-    cells = unpivot_groups(texts, [(plain[a], plain[b]) for a, b in pairs], ("a", "b"), "pair")
-    counted = (
-        cells.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("observed"))
+    texts = df.select(*[as_text(df, c).alias(plain[c]) for c in names], F.lit(None).cast("string").alias("none_"))
+    width = max(len(block) for block, _ in blocks)
+    slots = [f"c{i}" for i in range(width)]
+    padded = [tuple(plain[c] for c in block) + ("none_",) * (width - len(block)) for block, _ in blocks]
+    combinations_ = unpivot_groups(texts, padded, slots, "block").groupBy("block", *slots).agg(F.count(F.lit(1)).alias("n"))
+    # for each block its pairs: number of the pair, and which slots hold it
+    number = {pair: i for i, pair in enumerate(pairs)}
+    inside = F.array(*[
+        F.array(*[F.struct(*(F.lit(x) for x in (number[p], block.index(p[0]) + 1, block.index(p[1]) + 1))) for p in own])
+        for block, own in blocks
+    ])
+    cells = combinations_.withColumn("own_", F.explode(F.element_at(inside, F.col("block") + 1))).select(
+        F.col("own_.col1").alias("pair"), F.element_at(F.array(*slots), F.col("own_.col2")).alias("a"),
+        F.element_at(F.array(*slots), F.col("own_.col3")).alias("b"), "n",
     )
+    counted = cells.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("pair", "a", "b").agg(F.sum("n").alias("observed"))
     first, second = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
     return counted.select(
         F.element_at(first, F.col("pair") + 1).alias("col1"),
@@ -189,6 +206,44 @@ def cell_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     )
 
 
+def levels_of(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """About how many different values each column has, nulls included; measured in one pass."""
+    row = df.agg(*[F.approx_count_distinct(as_text(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[i] + 1 for i, c in enumerate(columns)}
+
+
+def column_blocks(
+    pairs: Sequence[tuple[str, str]], levels: dict[str, int] | None, most: int = BLOCK_COMBINATIONS, width: int = BLOCK_WIDTH,
+) -> list[tuple[tuple[str, ...], list[tuple[str, str]]]]:
+    """Blocks of columns and the pairs that each of them serves; every pair is in one block.
+
+    A block grows while the levels of its columns have at most ``most`` combinations, by the column that brings most pairs
+    that are not served yet. Pairs of columns with more combinations than that, and all pairs where ``levels`` are not
+    known, are blocks of their own.
+    """
+    left, blocks = list(pairs), []
+    while left:
+        block = list(left[0])
+        if levels:
+            size = levels[block[0]] * levels[block[1]]
+            while len(block) < width:
+                gains = {}
+                for a, b in left:
+                    if (a in block) != (b in block):
+                        new = b if a in block else a
+                        gains[new] = gains.get(new, 0) + 1
+                fitting = [c for c in gains if size * levels[c] <= most]
+                if not fitting:
+                    break
+                best = max(fitting, key=lambda c: (gains[c], -levels[c]))
+                block.append(best)
+                size *= levels[best]
+        own = [p for p in left if p[0] in block and p[1] in block]
+        left = [p for p in left if p not in set(own)]
+        blocks.append((tuple(block), own))
+    return blocks
+
+
 def with_margins(cells: DataFrame) -> DataFrame:
     """Add row_total, col_total, n and expected to a table of cells."""
     rows = cells.groupBy("col1", "col2", "a").agg(F.sum("observed").alias("row_total"))
@@ -202,24 +257,51 @@ def with_margins(cells: DataFrame) -> DataFrame:
     )
 
 
-def contingency(df: DataFrame, col1: str, col2: str) -> DataFrame:
-    """(a, b, observed): the dense table of two columns, empty cells included.
+def dense_cells(df: DataFrame, col1: str, col2: str, levels: int = GRID_LEVELS) -> DataFrame:
+    """(a, b, observed, row_total, col_total) of the dense table of two columns, empty cells included.
 
-    The result has levels times levels rows by its nature; ``cell_counts`` has the occupied ones.
+    The result has levels times levels rows by its nature; ``cell_counts`` has the occupied ones. The levels of both
+    sides are dealt into blocks of about ``levels``. A row block meets each column block by its number: what is shuffled are the
+    occupied cells, one row for each level and block of the other side, and a copy of the column levels for each row block.
+    The dense table itself is made where these meet and never moves.
     """
+    a_text, b_text = as_text(df, col1), as_text(df, col2)
+    both = a_text.isNotNull() & b_text.isNotNull()
+    sizes = df.agg(F.approx_count_distinct(F.when(both, a_text)), F.approx_count_distinct(F.when(both, b_text))).first()
+    row_blocks, col_blocks = (max(1, -(-n // levels)) for n in sizes)
+    row_block, col_block = F.pmod(F.xxhash64("a"), F.lit(row_blocks)), F.pmod(F.xxhash64("b"), F.lit(col_blocks))
     cells = cell_counts(df, [(col1, col2)]).select("a", "b", "observed")
-    levels = cells.agg(F.collect_set("b").alias("levels_")).withColumn("one_", F.lit(1))
-    rows = cells.select("a").distinct().withColumn("one_", F.lit(1))
-    dense = rows.join(levels, "one_").select("a", F.explode("levels_").alias("b"))
-    return dense.join(cells, ["a", "b"], "left").withColumn(
-        "observed", F.coalesce("observed", F.lit(0).cast("long"))
+    # a level's occupied cells within one block of the other side, and its total
+    occupied = cells.groupBy("a", col_block.alias("col_block")).agg(
+        F.map_from_entries(F.collect_list(F.struct("b", "observed"))).alias("cells"), F.sum("observed").alias("part")
+    )
+    whole = occupied.groupBy("a").agg(F.sum("part").alias("row_total"))
+    rows = whole.select("a", "row_total", row_block.alias("row_block"), F.explode(_numbers(col_blocks)).alias("col_block"))
+    rows = rows.join(occupied.select("a", "col_block", "cells"), ["a", "col_block"], "left")
+    columns = cells.groupBy("b").agg(F.sum("observed").alias("col_total")).groupBy(col_block.alias("col_block")).agg(
+        F.collect_list(F.struct("b", "col_total")).alias("columns")
+    ).select("col_block", "columns", F.explode(_numbers(row_blocks)).alias("row_block"))
+    met = rows.join(columns, ["row_block", "col_block"])
+    return met.select("a", "row_total", "cells", F.explode("columns").alias("column")).select(
+        "a", F.col("column.b").alias("b"), F.coalesce(F.try_element_at("cells", F.col("column.b")), F.lit(0).cast("long")).alias("observed"),
+        "row_total", F.col("column.col_total").alias("col_total"),
     )
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def contingency(df: DataFrame, col1: str, col2: str) -> DataFrame:
+    """(a, b, observed): the dense table of two columns, empty cells included."""
+    return dense_cells(df, col1, col2).select("a", "b", "observed")
+
+
 def contingency_expected(df: DataFrame, col1: str, col2: str) -> DataFrame:
     """(a, b, observed, row_total, col_total, expected) of the dense table."""
-    dense = contingency(df, col1, col2).withColumns({"col1": F.lit(col1), "col2": F.lit(col2)})
-    return with_margins(dense).select("a", "b", "observed", "row_total", "col_total", "expected")
+    both = as_text(df, col1).isNotNull() & as_text(df, col2).isNotNull()
+    n = df.where(both).count()
+    return dense_cells(df, col1, col2).withColumn("expected", F.col("row_total") * F.col("col_total") / F.lit(n))
 
 
 def pair_statistics(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -79,25 +79,26 @@ DENSE = (
 )
 
 
-def sparse(spark, folder):
-    return banded_lineitem(spark, folder).where("l_quantity > 45 OR price_band <> 'high'")
+STEPPED = f"(SELECT *, floor(l_extendedprice / 10000)::INTEGER AS price_step FROM {GAPPY_LINEITEM})"
 
 
-SPARSE = f"(SELECT * FROM {BANDED_LINEITEM} WHERE l_quantity > 45 OR price_band <> 'high')"
+def stepped_lineitem(spark, folder):
+    """lineitem with its price in steps: small quantities never reach the upper ones, so cells are empty."""
+    return gappy_lineitem(spark, folder).withColumn("price_step", F.floor(F.col("l_extendedprice") / 10000).cast("int"))
 
 
-@query("contingency", DENSE.format(x="l_quantity", y="price_band", t=SPARSE))
+@query("contingency", DENSE.format(x="l_quantity", y="price_step", t=STEPPED))
 def contingency(spark, folder):
-    return association.contingency(sparse(spark, folder), "l_quantity", "price_band")
+    return association.contingency(stepped_lineitem(spark, folder), "l_quantity", "price_step")
 
 
 @query("contingency_expected",
        "SELECT a, b, observed, row_total, col_total, round(row_total * col_total / n, 6) AS expected FROM ("
        "SELECT *, (sum(observed) OVER (PARTITION BY a))::BIGINT AS row_total, "
        "(sum(observed) OVER (PARTITION BY b))::BIGINT AS col_total, (sum(observed) OVER ())::BIGINT AS n "
-       f"FROM ({DENSE.format(x='l_quantity', y='price_band', t=SPARSE)}))")
+       f"FROM ({DENSE.format(x='l_quantity', y='price_step', t=STEPPED)}))")
 def contingency_expected(spark, folder):
-    result = association.contingency_expected(sparse(spark, folder), "l_quantity", "price_band")
+    result = association.contingency_expected(stepped_lineitem(spark, folder), "l_quantity", "price_step")
     return result.withColumn("expected", F.round("expected", 6))
 
 

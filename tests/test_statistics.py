@@ -2,6 +2,8 @@
 
 import math
 import random
+from collections import Counter
+from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
@@ -100,6 +102,55 @@ def test_ranks_of_values(spark):
         assert found == want
 
 
+def test_blocks_of_columns_serve_every_pair_once():
+    columns = [f"c{i}" for i in range(17)]
+    pairs = list(combinations(columns, 2))
+    blocks = association.column_blocks(pairs, dict.fromkeys(columns, 4))
+    assert sorted(p for _, own in blocks for p in own) == sorted(pairs)
+    assert len(blocks) < len(pairs) / 4 and all(len(b) <= 5 and set(x for p in own for x in p) <= set(b) for b, own in blocks)
+    wide = dict.fromkeys(columns, 4) | {"c3": 5_000, "c9": 900}
+    blocks = association.column_blocks(pairs, wide)
+    assert sorted(p for _, own in blocks for p in own) == sorted(pairs)
+    assert all(len(b) == 2 for b, _ in blocks if "c3" in b) and all(math.prod(wide[c] for c in b) <= 4096 for b, _ in blocks if len(b) > 2)
+    assert all(len(b) == 2 for b, _ in association.column_blocks(pairs, None))
+
+
+def test_cells_from_blocks_and_from_pairs(spark, monkeypatch):
+    source = random.Random(4)
+    columns = [f"x{i}" for i in range(7)]
+    rows = [tuple(None if source.random() < 0.1 else source.randrange(2 + i) for i in range(7)) for _ in range(2_000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in columns)).repartition(3)
+    pairs = list(combinations(columns, 2)) + [("x1", "x0")]
+    want = Counter()
+    for r in rows:
+        for a, b in pairs:
+            x, y = r[columns.index(a)], r[columns.index(b)]
+            if x is not None and y is not None:
+                want[a, b, str(x), str(y)] += 1
+    for most in (4096, 30, 1):
+        monkeypatch.setattr(association, "MEASURED_PAIRS", 2)
+        monkeypatch.setattr(association.column_blocks, "__defaults__", (most, 5))
+        found = {tuple(r)[:4]: r["observed"] for r in association.cell_counts(df, pairs).collect()}
+        assert found == dict(want)
+
+
+def test_dense_table_in_blocks(spark):
+    source = random.Random(5)
+    rows = [(f"a{source.randrange(300)}", f"b{source.randrange(170)}") for _ in range(900)] + [("a0", "b0")] * 500 + [(None, "b1"), ("only", None)]
+    df = spark.createDataFrame(rows, "p string, q string").repartition(3)
+    counts = Counter(r for r in rows if None not in r)
+    by_row, by_col = Counter(r[0] for r in rows if None not in r), Counter(r[1] for r in rows if None not in r)
+    for levels in (1000, 40):
+        cells = association.dense_cells(df, "p", "q", levels)
+        found = {(r["a"], r["b"]): tuple(r)[2:] for r in cells.collect()}
+        assert len(found) == cells.count() == len(by_row) * len(by_col)
+        for (a, b), (observed, row_total, col_total) in found.items():
+            assert observed == counts[a, b]
+            assert (row_total, col_total) == (by_row[a], by_col[b])
+    plan = cells._jdf.queryExecution().toString()
+    assert not any(node in plan for node in ("NestedLoop", "Cartesian", "SinglePartition"))
+
+
 def test_normal_quantiles():
     points = [1e-300, 1e-13, 1e-5, 0.01, 0.2, 0.5, 0.7, 0.999, 1 - 1e-9]
     for p, z in zip(points, normal.normal_quantiles(np.array(points)), strict=True):
