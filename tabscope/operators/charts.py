@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscope.functions.bounded import column_ref, local_table, small_rows, stacked_aggregates
 from tabscope.operators.association import pearson_matrix
-from tabscope.operators.columns import as_double, numeric_columns
+from tabscope.operators.columns import INTEGRAL, as_double, local_micros, numeric_columns
 from tabscope.operators.frequency import top_values
 from tabscope.operators.outliers import IQR_REACH
 from tabscope.operators.quantiles import quantile_values
@@ -20,6 +20,7 @@ BAR_VALUES = 20
 PIE_VALUES = 10
 SCATTER_BINS = 50
 MAX_CHARTS = 10
+LINE_PIXELS = 1000
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -125,8 +126,14 @@ def heatmap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return pearson_matrix(df, columns, drop_constant=False)
 
 
-def line(df: DataFrame, time_column: str, column: str, every: str | None = None) -> DataFrame:
-    """(time, value) in time order; ``every`` averages per date_trunc unit instead."""
+def line(
+    df: DataFrame, time_column: str, column: str, every: str | None = None, pixels: int | None = LINE_PIXELS
+) -> DataFrame:
+    """(time, value) in time order, for a drawing ``pixels`` wide: at most four rows a pixel column.
+
+    Each pixel column keeps its first, last, lowest and highest value, which draw the same line as all rows do. ``every``
+    averages per date_trunc unit instead; ``pixels=None`` keeps all rows, and so does a time column of texts.
+    """
     complete = df.select(
         column_ref(time_column).alias("time"), column_ref(column).alias("value")
     ).na.drop()
@@ -134,9 +141,37 @@ def line(df: DataFrame, time_column: str, column: str, every: str | None = None)
         complete = complete.groupBy(F.date_trunc(every, "time").alias("time")).agg(
             F.avg("value").alias("value")
         )
+    elif pixels is not None and (place := _whole_time(complete)) is not None:
+        complete = _outline(complete, place, pixels)
     return complete.orderBy("time")
 
 
+def _whole_time(df: DataFrame) -> Column | None:
+    """The column ``time`` as a whole number, if its type has an even scale."""
+    kind, time = df.schema["time"].dataType, F.col("time")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(time)
+    if isinstance(kind, T.TimestampNTZType):
+        return local_micros(time)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(time).cast("long")
+    return time.cast("long") if isinstance(kind, INTEGRAL) else None
+
+
+def _outline(df: DataFrame, place: Column, pixels: int) -> DataFrame:
+    placed = df.withColumn("place_", place)
+    low, high = placed.agg(F.min("place_"), F.max("place_")).first()
+    if low is None:
+        return df
+    pixel = F.expr(f"(CAST(place_ AS DECIMAL(20, 0)) - {low}) * {pixels} div {high - low + 1}")
+    by_time, by_value = F.struct("time", "value"), F.struct("value", "time")
+    ends = placed.groupBy(pixel.alias("pixel")).agg(
+        F.min(by_time).alias("a"), F.max(by_time).alias("b"), F.min(by_value).alias("c"), F.max(by_value).alias("d"),
+    )
+    kept = F.array_distinct(F.array(*(F.struct(F.col(f"{x}.time"), F.col(f"{x}.value")) for x in "abcd")))
+    return ends.select(F.inline(kept))
+
+
 def chart_plan(summary: DataFrame, correlations: DataFrame, max_charts: int = MAX_CHARTS) -> DataFrame:
     """(place, chart_type, columns, title, reason): which charts to draw, by rule.
 

@@ -69,6 +69,13 @@ def parse_dates(df: DataFrame, column: str, into: str | None = None) -> DataFram
     return df.withColumn(into or column, _parsed(column_ref(column), fmt))
 
 
+def parse_all_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Turn text columns into dates, each by its first fitting format; one pass finds the formats of all of them."""
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    formats = choose_date_formats(df, texts) if texts else {}
+    return df.withColumns({c: _parsed(column_ref(c), fmt) for c, fmt in formats.items() if fmt is not None})
+
+
 def series_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, known, mean, variance) of each column's values, nulls left out; NaN counts in ``n`` only. A row for each."""
     def known(c: str) -> Column:

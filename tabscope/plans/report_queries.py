@@ -133,9 +133,7 @@ def parse_dates(spark, folder):
         ],
         F.when(key % 2 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise("n/a").alias("unparsed"),
     )
-    for name in [f"d{i}" for i in range(len(FORMATS))] + ["unparsed"]:
-        df = series.parse_dates(df, name)
-    return df
+    return series.parse_all_dates(df, [f"d{i}" for i in range(len(FORMATS))] + ["unparsed"])
 
 
 # -- findings ---------------------------------------------------------------------------------
@@ -360,7 +358,18 @@ def chart_heatmap(spark, folder):
 
 @query("chart_line", f"SELECT ts AS time, gappy AS value FROM {WAVY_EVENTS} WHERE gappy IS NOT NULL")
 def chart_line(spark, folder):
-    return charts.line(wavy_events(spark, folder), "ts", "gappy")
+    return charts.line(wavy_events(spark, folder), "ts", "gappy", pixels=None)
+
+
+@query("chart_line_outline",
+       f"WITH rows AS (SELECT ts, gappy, epoch_us(ts) AS us FROM {WAVY_EVENTS} WHERE gappy IS NOT NULL), "
+       "placed AS (SELECT ts, gappy, (us - (SELECT min(us) FROM rows))::HUGEINT * 800 // (SELECT max(us) - min(us) + 1 FROM rows) AS pixel FROM rows), "
+       "kept AS (SELECT pixel, unnest([min({'t': ts, 'v': gappy}), max({'t': ts, 'v': gappy})]) AS s FROM placed GROUP BY pixel "
+       "UNION SELECT pixel, {'t': x.t, 'v': x.v} FROM (SELECT pixel, unnest([min({'v': gappy, 't': ts}), max({'v': gappy, 't': ts})]) AS x FROM placed GROUP BY pixel)) "
+       "SELECT s.t AS time, s.v AS value FROM kept")
+def chart_line_outline(spark, folder):
+    """What a drawing of 800 pixels needs of the line."""
+    return charts.line(wavy_events(spark, folder), "ts", "gappy", pixels=800)
 
 
 COSTED_LINEITEM = "(SELECT *, l_extendedprice * 0.5 - l_tax AS unit_cost FROM lineitem)"

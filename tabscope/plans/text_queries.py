@@ -145,6 +145,19 @@ def vector_topk_with_zeros(spark, folder):
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("interval_join_open",
+       "SELECT n_nationkey, count(*) AS n FROM events JOIN nation ON value >= CASE WHEN n_nationkey % 5 = 0 THEN '-infinity'::DOUBLE ELSE n_nationkey END "
+       "AND value < CASE WHEN n_nationkey % 7 = 0 THEN 'infinity'::DOUBLE ELSE n_nationkey * n_nationkey END GROUP BY n_nationkey")
+def interval_join_open(spark, folder):
+    """Intervals of very different lengths, some open at one end or both."""
+    key = F.col("n_nationkey")
+    ranges = table(spark, folder, "nation").select(
+        "n_nationkey", F.when(key % 5 == 0, float("-inf")).otherwise(key.cast("double")).alias("low"),
+        F.when(key % 7 == 0, float("inf")).otherwise((key * key).cast("double")).alias("high"),
+    )
+    return interval_join(table(spark, folder, "events"), ranges, "value", "low", "high").groupBy("n_nationkey").agg(F.count("*").alias("n"))
+
+
 @query("interval_join",
        "SELECT n_nationkey, count(*) AS n, round(sum(value), 2) AS total FROM events "
        "JOIN nation ON value >= n_nationkey * 4 AND value < n_nationkey * 4 + 3 GROUP BY n_nationkey")
@@ -152,7 +165,7 @@ def interval_joined(spark, folder):
     ranges = table(spark, folder, "nation").select(
         "n_nationkey", (F.col("n_nationkey") * 4).alias("low"), (F.col("n_nationkey") * 4 + 3).alias("high")
     )
-    joined = interval_join(table(spark, folder, "events"), ranges, "value", "low", "high", 4.0)
+    joined = interval_join(table(spark, folder, "events"), ranges, "value", "low", "high")
     return joined.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

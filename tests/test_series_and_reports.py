@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import charts, contexts, documents, findings, frequency, ordering, profile, series, sqltext, vectors
 from tabscope.operators.asof import asof_join
+from tabscope.operators.intervals import interval_join
 from tabscope.plans.analyze import analyze
 
 
@@ -139,6 +140,11 @@ def test_charts(spark):
     assert len(shares) == 4 and abs(sum(r["share"] for r in shares) - 1) < 1e-5
     assert charts.bar(df, "x").count() == 20
     assert charts.line(df, "t", "y", every="DAY").count() == 334
+    every = charts.line(df, "t", "y", pixels=None).collect()
+    drawn = charts.line(df, "t", "y", pixels=25).collect()
+    assert len(every) == 4_000 and len(drawn) <= 100 and {tuple(r) for r in drawn} <= {tuple(r) for r in every}
+    assert {drawn[0], drawn[-1], max(drawn, key=lambda r: r["value"])} <= {every[0], every[-1], max(every, key=lambda r: r["value"])}
+    assert charts.line(df.where("id < 0"), "t", "y").count() == 0 and charts.line(df.where("id < 3"), "id", "x", pixels=1).count() == 2
     plan = charts.chart_plan(profile.column_types(df), spark.createDataFrame(
         [("x", "y", 0.99)], "col1 string, col2 string, correlation double"))
     kinds = [r["chart_type"] for r in plan.orderBy("place").collect()]
@@ -299,3 +305,17 @@ def test_analysis_without_numbers_or_times(spark):
     assert results["chi_square"].count() == 1
     assert {r["title"] for r in results["findings"].collect()} == {"Duplicate rows detected"}
     assert results["quality_score"].first()["quality_score"] == 80
+
+
+def test_interval_join_of_all_lengths(spark):
+    source, inf, nan = random.Random(6), math.inf, math.nan
+    points = [source.uniform(-50, 50) for _ in range(300)] + [7.0] * 100 + [0.0, -inf, inf, nan, None, 1e300, -1e-300, 4.0]
+    spans = [(x, x + 10 ** source.uniform(-6, 3)) for x in (source.uniform(-60, 60) for _ in range(60))]
+    spans += [(-inf, inf), (-inf, 0.0), (4.0, inf), (5.0, 5.0), (6.0, 2.0), (nan, 1.0), (None, 1.0), (0.0, nan), (1e15, 1e15 + 0.25), (-1e300, 1e300), (0.0, 4.0)]
+    left = spark.createDataFrame(list(enumerate(points)), "p long, x double").repartition(3)
+    right = spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "s long, low double, high double")
+    found = {(r["p"], r["s"]) for r in interval_join(left, right, "x", "low", "high").collect()}
+    want = {(i, j) for i, x in enumerate(points) for j, (a, b) in enumerate(spans) if None not in (x, a, b) and a <= x < b}
+    assert found == want
+    assert interval_join(left, right.where("false"), "x", "low", "high").count() == 0
+    assert interval_join(left, right.where("s = 60"), "x", "low", "high").count() == sum(x is not None and -inf <= x < inf for x in points)
