@@ -11,8 +11,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import pairwise
 from math import isqrt, prod
 
@@ -29,6 +31,8 @@ DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 HEX = DIGITS + "abcdef"
+#: What stands for a sign in a secret; a quotation mark would end it.
+SIGNS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Most characters of a secret that are permuted as one number; longer ones are cut evenly.
 SECRET = 128
@@ -36,7 +40,8 @@ SECRET = 128
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
-    ("password", r"(?i:\b(?:password|passwd|pwd|secret|api_?key|access_?token)\s?[=:]\s?[\"']?)[^\s\"']{6,}"),
+    ("password", r"(?i:\b(?:password|passwd|pwd|secret|api_?key|access_?token|token(?!\s?[=:]\s?[\"'][0-9a-f]{32,64}[\"']))\s?[=:]\s?[\"']?)[^\s\"']{6,}"
+     r"|(?i:\bbearer\s)[^\s\"']{16,}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("hex_token", r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -56,7 +61,7 @@ GROUPED = {
 #: How card numbers are usually grouped: tried before other groupings, all of which are tried.
 USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}", re.ASCII)
 #: A text without any of these characters has no personal data of these kinds.
-HINTS = re.compile(r"[0-9@=:]")
+HINTS = re.compile(r"[0-9@=:]|[Bb][Ee][Aa][Rr][Ee][Rr]|eyJ")
 
 
 class Cipher:
@@ -100,15 +105,27 @@ class Cipher:
             out.append(alphabet[at])
         return "".join(reversed(out))
 
-    def by_class(self, text: str, tweak: str) -> str:
-        """Permute digits among digits, letters among letters of the same case; all else stays."""
+    def by_class(self, text: str, tweak: str, secret: bool = False) -> str:
+        """Permute digits among digits, letters among letters of the same case; all else stays, but not in a ``secret``."""
         kinds = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), None) for c in text]
+        if secret:
+            kinds = [a or kin(c) for c, a in zip(text, kinds, strict=True)]
         moved = iter(self.characters(
             "".join(c for c, a in zip(text, kinds, strict=True) if a), [a for a in kinds if a], tweak
         ))
         return "".join(next(moved) if a else c for c, a in zip(text, kinds, strict=True))
 
 
+@lru_cache(maxsize=4096)
+def kin(char: str) -> str:
+    """The characters that may stand for this one in a secret: signs, or those of its Unicode category nearby."""
+    if char in SIGNS:
+        return SIGNS
+    first, kind = ord(char) & ~0xFF, unicodedata.category(char)
+    near = (c for c in map(chr, range(first, first + 256)) if unicodedata.category(c) == kind and not c.isspace())
+    return "".join(c for c in near if c.isascii() == char.isascii())
+
+
 def refill(shape: str, symbols: str) -> str:
     """The letters and digits of ``shape`` replaced in order."""
     rest = iter(symbols)
@@ -134,14 +151,15 @@ def _email(cipher: Cipher, text: str) -> str:
 
 
 def _password(cipher: Cipher, text: str) -> str:
-    head = re.match(r"\w+\s?[=:]\s?[\"']?", text).end()
+    found = re.match(r"(?i:bearer\s)|\w+\s?[=:]\s?[\"']?", text)
+    head = found.end() if found else 0  # a token may stand alone
     value = text[head:]
     if len(value) <= SECRET:
-        return text[:head] + cipher.by_class(value, "password")
+        return text[:head] + cipher.by_class(value, "password", secret=True)
     parts = -(-len(value) // SECRET)
     cuts = [len(value) * i // parts for i in range(parts + 1)]
     return text[:head] + "".join(
-        cipher.by_class(value[a:b], f"password {i} of {parts}") for i, (a, b) in enumerate(pairwise(cuts))
+        cipher.by_class(value[a:b], f"password {i} of {parts}", secret=True) for i, (a, b) in enumerate(pairwise(cuts))
     )
 
 
@@ -319,6 +337,8 @@ def pseudonymize(docs: DataFrame, key: bytes, found: str | None = None) -> DataF
 
     ``found`` names a column to add: a map from kind to the number replaced. A null text stays null. A value that
     fails its validation stays as it is, but for valid ones in it. Rows are independent: no shuffle, equal values agree because the key does.
+    Repeated rows come out each, an empty text stays empty, texts of any length are read whole, other columns may have any
+    name but that of ``found``; an empty table gives no row.
     """
     names = [c for c in docs.columns if c != "text"]
     fields = [*(docs.schema[c] for c in names), T.StructField("text", T.StringType())]

@@ -44,6 +44,21 @@ def test_valid_values_inside_failed_matches_are_moved():
     assert new == replace("+44 20 7946 0958")[0] + " 1234 5678" and counts == {"foreign_phone": 1}
 
 
+def test_secrets_of_any_characters_are_moved():
+    replace = pii.Pseudonymizer(b"k")
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for head, secret in (("password=", "секретныйключ"), ("api_key=", "!!!!####$$$$"), ("password: ", "пароль123456"), ("pwd=", "日本語日本語"),
+                         ("token=", "abcdefgh12"), ("Authorization: Bearer ", token), ("see ", token), ("bearer ", "abcdefghijklmnopqrst")):
+        new, counts = replace(f"{head}{secret} end")
+        moved = new.removeprefix(head).removesuffix(" end")
+        assert counts == {"password": 1} and new.startswith(head) and len(moved) == len(secret)
+        assert sum(a == b for a, b in zip(secret, moved, strict=True)) <= len(secret) // 2 and not set(moved) & set(" \t\"'")
+        assert replace(f"x {head}{secret} y")[0] == f"x {head}{moved} y"
+    assert all(c in pii.kin(c) and len(pii.kin(c)) > 1 for c in "é日!|ы٣") and "a" not in pii.kin("é")
+    values = ["".join(p) for p in combinations("éèàù!", 3)]
+    assert len({pii.Cipher(b"k").by_class(v, "t", secret=True) for v in values}) == len(values)
+
+
 def test_long_secrets_are_moved_whole():
     replace = pii.Pseudonymizer(b"k")
     for size in (6, 128, 129, 300, 5000):
