@@ -4,7 +4,8 @@ The corpus is counted in one pass: words, and byte contexts of order 3 with the
 sums of it. Escape probabilities follow method C, with symbol exclusion: a context that has seen ``d`` symbols in
 ``n`` events escapes with ``d / (n + d)``, and a lower order then shares that among the symbols not yet excluded.
 Since the trie is fixed while texts are scored, each context's whole distribution is computed once, as a row of a
-table, and a text's code length is a sum of table entries.
+table, and a text's code length is a sum of table entries. Every counted context is used: frequent ones and all of
+order 2 are looked up in a shared table, all others are rows of a distributed one, joined to the events that need them.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from tabscope.llm.textbytes import LOWER, Rolling, byte_array, words
 
 #: The end of a text as a symbol: a byte that UTF-8 never has.
 END = 0xFF
-#: Contexts of order 3 and 2 in the trie: those with at least this part of all events, so at most as many contexts.
-CONTEXTS_3, CONTEXTS_2 = 1 << 15, 1 << 14
+#: Contexts of order 3 that every task gets: those with at least this part of all events. All others are joined.
+FREQUENT_CONTEXTS = 1 << 15
 #: Words whose counts every task gets: those with at least this part of all words. All others are joined.
 FREQUENT_WORDS = 1 << 17
 #: Events and words a task gathers before it counts them.
@@ -110,9 +111,36 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("occurrences").alias("occurrences"))
 
 
+class Counts(NamedTuple):
+    """Counts of the symbols after contexts of one order: contexts ascending, each with a range of the other two."""
+
+    contexts: np.ndarray
+    starts: np.ndarray
+    symbols: np.ndarray
+    numbers: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, numbers: np.ndarray) -> Counts:
+        """From grams (context and symbol as one number) in any order."""
+        order = np.argsort(grams)
+        contexts, starts = np.unique(grams[order] >> 8, return_index=True)
+        return cls(contexts, np.append(starts, len(grams)), (grams[order] & 255).astype(np.uint8), numbers[order].astype(np.float64))
+
+    def rows(self, contexts: np.ndarray) -> np.ndarray:
+        """Counts of the 256 symbols, a row for each context; none after one that was never seen."""
+        found = np.zeros((len(contexts), 256))
+        if not len(self.contexts):
+            return found
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        sizes = np.where(self.contexts[at] == contexts, self.starts[at + 1] - self.starts[at], 0)
+        cells = np.arange(sizes.sum()) + np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes)
+        found[np.repeat(np.arange(len(contexts)), sizes), self.symbols[cells]] = self.numbers[cells]
+        return found
+
+
 class Trie(NamedTuple):
-    """Contexts of order 3 and 2, and the logarithm (base 10) of each symbol's probability: a row for each of
-    them, then for the 256 contexts of order 1.
+    """The shared part: frequent contexts of order 3, all of order 2, and the logarithm (base 10) of each symbol's
+    probability: a row for each of them, then for the 256 contexts of order 1.
     """
 
     contexts_3: np.ndarray
@@ -122,7 +150,7 @@ class Trie(NamedTuple):
     def index(self) -> np.ndarray:
         """The row of each three-byte context: of its longest suffix in the trie."""
         three, two = len(self.contexts_3), len(self.contexts_2)
-        rows = np.tile(np.arange(256, dtype=np.uint16) + np.uint16(three + two), 256)
+        rows = np.tile(np.arange(256, dtype=np.uint32) + np.uint32(three + two), 256)
         rows[self.contexts_2] = np.arange(three, three + two)
         rows = np.tile(rows, 256)
         rows[self.contexts_3] = np.arange(three)
@@ -157,62 +185,89 @@ def distributions(orders: list[np.ndarray]) -> np.ndarray:
     return np.log10(chances).astype(np.float32)
 
 
-def build_trie(counts: DataFrame) -> Trie:
-    """The trie of the counted contexts (kind 1 of ``corpus_counts``).
+def gram_counts(counts: DataFrame, order: int) -> DataFrame:
+    """``gram, n`` of one order: sums of the grams of order 3 (kind 1 of ``corpus_counts``)."""
+    gram = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+    return counts.where("kind = 1").groupBy(gram.alias("gram")).agg(F.sum("occurrences").alias("n"))
+
+
+def lower_orders(counts: DataFrame) -> list[Counts]:
+    """Counts of orders 2, 1 and 0. Their size is bounded by the bytes: 65,536 contexts of at most 256 symbols."""
+    rows = gram_counts(counts, 2).toPandas()
+    grams, numbers = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    found = [Counts.of(grams, numbers)]
+    for mask in (0xFFFF, 0xFF):
+        names, place = np.unique(grams & mask, return_inverse=True)
+        found.append(Counts.of(names, np.bincount(place, numbers, len(names))))
+    return found
+
+
+def all_orders(lower: list[Counts], contexts: np.ndarray) -> list[np.ndarray]:
+    """Counts of the symbols after the suffixes of contexts: the last two bytes, the last byte, none."""
+    return [c.rows(contexts & mask) for c, mask in zip(lower, (0xFFFF, 0xFF, 0), strict=True)]
+
+
+def by_context(counts: DataFrame) -> DataFrame:
+    """``context, seen array<struct<symbol, n>>, frequent`` of each context of order 3; at most 256 symbols each."""
+    total = counts.where("kind = 1").agg(F.sum("occurrences")).first()[0] or 0
+    symbol = F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), F.col("occurrences").alias("n"))
+    grams = counts.where("kind = 1").select(F.shiftright("key", 8).alias("context"), symbol.alias("s"))
+    return grams.groupBy("context").agg(
+        (F.sum("s.n") >= total / FREQUENT_CONTEXTS).alias("frequent"), F.collect_list("s").alias("seen")
+    )
 
-    What comes to the driver is bounded by the numbers of contexts, whatever the corpus: a context needs its part of
-    all events, and a shorter one stands for those that don't have it.
-    """
-    pairs = counts.where("kind = 1").select("key", "occurrences")
-    total = pairs.agg(F.sum("occurrences")).first()[0] or 0
-
-    def kept(bytes_of_context: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mask = (1 << 8 * (bytes_of_context + 1)) - 1
-        grams = pairs.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("occurrences").alias("n"))
-        context = F.shiftright("gram", 8)
-        heavy = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= total / most)
-        rows = grams.withColumn("context", context).join(heavy, "context").select("gram", "n").toPandas()
-        rows = rows.sort_values("gram")
-        grams, numbers = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-        names = np.unique(grams >> 8)
-        return names, np.searchsorted(names, grams >> 8) * 256 + (grams & 255), numbers
-
-    def dense(size: int, cells: np.ndarray, numbers: np.ndarray, first: int, last: int) -> np.ndarray:
-        out = np.zeros((last - first, 256))
-        inside = slice(*np.searchsorted(cells, (first * 256, last * 256)))
-        out.flat[cells[inside] - first * 256] = numbers[inside]
-        return out
-
-    names_3, cells_3, numbers_3 = kept(3, CONTEXTS_3)
-    names_2, cells_2, numbers_2 = kept(2, CONTEXTS_2)
-    names_1, cells_1, numbers_1 = kept(1, 1 << 60)
-    one = np.zeros((256, 256))
-    one[names_1] = dense(len(names_1), cells_1, numbers_1, 0, len(names_1))
-    zero = one.sum(axis=0, keepdims=True)
-    two = np.vstack([dense(len(names_2), cells_2, numbers_2, 0, len(names_2)), np.zeros((1, 256))])
-
-    def two_of(contexts: np.ndarray) -> np.ndarray:
-        """Counts of order 2; none for a context that isn't in the trie, so all its mass passes on."""
-        at = np.searchsorted(names_2, contexts)
-        found = (at < len(names_2)) & (np.append(names_2, -1)[at] == contexts)
-        return two[np.where(found, at, len(names_2))]
 
+def build_trie(counts: DataFrame, lower: list[Counts] | None = None) -> Trie:
+    """The shared trie of ``corpus_counts``. Of order 3 it has contexts with their part of all events, so that what comes
+    to the driver is bounded whatever the corpus; ``rare_distributions`` has all others.
+    """
+    lower = lower or lower_orders(counts)
+    rows = by_context(counts).where("frequent").select("context", F.inline("seen")).toPandas()
+    names = rows["context"].to_numpy(np.int64)
+    three = Counts.of(names << 8 | rows["symbol"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    two = lower[0].contexts
     parts = []
-    for first in range(0, len(names_3), 2048):
-        names = names_3[first : first + 2048]
-        counts_3 = dense(len(names_3), cells_3, numbers_3, first, first + len(names))
-        parts.append(distributions([counts_3, two_of(names & 0xFFFF), one[names & 0xFF], np.repeat(zero, len(names), 0)]))
-    for first in range(0, len(names_2), 2048):
-        names = names_2[first : first + 2048]
-        parts.append(distributions([two[first : first + len(names)], one[names & 0xFF], np.repeat(zero, len(names), 0)]))
-    parts.append(distributions([one, np.repeat(zero, 256, 0)]))
-    return Trie(names_3, names_2, np.vstack(parts))
-
-
-def code_length(lowered: bytes, table: np.ndarray, index: np.ndarray) -> float:
-    """Log10 probability of a text and its end."""
+    for first in range(0, len(three.contexts), 2048):
+        some = three.contexts[first : first + 2048]
+        parts.append(distributions([three.rows(some), *all_orders(lower, some)]))
+    for first in range(0, len(two), 2048):
+        parts.append(distributions(all_orders(lower, two[first : first + 2048])))
+    parts.append(distributions(all_orders(lower, np.arange(256))[1:]))
+    return Trie(three.contexts, two, np.vstack(parts))
+
+
+def rare_distributions(counts: DataFrame, lower: list[Counts]) -> DataFrame:
+    """``context, logs``: the 256 logarithms for each context of order 3 that the trie hasn't."""
+    shared = counts.sparkSession.sparkContext.broadcast(lower)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, seen = batch.column(0).to_numpy(), batch.column(1)
+            cells = seen.flatten()
+            owner = np.repeat(np.arange(len(names)), seen.value_lengths().to_numpy())
+            own = np.zeros((len(names), 256))
+            own[owner, cells.field(0).to_numpy()] = cells.field(1).to_numpy()
+            logs = distributions([own, *all_orders(shared.value, names)])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, 256, dtype=np.int32)), pa.array(logs.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["context", "logs"])
+
+    small_batches(counts.sparkSession)
+    return by_context(counts).where("NOT frequent").select("context", "seen").mapInArrow(run, "context bigint, logs array<float>")
+
+
+def code_length(lowered: bytes, table: np.ndarray, index: np.ndarray, shared: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 probability of the events of a text and its end whose context is among the ``shared`` of order 3.
+
+    Of all others, the distinct grams, how often each is there, and its logarithm if the context was never counted.
+    """
     contexts, symbols = events(lowered)
-    return float(table[index[contexts], symbols].sum(dtype=np.float64))
+    rows = index[contexts]
+    logs = table[rows, symbols]
+    joined = rows >= shared
+    grams, first, times = np.unique(
+        contexts[joined].astype(np.int64) << 8 | symbols[joined], return_index=True, return_counts=True
+    )
+    return float(logs[~joined].sum(dtype=np.float64)), grams, times, logs[joined][first]
 
 
 def score(docs: DataFrame, parts: int = 10) -> DataFrame:
@@ -220,12 +275,13 @@ def score(docs: DataFrame, parts: int = 10) -> DataFrame:
 
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. A null or empty text is one end token.
     Repeated rows are scored each; with no rows to learn from all words are unknown and bytes are equally likely.
-    Other columns are ignored. Words of all texts are counted; frequent ones are looked up in a bounded table, all
-    others by a join on the word.
+    Other columns are ignored. Words and contexts of all texts are counted and used; frequent ones are looked up in a
+    bounded table, all others by a join on the word or the context.
     """
     training = docs.where(~held_out("doc_id", parts))
     counts = stored(corpus_counts(training), "corpus-counts")
-    trie = build_trie(counts)
+    lower = lower_orders(counts)
+    trie = build_trie(counts, lower)
     vocabulary = counts.where("kind = 0").select(F.col("key").alias("token"), "occurrences")
     sizes = vocabulary.agg(F.sum("occurrences").alias("n"), F.count("*").alias("v")).first()
     total, kinds = sizes.n or 0, sizes.v
@@ -246,17 +302,18 @@ def score(docs: DataFrame, parts: int = 10) -> DataFrame:
             at = np.searchsorted(tokens, own)
             known = (tokens[at] == own) & (at < len(numbers))
             rare, times = np.unique(own[~known], return_counts=True)
+            shared_score, grams, seen, otherwise = code_length(lowered, model.table, index, len(model.contexts_3))
             return (
-                doc_id, held, len(own), int(known.sum()), float(logs[at[known]].sum()),
-                code_length(lowered, model.table, index),
+                doc_id, held, len(own), int(known.sum()), float(logs[at[known]].sum()), shared_score,
                 [{"token": t, "times": n} for t, n in zip(rare.tolist(), times.tolist(), strict=True)],
+                [{"gram": g, "times": n, "otherwise": x} for g, n, x in zip(grams.tolist(), seen.tolist(), otherwise.tolist(), strict=True)],
             )
 
         return work
 
     schema = (
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_frequent bigint, frequent_sum double, score double, "
-        "rare array<struct<token: bigint, times: bigint>>"
+        "doc_id bigint, held_out boolean, n_tokens bigint, n_frequent bigint, frequent_sum double, shared_score double, "
+        "rare array<struct<token: bigint, times: bigint>>, grams array<struct<gram: bigint, times: int, otherwise: float>>"
     )
     scored = map_rows(docs, ["doc_id", held_out("doc_id", parts).alias("held_out"), octets()], schema, start)
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -268,10 +325,16 @@ def score(docs: DataFrame, parts: int = 10) -> DataFrame:
             F.sum(F.when(F.col("occurrences").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
         )
     )
+    log = F.coalesce(F.get("logs", F.col("gram").bitwiseAND(F.lit(255)).cast("int")), F.col("otherwise"))
+    joined = (
+        scored.select("row", F.inline("grams")).withColumn("context", F.shiftright("gram", 8))
+        .join(rare_distributions(counts, lower), "context", "left")
+        .groupBy("row").agg(F.sum(F.col("times") * log.cast("double")).alias("joined_score"))
+    )
     norm = float(np.log10(total + SMOOTHING * (kinds + 1)))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.drop("rare", "grams").join(rare, "row", "left").join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("frequent_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
+        (F.col("shared_score") + F.coalesce("joined_score", F.lit(0.0))).alias("score"),
     )

@@ -1,10 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import words_of
+from helpers import prose, words_of
 
 from tabscope.llm import ppm
 
@@ -64,6 +65,32 @@ def test_ppm_of_short_texts(spark, rows):
         assert math.isclose(r["score"], brute_ppm(texts, dict(short)[r["doc_id"]]), rel_tol=1e-5), r
 
 
+def test_joined_contexts(spark, rows, monkeypatch):
+    monkeypatch.setattr(ppm, "FREQUENT_CONTEXTS", 20)
+    short = [(r[0], r[1]) for r in rows if r[1] is not None and len(r[1]) < 120][:14]
+    df = spark.createDataFrame(short, "doc_id long, text string")
+    texts = [t for i, t in short if training(i)]
+    assert ppm.rare_distributions(ppm.corpus_counts(df), ppm.lower_orders(ppm.corpus_counts(df))).count() > 50
+    for r in ppm.score(df).collect():
+        assert math.isclose(r["score"], brute_ppm(texts, dict(short)[r["doc_id"]]), rel_tol=1e-5), r
+
+
+def test_minority_language(spark):
+    source = random.Random(4)
+    rows = [(i, prose(source, 600)) for i in range(70)]
+    rows += [(100 + i, " ".join("".join(source.choice("äöüßqxyzjkvw") for _ in range(5)) for _ in range(40))) for i in range(20)]
+    rows += [(200 + i, t) for i, t in enumerate(r[1] for r in rows[70:75])]  # repeated texts under other ids
+    texts = [t for i, t in rows if training(i)]
+    assert sum(len(t.encode()) + 1 for t in texts) > 100_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS score", "3 AS context")
+    counts = ppm.corpus_counts(df.where(~ppm.held_out("doc_id", 10)))
+    assert ppm.rare_distributions(counts, ppm.lower_orders(counts)).count() > 100
+    scores = {r["doc_id"]: r["score"] for r in ppm.score(df).collect()}
+    assert len(scores) == len(rows)
+    for doc_id in (0, 101, next(i for i, _ in rows if i >= 100 and not training(i))):
+        assert math.isclose(scores[doc_id], brute_ppm(texts, dict(rows)[doc_id]), rel_tol=1e-5)
+
+
 def test_distributions_sum_to_one(docs):
     trie = ppm.build_trie(ppm.corpus_counts(docs))
     assert np.allclose((10.0 ** trie.table.astype(float)).sum(axis=1), 1.0, atol=1e-4)
