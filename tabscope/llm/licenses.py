@@ -8,7 +8,9 @@ another of the same or a higher priority is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import groupby
 from typing import NamedTuple
 
 import ahocorasick
@@ -157,14 +159,39 @@ class Detection(NamedTuple):
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Drop each detection whose interval lies inside one of the same or a higher priority; equal ones keep the first."""
+    """Drop each detection whose interval lies inside one of the same or a higher priority; equal ones keep the first.
+
+    Of the kept intervals, those that lie in no other one are held in order: their begins and ends ascend together, so
+    only the last of them that begins no later than a detection may contain it.
+    """
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (d.priority, d.begin - d.end, d.begin, d.label)):
-        if not any(k.begin <= d.begin and d.end <= k.end for k in kept):
-            kept.append(d)
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, level in groupby(sorted(found, key=lambda d: d.priority), lambda d: d.priority):
+        widest = 0
+        outer: list[Detection] = []
+        for d in sorted(level, key=lambda d: (d.begin, -d.end, d.label)):
+            if d.end <= widest:  # an earlier or equal begin reaches as far
+                continue
+            at = bisect_right(begins, d.begin) - 1
+            if at < 0 or ends[at] < d.end:
+                outer.append(d)
+                widest = d.end
+        kept += outer
+        begins, ends = _maximal(sorted([*zip(begins, ends, strict=True), *((d.begin, d.end) for d in outer)], key=lambda x: (x[0], -x[1])))
     return sorted(kept, key=lambda d: (d.begin, d.end))
 
 
+def _maximal(intervals: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of intervals (ordered by begin, the longest first) that lie in no other one."""
+    begins, ends = [], []
+    for begin, end in intervals:
+        if not ends or end > ends[-1]:
+            begins.append(begin)
+            ends.append(end)
+    return begins, ends
+
+
 #: Marks of comments and quotes at the beginning of a line.
 MARK = r"(?:(?:[*#;>|%!]+|/\*+|--+|dnl|rem)(?=\s)|//+!?)"
 _LINE = rf"[^\S\n]*\n[^\S\n]*{MARK}?"

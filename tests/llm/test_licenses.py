@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from helpers import SCHEMA, row
 
@@ -79,6 +81,24 @@ def test_contained_detections_are_suppressed():
     assert [d.label for d in licenses.resolve(found)] == ["a", "c", "d"]
 
 
+def test_suppression_against_all_pairs():
+    source = random.Random(2)
+
+    def detection(places, length):
+        begin = source.randrange(places)
+        return Detection(source.choice("abc"), begin, begin + source.randrange(1, length), source.randrange(5))
+
+    for _ in range(3000):
+        found = [detection(20, 9) for _ in range(source.randrange(14))]
+        kept = []
+        for d in sorted(found, key=lambda d: (d.priority, d.begin - d.end, d.begin, d.label)):
+            if not any(k.begin <= d.begin and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert licenses.resolve(found) == sorted(kept, key=lambda d: (d.begin, d.end))
+    many, start = [detection(1_000_000, 99) for _ in range(100_000)], time.monotonic()
+    assert licenses.resolve(many) and time.monotonic() - start < 20
+
+
 def test_base_places(spark, docs, rows, nothing):
     texts = [
         "MIT License, mit-license! The APACHE\nlicense.", "General Public License", "general public licenses", "mit_license mit-License", None,
