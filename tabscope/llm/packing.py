@@ -17,7 +17,7 @@ from tabscope.llm.textbytes import byte_array, words
 
 #: Tokens of a batch, padding included, and number of buckets.
 BUDGET, BUCKETS = 16_384, 16
-#: Lengths above this are rounded up, by less than a part in ``FINE``, so the histogram is bounded.
+#: With ``rounded``, lengths above this are rounded up, by less than a part in ``FINE``.
 EXACT, FINE = 8192, 512
 #: Documents numbered in one part of a bucket, about.
 PART = 250_000
@@ -76,31 +76,36 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return [int(lengths[e - 1]) for e in reversed(ends)]
 
 
-def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS, rounded: bool = False) -> DataFrame:
     """A batch and a slot for each document.
 
     ``doc_id, n_tokens, bucket_length, batch_id, slot``. The padded size of a batch (documents times bucket length) is
     at most ``budget``, except for a document longer than it, which is a batch alone. A null, empty or blank text has
-    no tokens and no batch (nulls). Within a bucket, documents are ordered by a hash of the id; repeated rows each get
-    a slot. Only ids and lengths are shuffled.
+    no tokens and no batch (nulls). Within a bucket, the order is by hash; repeated rows and rows without an id each get
+    a slot, spread like all others. Only ids and lengths are shuffled. Other columns are ignored; of an empty table the
+    result is empty.
+
+    The driver gets the histogram of distinct lengths. There are fewer than the root of twice all tokens, since ``d``
+    different lengths add up to at least d * d / 2. ``rounded`` makes them fewer still, at the cost of padding.
     """
-    sizes = word_counts(docs)
-    sizes = stored(sizes.withColumn("length", rounded_length(F.col("n_tokens"))), "lengths")  # read four times
+    length = rounded_length(F.col("n_tokens")) if rounded else F.col("n_tokens")
+    row = F.monotonically_increasing_id()
+    sizes = stored(word_counts(docs).withColumn("length", length).withColumn("row", row), "lengths")  # read four times
     histogram = sizes.where("length > 0").groupBy("length").agg(F.count("*").alias("documents")).orderBy("length")
-    found = histogram.toPandas()  # bounded, see EXACT
+    found = histogram.toPandas()
     lengths, counts = found["length"].to_numpy(np.int64), found["documents"].to_numpy(np.int64)
     bounds = optimal_boundaries(lengths, counts, buckets) if len(lengths) else []
     bucket = F.coalesce(*(F.when(F.col("length") <= b, F.lit(b)) for b in bounds)) if bounds else F.lit(None)
     parts = max(8, -(-int(counts.sum()) // PART))
-    draw = F.xxhash64("doc_id")
+    draw = F.xxhash64("doc_id", "row")
     placed = sizes.select(
         "doc_id", "n_tokens", F.when(F.col("length") > 0, bucket).cast("bigint").alias("bucket_length"),
-        draw.alias("draw"), F.pmod(draw, F.lit(parts)).alias("part"),
+        "row", draw.alias("draw"), F.pmod(draw, F.lit(parts)).alias("part"),
     )
     totals = placed.where("bucket_length is not null").groupBy("bucket_length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket_length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("bucket_length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket_length", "part").orderBy("draw", "doc_id", "n_tokens")
+    inside = Window.partitionBy("bucket_length", "part").orderBy("draw", "row")
     numbered = placed.where("bucket_length is not null").withColumn("number", F.row_number().over(inside) - 1).join(
         offsets, ["bucket_length", "part"]
     ).withColumn("number", F.col("number") + F.col("offset"))

@@ -129,6 +129,17 @@ def test_batches_fit_the_budget(docs, rows, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_exact_lengths_and_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 10)
+    texts = [(None, "a b c")] * 40 + [(7, "a b c")] * 40 + [(8, "x " * 8193), (9, "x " * 8199)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS length", "3 AS row")
+    found = packing.pack(df, budget=12, buckets=3).collect()
+    assert {r["bucket_length"] for r in found} == {3, 8193, 8199}
+    short = [(r["batch_id"], r["slot"]) for r in found if r["bucket_length"] == 3]
+    assert len(set(short)) == len(short) == 80 and {b for b, _ in short} == set(range(20))
+    assert len({r["bucket_length"] for r in packing.pack(df, rounded=True).collect()}) == 2
+
+
 def test_long_lengths_are_rounded_up(spark):
     df = spark.createDataFrame([(x,) for x in (1, 8192, 8193, 100_000, 12_345_678)], "n long")
     rounded = [r[0] for r in df.select(packing.rounded_length(df["n"])).collect()]
