@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.bounded import column_ref
 from tabscope.session import materialize
@@ -13,14 +13,14 @@ from tabscope.session import materialize
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
-def range_sorted(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def range_sorted(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """The rows in order over range partitions, with the partition and the row number in it.
 
     All order columns take part in the range split, so rows that tie on the first column are
     still spread by the next one. The table is written to reliable storage: partition numbers
     are then data and cannot change between the passes that use them.
     """
-    order = [column_ref(c) for c in order_by]
+    order = [c if isinstance(c, Column) else column_ref(c) for c in order_by]
     numbered = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)

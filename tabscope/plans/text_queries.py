@@ -8,6 +8,7 @@ from tabscope.functions.text import WHITESPACE
 from tabscope.operators import documents, sqltext, vectors
 from tabscope.operators.asof import asof_join
 from tabscope.operators.intervals import interval_join
+from tabscope.operators.windows import windowed
 from tabscope.plans.registry import query, table
 
 SPACE = f"'{WHITESPACE}'"
@@ -336,3 +337,34 @@ def asof(spark, folder):
         "user_id", F.col("ts").alias("error_ts"), F.col("event_id").alias("error_id")
     )
     return asof_join(left, right, "user_id", "ts", "error_ts", ["error_ts", "error_id"], how="left")
+
+
+@query("windowed_ranks",
+       "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, row_number() OVER o AS nth, rank() OVER w AS place, "
+       "dense_rank() OVER w AS level FROM lineitem "
+       "WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC), "
+       "o AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC, l_orderkey, l_linenumber)")
+def windowed_ranks(spark, folder):
+    """Three keys for all rows: each has about a third or more."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return windowed(
+        lines, ["l_returnflag"], ["l_quantity"], descending=["l_quantity"],
+        ranks={"nth": "row_number", "place": "rank", "level": "dense_rank"},
+    )
+
+
+@query("windowed_frames",
+       "SELECT event_id, event_type, cents, sum(cents) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS running, "
+       "min(cents) OVER (w ROWS UNBOUNDED PRECEDING) AS lowest, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS so_far, "
+       "sum(cents) OVER (w ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)::BIGINT AS near, "
+       "max(cents) OVER (w ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS high "
+       "FROM (SELECT event_id, event_type, ts, round(value * 100)::BIGINT AS cents FROM events) "
+       "WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
+def windowed_frames(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    found = windowed(
+        events, ["event_type"], ["ts", "event_id"],
+        running={"running": ("sum", "cents"), "lowest": ("min", "cents"), "so_far": ("count", "event_id")},
+        frames={"near": ("sum", "cents", 3, 2), "high": ("max", "cents", 10, 0)},
+    )
+    return found.drop("ts")
