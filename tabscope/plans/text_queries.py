@@ -34,9 +34,17 @@ def sectioned(spark, folder):
     ).alias("report"))
 
 
-SECTION_CASE = "CASE WHEN length(low) >= 50 THEN NULL " + " ".join(
-    f"WHEN contains(low, '{keyword}') THEN '{section}'" for keyword, section in documents.SECTION_KEYWORDS
-) + " END"
+#: The words of a header line and the section they open, the first that is found.
+SECTION_CASE = (
+    "CASE WHEN length(low) >= 50 THEN NULL "
+    "WHEN contains(low, 'executive summary') THEN 'executive_summary' "
+    "WHEN contains(low, 'data quality') THEN 'data_quality' "
+    "WHEN contains(low, 'key findings') THEN 'key_findings' "
+    "WHEN contains(low, 'key statistical') THEN 'key_findings' "
+    "WHEN contains(low, 'patterns') THEN 'patterns' "
+    "WHEN contains(low, 'relationships') THEN 'patterns' "
+    "WHEN contains(low, 'recommendations') THEN 'recommendations' END"
+)
 
 
 @query("split_sections",
