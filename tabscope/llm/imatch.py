@@ -25,8 +25,9 @@ from tabscope.llm.textbytes import LOWER, Rolling, byte_array, mixed, words
 #: The band: a term is in at least one of ``RARE`` distinct texts and in at most one of ``COMMON``. The lexicon thus has at
 #: most ``RARE`` times as many terms as a document has on average.
 RARE, COMMON = 8192, 20
-#: Random subsets of each density, and the densities (a term is in a subset with chance 2**-scale), sparse ones first.
-SUBSETS, SCALES = 24, (9, 7, 5, 3)
+#: Random subsets of each density. A term is in a subset with chance 2**-scale; scales go from ``DENSEST`` in steps of
+#: ``STEP`` to one at which even the whole lexicon leaves about a term a subset, so that no text is too long for all.
+SUBSETS, DENSEST, STEP = 24, 3, 2
 #: Densities are compared until this many subsets with terms have been seen.
 ENOUGH = 16
 #: Most bits of the filter that marks texts which may be repeated, and bits a row in small tables.
@@ -153,7 +154,10 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> tuple[np
 
 
 class Fingerprint(NamedTuple):
-    """Hash of all terms, then 16 bits for each subset (0: it has no term), sparse densities first."""
+    """Hash of all terms, then 16 bits for each subset (0: it has no term), a row for each density, dense ones first.
+
+    Densities from the first at which no subset has a term are left out: a longer text has more rows.
+    """
 
     whole: str
     subsets: np.ndarray
@@ -171,13 +175,24 @@ def fingerprint(text: str, band: np.ndarray) -> Fingerprint:
     else:
         own = own[:0]
     draws = mixed(own[:, None] ^ _SEEDS[None, :])
-    values = mixed(own + np.uint64(0x5851F42D4C957F2D))[:, None]
-    parts = []
-    for scale in SCALES:
+    at, subset = np.nonzero(draws < np.uint64(1 << 64 - DENSEST))
+    draws, values = draws[at, subset], mixed(own + np.uint64(0x5851F42D4C957F2D))[at]
+    parts: list[np.ndarray] = []
+    for scale in scales(len(band)):  # sparser subsets are parts of the denser ones
         member = draws < np.uint64(1 << 64 - scale)
-        digest = mixed(np.where(member, values, np.uint64(0)).sum(axis=0, dtype=np.uint64)) >> np.uint64(48)
-        parts.append(np.where(member.any(axis=0), np.maximum(digest, np.uint64(1)), np.uint64(0)))
-    return Fingerprint(whole, np.concatenate(parts).astype(np.uint16))
+        draws, values, subset = draws[member], values[member], subset[member]
+        if not len(draws):
+            break
+        sums = np.zeros(SUBSETS, np.uint64)
+        np.add.at(sums, subset, values)
+        digest = np.maximum(mixed(sums) >> np.uint64(48), np.uint64(1))
+        parts.append(np.where(np.bincount(subset, minlength=SUBSETS) > 0, digest, np.uint64(0)))
+    return Fingerprint(whole, np.array(parts, np.uint64).astype(np.uint16).reshape(-1, SUBSETS))
+
+
+def scales(size: int) -> range:
+    """The densities for a lexicon of that size, dense ones first."""
+    return range(DENSEST, max(DENSEST, (size - 1).bit_length()) + STEP, STEP)
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
@@ -188,8 +203,9 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     if a.whole == b.whole:
         return 1.0
     same = used = 0
-    for i in range(len(SCALES)):
-        own, other = (f.subsets[i * SUBSETS : (i + 1) * SUBSETS] for f in (a, b))
+    empty = np.zeros(SUBSETS, np.uint16)
+    for i in reversed(range(max(len(a.subsets), len(b.subsets)))):
+        own, other = (f.subsets[i] if i < len(f.subsets) else empty for f in (a, b))
         filled = (own > 0) | (other > 0)
         used += int(filled.sum())
         same += int((own[filled] == other[filled]).sum())

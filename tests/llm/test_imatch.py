@@ -60,3 +60,23 @@ def test_a_large_group_of_copies_keeps_its_terms(spark):
     assert found[300]["near_next"] < 1 and imatch.likeness(
         imatch.fingerprint(text, band), imatch.fingerprint(text.replace("copied80", "changed"), band)
     ) > 0.7
+
+
+@pytest.mark.parametrize("size", [300, 3_000, 30_000, 300_000])
+def test_likeness_does_not_depend_on_length(size):
+    lexical = np.sort(np.concatenate([imatch.terms(" ".join(f"{k}w{i}" for i in range(size))) for k in "abc"]))
+    own, following, other = (" ".join(f"{k}w{i}" for i in range(size)) for k in "abc")
+    text = imatch.fingerprint(own, lexical)
+    near = imatch.likeness(text, imatch.fingerprint(imatch.edited(own, following), lexical))
+    one = imatch.likeness(text, imatch.fingerprint(own.replace("aw7 ", "cw7 "), lexical))
+    assert near > 0.15 and one > 0.7
+    assert imatch.likeness(text, imatch.fingerprint(other, lexical)) < 0.05
+
+
+def test_texts_of_more_than_32_000_characters(spark):
+    source = random.Random(11)
+    rows = [row(i, " ".join("t%d" % source.randrange(9_000) for _ in range(9_000 if i < 6 else 60))) for i in range(60)]
+    found = {r["doc_id"]: r for r in imatch.fingerprint_edits(spark.createDataFrame(rows, SCHEMA), common=2).collect()}
+    assert all(found[i]["n_chars"] > 32_000 for i in range(6))
+    near = [found[i]["near_edited"] for i in range(1, 6)]
+    assert sum(near) / len(near) > 0.2
