@@ -108,3 +108,57 @@ def report_context(
     score_line = F.concat(F.lit("Quality score: "), F.col("quality_score").cast("string"), F.lit("/100"))
     parts.append(_part(len(listed) + 2, score, 0, score_line))
     return _all(parts)
+
+
+def _sections(listed: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """Numbered rows under their headings; a section without rows has no heading."""
+    parts = []
+    for number, (heading, rows, text) in enumerate(listed, 1):
+        parts += [_part(number, _some(rows), 0, heading), _part(number, rows, F.col("n_"), text)]
+    return _all(parts)
+
+
+def tests_context(normality: DataFrame, chi_square: DataFrame, correlations: DataFrame) -> DataFrame:
+    """The statistical results to be interpreted: normality, independence of pairs, high correlations.
+
+    Pairs that could not be tested are left out.
+    """
+    normal = F.concat(
+        F.lit("  "), F.col("column"), F.lit(": p="), number_text(F.col("p_value")),
+        F.when(F.col("is_normal"), " (normal), skew=").otherwise(" (not normal), skew="), number_text(F.col("skewness")),
+    )
+    related = F.concat(
+        F.lit("  "), F.col("col1"), F.lit(" vs "), F.col("col2"), F.lit(": p="), number_text(F.col("p_value")),
+        F.when(F.col("significant"), " (significant)").otherwise(" (not significant)"),
+    )
+    correlated = F.concat(
+        F.lit("  "), F.col("col1"), F.lit(" <-> "), F.col("col2"), F.lit(": r="), number_text(F.col("correlation"))
+    )
+    return _sections([
+        ("Normality Tests (Shapiro-Wilk):", _numbered(normality, "column"), normal),
+        ("Chi-Square Independence Tests:", _numbered(chi_square.where("significant is not null"), "col1", "col2"), related),
+        ("High Correlations:", _numbered(correlations, F.abs("correlation").desc(), "col1", "col2"), correlated),
+    ])
+
+
+#: Correlated pairs that a chart plan is told of.
+CHART_PAIRS = 5
+
+
+def chart_context(columns: DataFrame, correlations: DataFrame, k: int = CHART_PAIRS) -> DataFrame:
+    """What there is to draw: every column with its class, the ``k`` highest correlations, the time columns."""
+    described = F.concat(
+        F.lit("  "), F.col("column"), F.lit(": "), F.col("detected_type"), F.lit(", "),
+        F.col("n_unique").cast("string"), F.lit(" unique, "), F.col("null_pct").cast("string"), F.lit("% null"),
+    )
+    correlated = F.concat(
+        F.lit("  "), F.col("col1"), F.lit(" <-> "), F.col("col2"), F.lit(": "), number_text(F.col("correlation"))
+    )
+    highest = _numbered(correlations, F.abs("correlation").desc(), "col1", "col2").where(F.col("n_") <= k)
+    times = columns.where("detected_type = 'datetime'").agg(
+        F.array_sort(F.collect_list(F.struct("position", "column"))).getField("column").alias("times_")
+    ).where("size(times_) > 0")
+    listed = F.concat(F.lit("Time columns: "), F.array_join("times_", ", "))
+    return _sections([
+        ("Columns:", _numbered(columns, "position"), described), ("High correlations:", highest, correlated),
+    ]).unionByName(_part(3, times, 0, listed))

@@ -547,3 +547,19 @@ def report_context_overview(spark, folder):
         "dataset", "findings", "quality_score", "takeaways", "interpretations", "correlations"
     )))
     return context.where("part = 1").select("place", "text")
+
+
+@query("chart_context",
+       "SELECT 1 AS part, 0 AS place, 'Columns:' AS text UNION ALL "
+       + " UNION ALL ".join(
+           f"SELECT 1, {i}, '  {c}: {kind}, ' || count(DISTINCT {c}) || ' unique, 0.0% null' FROM orders"
+           for i, (c, kind) in enumerate((("o_custkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderdate", "datetime")), 1)
+       ) + " UNION ALL SELECT 2, 0, 'High correlations:' UNION ALL "
+       "SELECT 2, 1, '  o_totalprice <-> tripled: 1.0' UNION ALL SELECT 1, 4, '  tripled: numeric, ' || count(DISTINCT o_totalprice * 3) || "
+       "' unique, 0.0% null' FROM orders UNION ALL SELECT 3, 0, 'Time columns: o_orderdate'")
+def chart_context(spark, folder):
+    df = table(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderdate").withColumn(
+        "tripled", F.col("o_totalprice") * 3
+    )
+    columns = profile.profile_columns(df)
+    return contexts.chart_context(columns, association.high_correlations(df, ["o_custkey", "o_totalprice", "tripled"]))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tabscope.functions.bounded import local_table
-from tabscope.operators import association, forest, inference, outliers
+from tabscope.operators import association, contexts, forest, inference, outliers
 from tabscope.plans.profile_queries import LINEITEM_MEASURES, nearest
 from tabscope.plans.registry import GAPPY_LINEITEM, gappy_lineitem, per_column, query, table
 
@@ -410,6 +410,21 @@ def test_takeaways(spark, folder):
     return inference.takeaways(normality, chi)
 
 
+@query("tests_context", SUPPLIER_TESTS +
+       ", high AS (SELECT * FROM (" + matrix_sql("tested", SUPPLIER_MEASURES) + ") WHERE abs(correlation) >= 0.7 AND (col1, col2) IN ("
+       + ", ".join(f"('{a}', '{b}')" for a, b in combinations(SUPPLIER_MEASURES, 2)) + ")), lines AS ("
+       "SELECT 1 AS part, (row_number() OVER (ORDER BY \"column\"))::INTEGER AS place, '  ' || \"column\" || ': p=' || p_value || "
+       "CASE WHEN is_normal THEN ' (normal)' ELSE ' (not normal)' END || ', skew=' || skewness AS text FROM normality UNION ALL "
+       "SELECT 2, (row_number() OVER (ORDER BY col1, col2))::INTEGER, '  ' || col1 || ' vs ' || col2 || ': p=' || p_value || "
+       "CASE WHEN significant THEN ' (significant)' ELSE ' (not significant)' END FROM chi UNION ALL "
+       "SELECT 3, (row_number() OVER (ORDER BY abs(correlation) DESC, col1, col2))::INTEGER, '  ' || col1 || ' <-> ' || col2 || ': r=' || "
+       "correlation FROM high) SELECT * FROM lines UNION ALL SELECT DISTINCT part, 0, ['Normality Tests (Shapiro-Wilk):', "
+       "'Chi-Square Independence Tests:', 'High Correlations:'][part] FROM lines")
+def tests_context(spark, folder):
+    df, normality, chi = supplier_tests(spark, folder)
+    return contexts.tests_context(normality, chi, association.high_correlations(df, SUPPLIER_MEASURES))
+
+
 @query("statistics_report", SUPPLIER_TESTS +
        "SELECT test, \"column\" AS columns, statistic, p_value, CASE WHEN is_normal THEN 'normal' ELSE 'not normal' END AS verdict FROM normality "
        "UNION ALL SELECT 'chi_square', col1 || ',' || col2, statistic, p_value, CASE WHEN significant THEN 'significant' ELSE 'not significant' END FROM chi "

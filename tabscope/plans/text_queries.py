@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscope.functions.text import WHITESPACE
-from tabscope.operators import documents, sqltext, vectors
+from tabscope.operators import documents, pivots, sqltext, vectors
 from tabscope.operators.asof import asof_join
 from tabscope.operators.intervals import interval_join
 from tabscope.operators.windows import windowed
@@ -192,6 +192,23 @@ def vector_topk_each(spark, folder):
     return result.withColumn("distance", F.round("distance", 6))
 
 
+@query("vector_topk_pivots",
+       "WITH q AS (SELECT vec_id AS question, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), "
+       "d AS (SELECT question, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS distance FROM embeddings, q) "
+       "SELECT question, rank, vec_id, round(distance, 6) AS distance FROM (SELECT *, (row_number() OVER (PARTITION BY question ORDER BY "
+       "greatest(round(distance, 12), 0), vec_id))::INTEGER AS rank FROM d) WHERE rank <= 5")
+def vector_topk_pivots(spark, folder):
+    """The nearest rows of all rows, for every 50th as the question."""
+    store = table(spark, folder, "embeddings")
+    questions = store.where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("question"), F.col("embedding").alias("question_vector")
+    )
+    chosen = pivots.choose_pivots(store, "vec_id")
+    blocked = pivots.pivot_blocks(store, chosen, key="vec_id", block_rows=64)
+    found = pivots.nearest_by_pivots(blocked, chosen, questions, [], "question", key="vec_id")
+    return found.drop("n_compared").withColumn("distance", F.round("distance", 6))
+
+
 @query("vector_delete", "SELECT vec_id, label FROM embeddings WHERE label <> 2")
 def vector_delete(spark, folder):
     return vectors.delete_where(table(spark, folder, "embeddings"), F.col("label") == 2).select("vec_id", "label")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import charts, contexts, documents, findings, frequency, ordering, profile, series, sqltext, vectors
+from tabscope.operators import charts, contexts, documents, findings, frequency, ordering, pivots, profile, series, sqltext, vectors
 from tabscope.operators.asof import asof_join
 from tabscope.operators.intervals import interval_join
 from tabscope.plans.analyze import analyze
@@ -319,3 +319,36 @@ def test_interval_join_of_all_lengths(spark):
     assert found == want
     assert interval_join(left, right.where("false"), "x", "low", "high").count() == 0
     assert interval_join(left, right.where("s = 60"), "x", "low", "high").count() == sum(x is not None and -inf <= x < inf for x in points)
+
+
+@pytest.mark.parametrize("on", [[], ["kind"]])
+def test_pivots_give_the_same_neighbours(spark, on):
+    source = np.random.default_rng(3)
+    centres = source.normal(size=(12, 16))
+    near = [(i, int(i % 3 > 0), (centres[i % 12] + 0.05 * source.normal(size=16)).tolist()) for i in range(1500)]
+    # a third of the rows are the same vector; some have no direction; one is far from all
+    rows = near + [(2000 + i, 1, near[5][2]) for i in range(750)] + [(3000, 1, [0.0] * 16), (3001, 0, None), (3002, 0, [-1.0] * 16)]
+    store = spark.createDataFrame(rows, "id long, kind int, embedding array<double>").repartition(6)
+    questions = store.where("id % 50 = 0 or id > 3000").selectExpr("id as q", "kind", "embedding as question_vector")
+    chosen = pivots.choose_pivots(store)
+    blocked = pivots.pivot_blocks(store, chosen, on, block_rows=100)
+    assert blocked.count() == len(rows)
+    found = pivots.nearest_by_pivots(blocked, chosen, questions, on, "q", k=7).collect()
+    asked = questions if on else questions.drop("kind")
+    want = vectors.nearest_each(
+        store.withColumn("all", F.lit(1)), asked.withColumn("all", F.lit(1)), [*on, "all"], "q", k=7
+    ).collect()
+    columns = ["q", "rank", "id", "distance"]
+    assert sorted(tuple(r[c] for c in columns) for r in found) == sorted(tuple(r[c] for c in columns) for r in want)
+    directed = {r["q"]: r["n_compared"] for r in found if r["distance"] is not None}
+    assert sum(directed.values()) < 0.45 * len(directed) * len(rows)
+
+
+def test_pivots_of_few_rows(spark):
+    empty = spark.createDataFrame([], "id long, embedding array<double>")
+    questions = spark.createDataFrame([(1, [1.0, 0.0])], "q long, question_vector array<double>")
+    for rows, ids in ([], []), ([(1, [0.0, 0.0])], [1]), ([(1, [0.0, 0.0]), (2, [0.0, 1.0])], [2, 1]):
+        store = spark.createDataFrame(rows, empty.schema)
+        chosen = pivots.choose_pivots(store)
+        found = pivots.nearest_by_pivots(pivots.pivot_blocks(store, chosen), chosen, questions, [], "q").orderBy("rank")
+        assert [r["id"] for r in found.collect()] == ids
