@@ -537,6 +537,16 @@ def isolation_forest_facts(spark, folder):
     )
 
 
+@query("isolation_forest_nan",
+       "SELECT 0::BIGINT AS without_number, ceil((count(*) FILTER (event_id % 7 <> 0) - 1) / 20.0)::BIGINT AS flagged FROM events")
+def isolation_forest_nan(spark, folder):
+    """Rows with a NaN take no part; of the others those above the interpolated 95% quantile of scores are flagged."""
+    value = F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value"))
+    df = table(spark, folder, "events").withColumn("value", value)
+    found = forest.isolation_forest(df, ["value", "user_id"], ["event_id"])
+    return found.agg(F.count_if(F.col("event_id") % 7 == 0).alias("without_number"), F.count(F.lit(1)).alias("flagged"))
+
+
 @query("outliers_all",
        "SELECT 'iqr' AS kind, \"column\", count FROM (" + " UNION ALL ".join(outlier_sql(c, "events") for c in ["value", "user_id"]) +
        ") WHERE count > 0 UNION ALL SELECT 'isolation_forest', 'value,user_id', (SELECT count(*) FROM events) // 20")

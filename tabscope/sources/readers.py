@@ -27,7 +27,7 @@ def load(
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
     json_lines: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a CSV, JSON or Parquet file, or a folder of them named with the extension."""
     extension = detect_file_type(path)
@@ -51,26 +51,42 @@ def scan_csv(
     path: str,
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header; quotes inside quoted text are doubled.
 
-    Quoted text may hold line breaks, for which a file can't be split between tasks; pass
-    ``multi_line=False`` for large files without them. Types are inferred unless a schema is
-    given, and the encoding is found unless it is given; each costs a pass over the file.
+    Quoted text may hold line breaks. A file that has some can't be split between tasks, so it is found out
+    (``needs_multi_line``) unless ``multi_line`` says so. Types are inferred unless a schema is given, and the encoding is
+    found unless it is given. Each of these costs a pass over the file.
     """
-    reader = spark.read.options(
-        header=True, encoding=encoding or find_encoding(spark, path), quote='"', escape='"', multiLine=multi_line
-    )
+    encoding = encoding or find_encoding(spark, path)
+    if multi_line is None:
+        # bytes of a quote may be parts of other characters elsewhere
+        multi_line = encoding.upper() not in BYTE_ENCODINGS or needs_multi_line(spark, path)
+    reader = spark.read.options(header=True, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+#: Encodings in which the byte of a quote is always a quote.
+BYTE_ENCODINGS = ("UTF-8", "ISO-8859-1", "US-ASCII", "WINDOWS-1252")
+
+
 def find_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 if all bytes of the text are valid in it, else ISO-8859-1."""
     lines = spark.read.text(path)
     return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
+def needs_multi_line(spark: SparkSession, path: str) -> bool:
+    """Whether a line of a CSV is not surely a whole record.
+
+    A line without quotes, but for whole quoted fields, ends in the state it begins in; if all lines are so, no quoted
+    text goes on in the next line.
+    """
+    outside = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), r'(^|,)"[^"]*+"(?=,|$)', "$1")
+    return not spark.read.text(path).where(outside.contains('"')).isEmpty()
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     """The table itself, if it has a column and a row."""
     if not df.columns:
@@ -109,6 +125,6 @@ def sample_rows(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame
 
 
 __all__ = [
-    "dataset_metadata", "detect_file_type", "file_metadata", "find_encoding", "load", "require_rows",
+    "dataset_metadata", "detect_file_type", "file_metadata", "find_encoding", "load", "needs_multi_line", "require_rows",
     "sample_rows", "scan_csv",
 ]

@@ -9,6 +9,7 @@ from tabscope.sources import (
     results_as_json,
     write_results,
 )
+from tabscope.sources.readers import needs_multi_line
 from tabscope.session import materialize, shared_folder
 
 
@@ -40,6 +41,30 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     assert load(spark, str(path), encoding="UTF-8").count() == 3
 
 
+@pytest.mark.parametrize(("line", "open_"), [
+    ("a,b", False), ('"a, b",""', False), ('"say ""hi""",x', False), ('"""",""""""', False), ('"a,"",b",c', False),
+    ('1,"line one', True), ('1,"""', True), ('"a""', True), ('5" nail,"line one', True), ('a,"b"c', True), ('"a,"x",b', True),
+    ('"' + 'quoted "" ' * 20_000 + '"', False), ('"' + 'quoted "" ' * 20_000, True),
+])
+def test_lines_that_are_whole_records(spark, tmp_path, line, open_):
+    path = tmp_path / "lines.csv"
+    path.write_text("x,y\n" + line + "\n")
+    assert needs_multi_line(spark, str(path)) == open_
+
+
+def test_large_csv_without_line_breaks_is_split(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("n,text\n" + "".join(f'{i},"word, word {i}"\n' for i in range(200_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = load(spark, str(path))
+        assert df.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert df.count() == df.select("text").distinct().count() == 200_000
+
+
 def test_written_csv_reads_back(spark, tmp_path):
     rows = [(1, 'a "quoted" text, with\nbreaks'), (2, "plain")]
     (path,) = write_results({"t": spark.createDataFrame(rows, "i int, s string")}, str(tmp_path), "csv")
