@@ -352,3 +352,26 @@ def test_pivots_of_few_rows(spark):
         chosen = pivots.choose_pivots(store)
         found = pivots.nearest_by_pivots(pivots.pivot_blocks(store, chosen), chosen, questions, [], "q").orderBy("rank")
         assert [r["id"] for r in found.collect()] == ids
+
+
+@pytest.mark.parametrize("on", [[], ["kind"]])
+def test_pivots_in_many_parts_and_chunks(spark, on, monkeypatch):
+    """Pairs of questions and blocks stay inside tasks; ties, rows without direction and repeated questions are as in ``nearest_each``."""
+    for name, value in (("NUMBERS", 800), ("ASKED", 7), ("MEASURED", 11)):
+        monkeypatch.setattr(pivots, name, value)
+    source = np.random.default_rng(5)
+    draws = [(i, i % 2, source.normal(size=8).tolist()) for i in range(500)]
+    copies = [(1000 + i, i % 2, [c * 2.0**-i for c in draws[3][2]] if i < 9 else draws[4][2]) for i in range(90)]
+    odd = [(None, 0, draws[7][2]), (8, 1, draws[9][2]), (2000, 0, [0.0] * 8), (2001, 1, None), (2002, 0, None),
+           (2003, 0, [1.0] * 7 + [math.nan]), (2004, None, [1.0] * 8), (2005, 1, [0.0] * 8)]
+    store = spark.createDataFrame(draws + copies + odd, "id long, kind int, embedding array<double>").repartition(3)
+    questions = store.where("id % 25 = 0 or id >= 2000 or id in (3, 4, 8)").selectExpr("id as q", "kind", "embedding as question_vector")
+    questions = questions.unionByName(questions.where("q in (3, 4, 2001)"))
+    chosen = pivots.choose_pivots(store, pivots=4)
+    blocked = pivots.pivot_blocks(store, chosen, on, block_rows=16)
+    asked = questions if on else questions.drop("kind")
+    found = pivots.nearest_by_pivots(blocked, chosen, asked, on, "q", k=6)
+    want = vectors.nearest_each(store.withColumn("all", F.lit(1)), asked.withColumn("all", F.lit(1)), [*on, "all"], "q", k=6).collect()
+    assert sorted(str(r[:4]) for r in map(tuple, found.collect())) == sorted(str(tuple(r)) for r in want)
+    assert len(want) == 6 * questions.select("q").where("q <> 2004" if on else "true").distinct().count()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 2
