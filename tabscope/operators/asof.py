@@ -13,20 +13,36 @@ from tabscope.session import materialize
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
-def range_sorted(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+#: Rows of a range partition, about; fewer rows in all are left to Spark's number of partitions.
+PART_ROWS = 100_000
+
+
+def range_sorted(df: DataFrame, order_by: Sequence[str | Column]) -> tuple[DataFrame, int]:
     """The rows in order over range partitions, with the partition and the row number in it.
 
+    Their number follows the rows, so that a partition does not grow with the table; it is returned, or 0 if left to Spark.
+
     All order columns take part in the range split, so rows that tie on the first column are
     still spread by the next one. The table is written to reliable storage: partition numbers
     are then data and cannot change between the passes that use them.
     """
     order = [c if isinstance(c, Column) else column_ref(c) for c in order_by]
+    number = -(-df.count() // PART_ROWS)
+    number = number if number > 1 else 0
     numbered = (
-        df.repartitionByRange(*order)
+        (df.repartitionByRange(number, *order) if number else df.repartitionByRange(*order))
         .sortWithinPartitions(*order)
         .withColumn("row_", F.monotonically_increasing_id())
     )
-    return materialize(numbered).withColumn("part_", F.shiftright("row_", ROW_BITS))
+    return materialize(numbered).withColumn("part_", F.shiftright("row_", ROW_BITS)), number
+
+
+def by_part(rows: DataFrame, number: int) -> DataFrame:
+    """Rows of ``range_sorted`` laid out for windows within ``part_`` and ``by_``, over as many tasks as there are partitions.
+
+    Left to itself, Spark puts partitions together again by their compressed size.
+    """
+    return rows.repartition(number, "part_", "by_") if number else rows
 
 
 def asof_join(
@@ -57,7 +73,7 @@ def asof_join(
     )
     both = rights.unionByName(lefts, allowMissingColumns=True)
     # the rows themselves end the order, so rows that tie in key and time still spread
-    rows = range_sorted(both, ["by_", "time_", "side_", "right_", "left_"])
+    rows, number = range_sorted(both, ["by_", "time_", "side_", "right_", "left_"])
 
     # the latest right row of the key that a partition ends with, handed to the partitions after it
     ends = rows.groupBy("part_").agg(
@@ -74,7 +90,7 @@ def asof_join(
     inside = Window.partitionBy("part_", "by_").orderBy("row_").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    matched = rows.withColumn("own_", F.last("right_", ignorenulls=True).over(inside)).where("side_ = 1")
+    matched = by_part(rows, number).withColumn("own_", F.last("right_", ignorenulls=True).over(inside)).where("side_ = 1")
     joined = matched.join(F.broadcast(incoming), ["part_", "by_"], "left").withColumn(
         "match_", F.coalesce("own_", "carried_")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabscope.functions.bounded import column_ref, pin, small_rows
-from tabscope.operators.asof import ROW_BITS, range_sorted
+from tabscope.operators.asof import ROW_BITS, by_part, range_sorted
 
 RANKS = ("row_number", "rank", "dense_rank")
 #: Aggregates of running and short frames: how a column is aggregated, and how two such results are put together.
@@ -49,7 +49,7 @@ def windowed(
         F.struct(*[column_ref(c) for c in df.columns]).alias("data_"),
     )
     places = [F.col("order_")[c] for c in order_by]
-    rows = range_sorted(keyed, [
+    rows, number = range_sorted(keyed, [
         "by_", *(p.desc() if c in descending else p.asc() for c, p in zip(order_by, places, strict=True)), "data_",
     ])
     states = {n: (kind, F.col("data_")[c]) for n, (kind, c) in running.items()}
@@ -63,7 +63,7 @@ def windowed(
 
     inside = Window.partitionBy("part_", "by_")
     so_far = inside.orderBy("g_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = placed.join(F.broadcast(_handed(parts, states)), ["part_", "by_"], "left")
+    joined = by_part(placed, number).join(F.broadcast(_handed(parts, states)), ["part_", "by_"], "left")
     columns: dict[str, Column] = {}
     if ranks:
         same = F.col("order_").eqNullSafe(F.col("carried_.order")) & F.col("carried_").isNotNull()

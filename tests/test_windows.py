@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tabscope.operators import asof
 from tabscope.operators.windows import windowed
 
 SCHEMA = "id int, k string, t int, v int, row_ int"
@@ -91,3 +94,28 @@ def test_wrong_arguments(spark):
         windowed(df, ["id"], ["id"], ranks={"ID": "rank"})
     with pytest.raises(ValueError, match="unknown"):
         windowed(df, ["id"], ["id"], ranks={"a": "ntile"})
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Neither the layout nor the windows over it put more rows into a task when the table grows."""
+    monkeypatch.setattr(asof, "PART_ROWS", 40)
+    source = random.Random(1)
+    rows = [(i, source.choice(["hot", "hot", "a"]), source.choice([None, *range(6)]), source.choice([None, *range(9)]), 1) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert result(df, True) == expected(rows, True)
+    for size in (500, 1000):
+        found = windowed(df.where(f"id < {size}"), ["k"], ["t"], ranks={"place": "rank"}).groupBy(F.spark_partition_id()).count().collect()
+        assert len(found) > size / 100 and max(r["count"] for r in found) < 400
+    laid, number = asof.range_sorted(df, ["k", "t", "id"])
+    assert number == 25 and laid.select("part_").distinct().count() > 20
+
+
+def test_asof_join_in_many_partitions(spark, monkeypatch):
+    source = random.Random(2)
+    left = [(i, source.choice("aab"), source.randrange(90)) for i in range(300)]
+    right = [(i, source.choice("aab"), source.randrange(90)) for i in range(60)]
+    sides = spark.createDataFrame(left, "l int, k string, t int"), spark.createDataFrame(right, "r int, k string, u int")
+    monkeypatch.setattr(asof, "PART_ROWS", 20)
+    found = {(r["l"], r["u"], r["r"]) for r in asof.asof_join(*sides, "k", "t", "u", ["u", "r"], how="left").collect()}
+    best = {i: max(((u, r) for r, k2, u in right if k2 == k and u <= t), default=(None, None)) for i, k, t in left}
+    assert found == {(i, *b) for i, b in best.items()}
