@@ -6,7 +6,7 @@ follow another is a property of the pair. The transducer reads bytes from left t
 every end of a vocabulary prefix that is still open, the last token of the encoding up to there. Tokens on
 which all open ends agree are emitted; the lookahead is bounded by the longest token. States are built as
 they are reached, one for each new piece, until the transition table is full; beyond the table, the open ends are
-followed directly.
+followed one at a time, longest tokens first.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 
 from tabscope.llm.rows import map_rows
 
-#: Pieces, transitions and token pairs a worker keeps over its tasks, to bound its memory; results don't depend on them.
-WORD_CACHE, TRANSITION_CACHE, PAIR_CACHE = 400_000, 60_000, 400_000
+#: Pieces, transitions, token pairs and openings a worker keeps over its tasks, to bound its memory; results don't depend on them.
+WORD_CACHE, TRANSITION_CACHE, PAIR_CACHE, OPENING_CACHE = 400_000, 60_000, 400_000, 100_000
+#: Bytes whose tokens are looked up at once.
+WINDOW = 4
 #: Longer pieces (in characters) are encoded each time they are met.
 KEPT_PIECE = 64
 #: Tokens decoded at a time.
@@ -48,6 +50,8 @@ class Transducer:
         self.parts = {token: 2 * rank + 2 for token, rank in ranks.items()}
         for part in {token[:n] for token in ranks for n in range(1, len(token))}:
             self.parts[part] = self.parts.get(part, 0) | 1
+        self.longest = max(map(len, ranks), default=0)
+        self.openings: dict[bytes, tuple[tuple[tuple[int, int], ...], bool]] = {}
         self.spines: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
         self.ids: dict[tuple, int] = {}
@@ -150,37 +154,60 @@ class Transducer:
             kept = [(at - cut, path[common:]) for at, path in kept]
         return self._number((before, pending, tuple(kept))), out
 
+    def _opening(self, window: bytes) -> tuple[tuple[tuple[int, int], ...], bool]:
+        """(length, token) of all tokens that the bytes begin with, the longest last, and whether more bytes may add one."""
+        found, code = [], 1
+        for length in range(1, len(window) + 1):
+            code = self.parts.get(window[:length], 0)
+            if code > 1:
+                found.append((length, (code >> 1) - 1))
+            if not code & 1:
+                break
+        opening = tuple(found), bool(code & 1)
+        if len(window) <= WINDOW:
+            if len(self.openings) >= OPENING_CACHE:
+                self.openings.clear()
+            self.openings[window] = opening
+        return opening
+
     def _simulate(self, state: int, data: bytes, at: int) -> list[int]:
-        """The rest of a piece from byte ``at`` on, without building states: follow all open starts at once."""
-        before, pending, starts = self.states[state]
-        base = at - len(pending)
-        parts, pairs = self.parts, self.pairs
-        live = [(base + s, path[-1] if path else before) for s, path in starts]
-        last: list[int] = []
-        for end in range(at + 1, len(data) + 1):
-            kept, found = [], -1
-            for start in live:
-                code = parts.get(data[start[0] : end])
-                if code is None:
+        """The rest of a piece from byte ``at`` on, without building states: follow one open end, and go back to the next one
+        where no token can follow. The encoding of the bytes up to an end is unique, so each end is followed once at most.
+        """
+        first, pending, _ = self.states[state]
+        before, start, size = first, at - len(pending), len(data)
+        openings, pairs = self.openings, self.pairs
+        ids: list[int] = []
+        left: list[tuple[int, tuple, int]] = []  # for each token: its start, what can start there, and how many are not tried
+        closed: set[int] = set()
+        while start < size:
+            window = data[start : start + WINDOW]
+            found, more = openings.get(window) or self._opening(window)
+            if more and start + WINDOW < size:
+                found, _ = self._opening(data[start : start + self.longest])
+            untried = len(found)
+            while True:
+                while untried:
+                    untried -= 1
+                    length, token = found[untried]
+                    if start + length in closed:
+                        continue
+                    fits = pairs.get((before + 1) << 32 | token)
+                    if fits or (fits is None and self.follows(before, token)):
+                        break
+                else:
+                    if not left:
+                        raise ValueError("the vocabulary has no token for some byte")
+                    closed.add(start)
+                    start, found, untried = left.pop()
+                    ids.pop()
+                    before = ids[-1] if ids else first
                     continue
-                if found < 0 and code > 1:
-                    token = (code >> 1) - 1
-                    fits = pairs.get((start[1] + 1) << 32 | token)
-                    if fits or (fits is None and self.follows(start[1], token)):
-                        found = token
-                if code & 1:
-                    kept.append(start)
-            if found < 0:
-                raise ValueError("the vocabulary has no token for some byte")
-            last.append(found)
-            kept.append((end, found))
-            live = kept
-        end, tail = len(data), []
-        while end > at:
-            tail.append(last[end - at - 1])
-            end -= len(self.tokens[tail[-1]])
-        path = next(path for s, path in starts if base + s == end)
-        return [*path, *reversed(tail)]
+                break
+            left.append((start, found, untried))
+            ids.append(token)
+            start, before = start + length, token
+        return ids
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece of text; a piece that is a token is that token.

@@ -81,3 +81,24 @@ def test_decoding_takes_ids_as_they_come(reference):
     stream = bpe.decode_stream(ids(), {i: t for t, i in bpe.read_ranks(PATH).items()}, 7)
     assert next(stream) and len(taken) == 7
     assert "é日🎉 and more " * 50 == reference.decode(taken[:7]) + "".join(stream)
+
+
+def test_pieces_beyond_the_table_cost_a_lookup_a_token():
+    """Openings that were met before are not walked byte by byte again."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    transducer = bpe.Transducer(ranks, 0)
+    pieces = [b" thesorth", b" onhahent", b"zq zq xj", "enbeein\u00e4tz\u00f6".encode(), b"aaaaaaaaaaaaaaaaaaab", bytes(range(256))]
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    transducer.parts = Counted(transducer.parts)
+    first = [transducer.encode(p) for p in pieces]
+    assert first == [[ranks[t] for t in transducer.merged(p)] for p in pieces]
+    Counted.asked = 0
+    assert [transducer.encode(p) for p in pieces] == first
+    assert Counted.asked < sum(map(len, pieces)) / 4
